@@ -1,6 +1,6 @@
 """Imports every query module, which fills the registry."""
 
-from . import features  # noqa: F401
+from . import cohorts, features  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
