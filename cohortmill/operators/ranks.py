@@ -24,11 +24,11 @@ def _order(column: str, descending: bool) -> Column:
     return F.col(column).desc() if descending else F.col(column).asc()
 
 
-def _with_running(df: DataFrame, order: list[Column], sums: dict[str, str], partition: list[str],
-                  total: list[str], lead: Sequence[str]) -> DataFrame:
-    ordered = Window.partitionBy(*partition).orderBy(*order)
+def _with_running(df: DataFrame, order: list[Column], sums: dict[str, str], groups: list[str],
+                  lead: Sequence[str]) -> DataFrame:
+    ordered = Window.partitionBy(*groups).orderBy(*order)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*total)
+    whole = Window.partitionBy(*groups)
     columns = {name: F.sum(source).over(running) for name, source in sums.items()}
     columns.update({f"{name}_total": F.sum(source).over(whole) for name, source in sums.items()})
     columns.update({f"next_{name}": F.lead(name).over(ordered) for name in lead})
@@ -44,9 +44,10 @@ def ordered_sums(df: DataFrame, by: str, sums: dict[str, str], groups: Sequence[
     `lead` column `next_<column>`, its value on the following row (only without `then`). (groups, by, then)
     must be unique, and one value of `by` must carry few rows: aggregate to one row per value first.
 
-    `max_rows` is for callers that can prove an upper bound (for example scores rounded to 4 digits). Up to
-    `rows_per_task` rows the plain window is used. Without a proven bound the input is computed once,
-    counted, and bucketed on its own quantiles when it is larger.
+    `max_rows` is for callers that can prove an upper bound on the rows of one group (for example scores
+    rounded to 4 digits). Up to `rows_per_task` rows per group the plain window is used. Without a proven
+    bound the input is computed once, its largest group is measured, and it is bucketed on its own
+    quantiles when that group is larger.
     """
     groups, then, lead = list(groups), list(then), list(lead)
     if lead and then:
@@ -54,13 +55,14 @@ def ordered_sums(df: DataFrame, by: str, sums: dict[str, str], groups: Sequence[
     order = [_order(by, descending), *[F.col(c) for c in then]]
     if max_rows is None or max_rows > rows_per_task:
         df = cut_lineage(df)
-        n = df.count()
+        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+        largest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
     else:
-        n = max_rows
-    if n <= rows_per_task:
-        return _with_running(df, order, sums, groups, groups, lead)
+        largest = total = max_rows
+    if not total or largest <= rows_per_task:
+        return _with_running(df, order, sums, groups, lead)
 
-    buckets = min(MAX_BUCKETS, max(2, math.ceil(4 * n / rows_per_task)))
+    buckets = min(MAX_BUCKETS, max(2, math.ceil(4 * total / rows_per_task)))
     cuts = df.approxQuantile(by, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     if len(splits) < 3:

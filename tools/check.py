@@ -49,7 +49,7 @@ def main():
     args = parser.parse_args()
     from cohortmill.queries.catalog import ORACLES, QUERIES
     from cohortmill.session import tuned_session
-    spark = tuned_session("check", "local[8]", {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    spark = tuned_session("check", "local[8]", {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                 "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     folder = f"/root/testdata/sf{args.sf}"
