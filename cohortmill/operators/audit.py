@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import lookup
 from .ranks import ordered_sums, exact_quantiles
 
 
@@ -249,7 +248,8 @@ def top_items(prevalence: DataFrame, item: str, n: int, labels: DataFrame | None
     """
     top = prevalence.orderBy(F.desc("observed"), F.asc(item)).limit(n)
     if labels is not None:
-        top = lookup(top, labels, [item], {"fluid": "", "category": ""})
+        top = top.join(labels, item, "left").fillna(
+            "", [c for c in ("fluid", "category") if c in labels.columns])
     else:
         top = top.withColumn("label_text", F.lit(None).cast("string"))
     top = top.withColumn("label_text", F.coalesce("label_text", F.concat(F.lit("itemid_"), F.col(item))))

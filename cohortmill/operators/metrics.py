@@ -304,8 +304,9 @@ def _poisson_one(u: Column, top: int = 12) -> Column:
 
 def _cell_draws(count: Column, parts: Sequence[Column], exact_up_to: int = 32) -> Column:
     """Poisson(count): the sum of single draws for small cells, the rounded normal form above."""
-    single = F.aggregate(F.sequence(F.lit(1), F.least(count, F.lit(exact_up_to)).cast("int")), F.lit(0),
-                         lambda total, i: total + _poisson_one(_uniform(*parts, i)))
+    numbers = F.transform(F.sequence(F.lit(1), F.least(count, F.lit(exact_up_to)).cast("int")),
+                          lambda i: _uniform(*parts, i))
+    single = F.aggregate(numbers, F.lit(0), lambda total, u: total + _poisson_one(u))
     u, v = _uniform(*parts, F.lit("u")), _uniform(*parts, F.lit("v"))
     normal = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
     many = F.greatest(F.lit(0), F.floor(count + F.sqrt(count) * normal + 0.5))
@@ -326,12 +327,13 @@ def bootstrap_replicates(df: DataFrame, y: str, score: str, groups: Sequence[str
         *groups, "replicate", "threshold",
         _cell_draws(F.col("positives"), [*parts, F.lit("p")]).alias("positives"),
         _cell_draws(F.col("flagged") - F.col("positives"), [*parts, F.lit("n")]).alias("_negatives"))
-    drawn = drawn.withColumn("flagged", F.col("positives") + F.col("_negatives")).where(F.col("flagged") > 0)
+    drawn = drawn.withColumn("flagged", F.col("positives") + F.col("_negatives"))
     by = [*groups, "replicate"]
     cum = cumulative(drawn.drop("_negatives"), by, max_rows=max_rows, rows_per_task=rows_per_task)
     both = (F.max("tp_total") > 0) & (F.max("seen_total") > F.max("tp_total"))
     return cum.groupBy(*by).agg(F.when(both, F.sum(
-        F.try_divide(F.col("positives"), F.col("tp_total")) * F.col("tp") / F.col("seen"))).alias("average_precision"))
+        F.try_divide(F.col("positives"), F.col("tp_total")) * F.try_divide(F.col("tp"), F.col("seen"))))
+        .alias("average_precision"))
 
 
 def bootstrap_interval(df: DataFrame, y: str, score: str, groups: Sequence[str] = (), reps: int = 400, seed: int = 42,

@@ -72,10 +72,17 @@ def ordered_sums(df: DataFrame, by: str, sums: dict[str, str], groups: Sequence[
 
     pick_first = F.max_by if descending else F.min_by
     head = [pick_first(F.struct(*lead), F.col(by)).alias("_head")] if lead else []
+    return _over_buckets(bucketed, df.columns, order, sums, groups, _order("_bucket", descending), lead, head)
+
+
+def _over_buckets(bucketed: DataFrame, columns: Sequence[str], order: list[Column], sums: dict[str, str],
+                  groups: list[str], bucket_order: Column, lead: Sequence[str] = (),
+                  head: Sequence[Column] = ()) -> DataFrame:
+    """Running sums from bucket totals plus a window inside (group, bucket)."""
     # The sums of one hot (group, bucket) are pre-aggregated on the map side before this shuffle.
     totals = bucketed.groupBy(*groups, "_bucket").agg(
         *[F.sum(source).alias(f"_sum_{name}") for name, source in sums.items()], *head)
-    along = Window.partitionBy(*groups).orderBy(_order("_bucket", descending))
+    along = Window.partitionBy(*groups).orderBy(bucket_order)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_bucket").alias("_b"),
@@ -87,13 +94,45 @@ def ordered_sums(df: DataFrame, by: str, sums: dict[str, str], groups: Sequence[
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     inside = Window.partitionBy(*groups, "_bucket").orderBy(*order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    columns = {}
+    added = {}
     for name, source in sums.items():
-        columns[name] = F.col(f"_before_{name}") + F.sum(source).over(running)
-        columns[f"{name}_total"] = F.col(f"_all_{name}")
+        added[name] = F.col(f"_before_{name}") + F.sum(source).over(running)
+        added[f"{name}_total"] = F.col(f"_all_{name}")
     for name in lead:
-        columns[f"next_{name}"] = F.coalesce(F.lead(name).over(inside), F.col(f"_next_head.{name}"))
-    return bucketed.join(offsets, same).select(*df.columns, *[c.alias(n) for n, c in columns.items()])
+        added[f"next_{name}"] = F.coalesce(F.lead(name).over(inside), F.col(f"_next_head.{name}"))
+    return bucketed.join(offsets, same).select(*columns, *[c.alias(n) for n, c in added.items()])
+
+
+def sequence_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str], groups: Sequence[str] = (),
+                  rows_per_task: int = ROWS_PER_TASK, max_buckets: int = 1_024) -> DataFrame:
+    """`ordered_sums` for an ascending order on columns of any type; (groups, order) must be unique.
+
+    Beyond `rows_per_task` rows in a group, the bucket limits are order keys of a small sample; they only
+    decide where the buckets are cut, so the result does not depend on them. Nulls in the order come first.
+    """
+    groups, order = list(groups), list(order)
+    df = cut_lineage(df)
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    largest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    by = [F.col(c).asc() for c in order]
+    if not total or largest <= rows_per_task:
+        return _with_running(df, by, sums, groups, [])
+    buckets = min(max_buckets, max(2, math.ceil(4 * total / rows_per_task)))
+    sample = df.select(*order).sample(min(1.0, 50 * buckets / total), seed=1).dropna().orderBy(*order).collect()
+    cuts = [sample[(i * len(sample)) // buckets] for i in range(1, buckets)] if sample else []
+    cuts = list(dict.fromkeys(tuple(c) for c in cuts))
+    key = F.struct(*order)
+    literal = lambda cut: F.struct(*[F.lit(str(v)).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, cut)])
+    width = max(1, math.isqrt(len(cuts)))
+    coarse = [literal(c) for c in cuts[width - 1::width]]
+    below = lambda limits: F.size(F.filter(limits, lambda limit: limit <= key)) if limits is not None else F.lit(0)
+    bucket = F.lit(0)
+    if coarse:
+        # Find the block of limits first, then the limit inside the block.
+        block = below(F.array(*coarse))
+        inner = F.slice(F.array(*[literal(c) for c in cuts]), block * width + 1, F.lit(width))
+        bucket = block * width + F.when(block * width < len(cuts), below(inner)).otherwise(0)
+    return _over_buckets(df.withColumn("_bucket", bucket), df.columns, by, sums, groups, F.col("_bucket").asc())
 
 
 def hash_order(seed: int | str, *keys: str) -> Column:

@@ -69,7 +69,7 @@ def median_features(spark, sf):
 def median_features_bucketed(spark, sf):
     """The same through the bucketed order, which takes over beyond `rows_per_task` rows."""
     wide = w.windowed_features(table(spark, sf, "events"), event_spine(spark, sf), item="event_type",
-                               value="value", names=EVENT_TYPES, stats=["median"], rows_per_task=200, **KEYS)
+                               value="value", names=EVENT_TYPES, stats=["median"], rows_per_task=3, **KEYS)
     return rounded(wide, *[f"{t}_median" for t in TYPES])
 
 
