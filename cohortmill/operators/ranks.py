@@ -7,12 +7,14 @@ such an order into value buckets: sum each bucket, turn the bucket sums into off
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -121,17 +123,20 @@ def sequence_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str], gro
     sample = df.select(*order).sample(min(1.0, 50 * buckets / total), seed=1).dropna().orderBy(*order).collect()
     cuts = [sample[(i * len(sample)) // buckets] for i in range(1, buckets)] if sample else []
     cuts = list(dict.fromkeys(tuple(c) for c in cuts))
-    key = F.struct(*order)
-    literal = lambda cut: F.struct(*[F.lit(str(v)).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, cut)])
-    width = max(1, math.isqrt(len(cuts)))
-    coarse = [literal(c) for c in cuts[width - 1::width]]
-    below = lambda limits: F.size(F.filter(limits, lambda limit: limit <= key)) if limits is not None else F.lit(0)
     bucket = F.lit(0)
-    if coarse:
+    if cuts:
+        key = F.struct(*order)
+        texts = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in order]))
+        typed = T.ArrayType(T.StructType([T.StructField(c, df.schema[c].dataType) for c in order]))
+        # One text literal, which Spark parses once when it folds constants.
+        limits = lambda rows: F.from_json(F.lit(json.dumps([dict(zip(order, map(str, r))) for r in rows])),
+                                          texts).cast(typed)
+        below = lambda some: F.size(F.filter(some, lambda limit: limit <= key))
         # Find the block of limits first, then the limit inside the block.
-        block = below(F.array(*coarse))
-        inner = F.slice(F.array(*[literal(c) for c in cuts]), block * width + 1, F.lit(width))
-        bucket = block * width + F.when(block * width < len(cuts), below(inner)).otherwise(0)
+        width = max(1, math.isqrt(len(cuts)))
+        block = below(limits(cuts[width - 1::width]))
+        inside = below(F.slice(limits(cuts), block * width + 1, F.lit(width)))
+        bucket = block * width + F.when(block * width < len(cuts), inside).otherwise(0)
     return _over_buckets(df.withColumn("_bucket", bucket), df.columns, by, sums, groups, F.col("_bucket").asc())
 
 
