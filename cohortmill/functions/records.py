@@ -88,10 +88,10 @@ def _key_errors(found: Column, wanted: Sequence[str], path: str) -> list[Column]
     return [problem(missing, "missing: "), problem(extra, "unexpected: ")]
 
 
-def record_errors(text: str, schema: Mapping) -> Column:
+def record_errors(text: str, parsed: str, schema: Mapping) -> Column:
     """All schema violations of a JSON text as an array of (path, message): not JSON, missing or unexpected
-    keys, wrong types, values outside their list. Empty for a good record."""
-    body = F.try_parse_json(F.col(text))
+    keys, wrong types, values outside their list. Empty for a good record. `parsed` is the text as variant."""
+    body = F.col(parsed)
     kind_of = lambda value: F.schema_of_variant(value)
     at = lambda path: F.try_variant_get(body, path, "variant")
     problem = lambda when, path, message: F.when(when, F.struct(F.lit(path).alias("path"), F.lit(message).alias("message")))
@@ -126,7 +126,11 @@ def record_errors(text: str, schema: Mapping) -> Column:
 
 def split_valid(df: DataFrame, text: str, schema: Mapping) -> tuple[DataFrame, DataFrame]:
     """(good rows, rows with `error`: every violation as `path: message`, joined by `; `)."""
-    checked = df.withColumn("_errors", record_errors(text, schema))
+    parsed = df.withColumn("_parsed", F.try_parse_json(F.col(text)))
+    errors = parsed.withColumn("_found", record_errors(text, "_parsed", schema)).drop("_parsed")
+    # A filter on the errors would be pushed below the parsing and repeat it for every check. Passing the
+    # list through a one-element generator keeps the filter above, so a text is parsed and checked once.
+    checked = errors.withColumn("_errors", F.explode(F.array("_found"))).drop("_found")
     good = checked.where(F.size("_errors") == 0).drop("_errors")
     bad = checked.where(F.size("_errors") > 0).withColumn("error", F.array_join(
         F.transform("_errors", lambda e: F.concat_ws(": ", e["path"], e["message"])), "; ")).drop("_errors")

@@ -87,8 +87,10 @@ def frequencies(df: DataFrame, column: str, missing: str | None = None) -> DataF
 
 def crosstab(df: DataFrame, row: str, column: str, margin: str = "All") -> DataFrame:
     """Counts of every (row, column) pair with row, column and grand totals under the name `margin`."""
-    cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).cube(row, column).agg(
-        _count("n"), F.grouping(row).alias("_r"), F.grouping(column).alias("_c"))
+    pairs = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(_count("_n"))
+    # The cube repeats its input four times, so it runs on the counted pairs.
+    cells = pairs.cube(row, column).agg(
+        F.sum("_n").alias("n"), F.grouping(row).alias("_r"), F.grouping(column).alias("_c"))
     name = lambda c, flag: F.when(F.col(flag) == 1, margin).otherwise(F.col(c).cast("string"))
     return cells.select(name(row, "_r").alias(row), name(column, "_c").alias(column), "n")
 

@@ -14,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import ROWS_PER_TASK, decile, exact_quantiles, ordered_sums, score_rank
+from ..session import cut_lineage
+from .ranks import ROWS_PER_TASK, decile, exact_quantiles, hash_rank, ordered_sums
 
 # Recall targets, false-positive budgets, review shares and the decision grid.
 RECALL_TARGETS = [0.80, 0.60, 0.40, 0.20]
@@ -31,10 +32,10 @@ def score_counts(df: DataFrame, y: str, score: str, groups: Sequence[str] = ())
 
 
 def cumulative(counts: DataFrame, groups: Sequence[str] = (), lead: Sequence[str] = (), max_rows: int | None = None,
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+               rows_per_task: int = ROWS_PER_TASK, settled: bool = False) -> DataFrame:
     """Score counts with `tp` and `seen` at or above each score, and the group totals."""
     return ordered_sums(counts, "threshold", {"tp": "positives", "seen": "flagged"}, groups, descending=True,
-                        lead=lead, max_rows=max_rows, rows_per_task=rows_per_task)
+                        lead=lead, max_rows=max_rows, rows_per_task=rows_per_task, settled=settled)
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -212,17 +213,50 @@ def class_report(df: DataFrame, y: str, score: str, threshold: float) -> DataFra
     return per_class.select("class", *names, "support").unionByName(overall)
 
 
+def _tied_rows(df: DataFrame, y: str, score: str, keys: Sequence[str], scores: Sequence[float],
+               seed: int | str) -> DataFrame:
+    """The rows of the given scores with `_place`, their rank in hash order among the rows of their score."""
+    rows = df.where(F.col(y).isNotNull() & F.col(score).cast("double").isin([float(s) for s in scores]))
+    rows = rows.select(*keys, F.col(y).cast("long").alias("_y"), F.col(score).cast("double").alias("_score"))
+    return hash_rank(rows, keys, seed, ["_score"], "_place")
+
+
+def _by_score(values: Mapping[float, int]) -> Column:
+    ladder = None
+    for value, number in values.items():
+        hit = F.col("_score") == F.lit(float(value))
+        ladder = F.when(hit, number) if ladder is None else ladder.when(hit, number)
+    return ladder
+
+
 def calibration(df: DataFrame, y: str, score: str, keys: Sequence[str], bins: int = 10, seed: int | str = 0,
                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Per equal-count bin of the score: n, mean score, observed rate and its 1.96-standard-error bounds in
-    [0, 1]. Equal scores are ordered by the hash of the row keys."""
-    ranked = score_rank(df, score, keys, seed, descending=False, name="_rank", rows_per_task=rows_per_task)
-    table = ranked.groupBy(decile("_rank", "_rank_total", bins).alias("decile")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_predicted"),
-        F.avg(F.col(y).cast("double")).alias("observed"))
+    [0, 1]. Equal scores are ordered by the hash of the row keys.
+
+    Scores whose rows all fall in one bin are added up from the score counts. Only the rows of a score that a
+    bin limit cuts, at most `bins - 1` scores, are ranked.
+    """
+    counts = cut_lineage(score_counts(df, y, score))
+    cum = cumulative(counts, rows_per_task=rows_per_task, settled=True)
+    total = F.col("seen_total")
+    placed = cum.withColumns({"_low": total - F.col("seen") + 1, "_high": total - F.col("seen") + F.col("flagged")})
+    placed = placed.withColumns({"_from": decile("_low", "seen_total", bins), "_to": decile("_high", "seen_total", bins)})
+    table = placed.where(F.col("_from") == F.col("_to")).groupBy(F.col("_from").alias("decile")).agg(
+        F.sum("flagged").alias("n"), F.sum("positives").alias("_p"),
+        F.sum(F.col("threshold") * F.col("flagged")).alias("_s"))
+    cut = placed.where(F.col("_from") != F.col("_to")).select("threshold", "_low", "seen_total").collect()
+    if cut:
+        ranked = _tied_rows(df, y, score, keys, [r["threshold"] for r in cut], seed).withColumns({
+            "_rank": F.col("_place") - 1 + _by_score({r["threshold"]: r["_low"] for r in cut}),
+            "_n": F.lit(cut[0]["seen_total"])})
+        table = table.unionByName(ranked.groupBy(decile("_rank", "_n", bins).alias("decile")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_p"), F.sum("_score").alias("_s")))
+    out = table.groupBy("decile").agg(F.sum("n").alias("n"), (F.sum("_s") / F.sum("n")).alias("mean_predicted"),
+                                      (F.sum("_p") / F.sum("n")).alias("observed"))
     half = 1.96 * F.sqrt(F.greatest(F.col("observed") * (1 - F.col("observed")), F.lit(0.0)) / F.col("n"))
-    return table.withColumns({"ci_low": F.greatest(F.lit(0.0), F.col("observed") - half),
-                              "ci_high": F.least(F.lit(1.0), F.col("observed") + half)})
+    return out.withColumns({"ci_low": F.greatest(F.lit(0.0), F.col("observed") - half),
+                            "ci_high": F.least(F.lit(1.0), F.col("observed") + half)})
 
 
 def ece(df: DataFrame, y: str, score: str, keys: Sequence[str], bins: int = 10, seed: int | str = 0,
@@ -268,19 +302,38 @@ def decision_curve(df: DataFrame, y: str, score: str, grid: tuple[float, float,
 
 def review_workload(df: DataFrame, y: str, score: str, keys: Sequence[str], shares: Sequence[float] = REVIEW_SHARES,
                     seed: int | str = 0, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """For the top share of rows by score: k, tp, fp, sensitivity and PPV. k is at least 1, rounded up."""
-    ranked = score_rank(df, score, keys, seed, descending=True, name="_rank", rows_per_task=rows_per_task)
-    k = lambda share: F.greatest(F.lit(1), F.ceil(F.col("_rank_total") * F.lit(share)))
-    case = F.col(y) == 1
-    counts = ranked.agg(F.count_if(case).alias("_p"), *[
-        agg for i, share in enumerate(shares) for agg in (
-            F.max(k(share)).alias(f"_k{i}"), F.count_if(case & (F.col("_rank") <= k(share))).alias(f"_tp{i}"))])
-    rows = counts.select(F.inline(F.array(*[
-        F.struct(F.lit(share).alias("top_percent"), F.col(f"_k{i}").alias("k"), F.col(f"_tp{i}").alias("tp"),
-                 (F.col(f"_k{i}") - F.col(f"_tp{i}")).alias("fp"),
-                 F.try_divide(F.col(f"_tp{i}"), F.col("_p")).alias("sensitivity"),
-                 F.try_divide(F.col(f"_tp{i}"), F.col(f"_k{i}")).alias("ppv")) for i, share in enumerate(shares)])))
-    return rows
+    """For the top share of rows by score: k, tp, fp, sensitivity and PPV. k is at least 1, rounded up.
+
+    Everything above the score at place k comes from the score counts; only the rows of that one score per
+    share are ranked, and only if k falls inside them.
+    """
+    counts = cut_lineage(score_counts(df, y, score))
+    cum = cumulative(counts, rows_per_task=rows_per_task, settled=True)
+    before = F.col("seen") - F.col("flagged")
+    k = lambda share: F.greatest(F.lit(1), F.ceil(F.col("seen_total") * F.lit(share)))
+    edge = lambda share: F.max(F.when((F.col("seen") >= k(share)) & (before < k(share)), F.struct(
+        k(share).alias("k"), "threshold", "tp", "seen", before.alias("before"),
+        (F.col("tp") - F.col("positives")).alias("tp_before"))))
+    found = cum.agg(F.max("tp_total"), *[edge(share) for share in shares]).first()
+    edges = [(share, e) for share, e in zip(shares, found[1:]) if e is not None]
+    inside = {e["threshold"] for _, e in edges if e["k"] < e["seen"]}
+    if inside:
+        ranked = _tied_rows(df, y, score, keys, sorted(inside), seed)
+        extra = ranked.agg(*[F.count_if(
+            (F.col("_y") == 1) & (F.col("_score") == F.lit(e["threshold"])) & (F.col("_place") <= e["k"] - e["before"]))
+            .alias(f"_x{i}") for i, (_, e) in enumerate(edges)])
+    else:
+        extra = df.sparkSession.range(1)
+    rows = []
+    for i, (share, e) in enumerate(edges):
+        tp = F.col(f"_x{i}") + e["tp_before"] if e["k"] < e["seen"] else F.lit(e["tp"])
+        rows.append(F.struct(
+            F.lit(share).alias("top_percent"), F.lit(e["k"]).cast("long").alias("k"), tp.cast("long").alias("tp"),
+            (e["k"] - tp).cast("long").alias("fp"), F.try_divide(tp, F.lit(found[0])).alias("sensitivity"),
+            (tp / e["k"]).alias("ppv")))
+    if not rows:
+        raise ValueError("there are no scored rows")
+    return extra.select(F.inline(F.array(*rows)))
 
 
 # Bootstrap. A resample draws every row a Poisson(1) number of times; the rows of one (score, outcome) cell
@@ -356,15 +409,16 @@ def subgroup_scores(df: DataFrame, y: str, score: str, domains: Sequence[str], t
                     rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Average precision per subgroup: the `top` most frequent values of each domain that have enough rows
     and cases, with the bootstrap interval when `reps` is given."""
-    from .audit import top_values
     long = df.select(F.col(y).cast("long").alias("_y"), F.col(score).cast("double").alias("_s"),
                      *[F.coalesce(F.col(d).cast("string"), F.lit(missing)).alias(d) for d in domains]).unpivot(
         ["_y", "_s"], list(domains), "domain", "subgroup")
-    wanted = top_values(df, domains, top, missing).select("domain", "subgroup")
-    counts = score_counts(long, "_y", "_s", ["domain", "subgroup"]).join(wanted, ["domain", "subgroup"], "left_semi")
-    # Back to one row per cell and outcome, which `bootstrap_interval` and `summary_scores` would count again.
     groups = ["domain", "subgroup"]
-    points = scores_from_counts(counts, groups, max_rows, rows_per_task)
+    counts = score_counts(long, "_y", "_s", groups)
+    # The frequent values come from the same counts, so the predictions are read once.
+    sizes = counts.groupBy(*groups).agg(F.sum("flagged").alias("_n"))
+    place = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("_n"), "subgroup"))
+    wanted = sizes.withColumn("_place", place).where(F.col("_place") <= top).select(*groups)
+    points = scores_from_counts(counts.join(wanted, groups, "left_semi"), groups, max_rows, rows_per_task)
     large = points.where((F.col("n") >= min_rows) & (F.col("positives") >= min_cases))
     if not reps:
         return large.select(*groups, "n", "positives", "average_precision")

@@ -39,7 +39,7 @@ def _with_running(df: DataFrame, order: list[Column], sums: dict[str, str], grou
 
 def ordered_sums(df: DataFrame, by: str, sums: dict[str, str], groups: Sequence[str] = (),
                  descending: bool = False, then: Sequence[str] = (), lead: Sequence[str] = (),
-                 max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                 max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK, settled: bool = False) -> DataFrame:
     """Running sums of `sums` (new name -> column) in the order of numeric column `by`, then of `then`.
 
     Adds, per name, the inclusive running sum and `<name>_total`, the sum over the whole group; and per
@@ -48,15 +48,15 @@ def ordered_sums(df: DataFrame, by: str, sums: dict[str, str], groups: Sequence[
 
     `max_rows` is for callers that can prove an upper bound on the rows of one group (for example scores
     rounded to 4 digits). Up to `rows_per_task` rows per group the plain window is used. Without a proven
-    bound the input is computed once, its largest group is measured, and it is bucketed on its own
-    quantiles when that group is larger.
+    bound the input is computed once (unless it is `settled`, that is already materialised), its largest
+    group is measured, and it is bucketed on its own quantiles when that group is larger.
     """
     groups, then, lead = list(groups), list(then), list(lead)
     if lead and then:
         raise ValueError("lead needs an order on one column")
     order = [_order(by, descending), *[F.col(c) for c in then]]
     if max_rows is None or max_rows > rows_per_task:
-        df = cut_lineage(df)
+        df = df if settled else cut_lineage(df)
         sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
         largest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
     else:

@@ -21,12 +21,17 @@ def coded_admissions(codes: DataFrame, admission: str, targets: Mapping[int, Seq
     return codes.where(exact_code("code_norm", "version", targets)).select(admission).distinct()
 
 
+def admission_flags(codes: DataFrame, admission: str, targets: Mapping, groups: Mapping) -> DataFrame:
+    """Per admission: whether any code is a target and whether any is in a prefix group, in one pass."""
+    return codes.where(F.col(admission).isNotNull()).groupBy(admission).agg(
+        F.bool_or(exact_code("code_norm", "version", targets)).alias("is_target"),
+        F.bool_or(any_group("code_norm", "version", groups)).alias("is_similar"))
+
+
 def similar_admissions(codes: DataFrame, admission: str, groups: Mapping, exclude: Mapping) -> DataFrame:
-    """Admissions with a code in a prefix group and none that is excluded, found in one pass over the codes."""
-    flags = codes.groupBy(admission).agg(
-        F.bool_or(any_group("code_norm", "version", groups)).alias("similar"),
-        F.bool_or(exact_code("code_norm", "version", exclude)).alias("excluded"))
-    return flags.where(F.col("similar") & ~F.col("excluded")).select(admission)
+    """Admissions with a code in a prefix group and none that is excluded."""
+    flags = admission_flags(codes, admission, exclude, groups)
+    return flags.where(F.col("is_similar") & ~F.col("is_target")).select(admission)
 
 
 def add_demographics(spine: DataFrame, people: DataFrame, subject: str, start: str, min_age: int = MIN_AGE) -> DataFrame:
@@ -45,7 +50,13 @@ def code_defined_spine(admissions: DataFrame, codes: DataFrame, people: DataFram
 
     A subject with a target code that is not on `case_list` can be a control through another admission.
     """
-    coded = coded_admissions(codes, admission, targets)
+    if similar is None:
+        coded = coded_admissions(codes, admission, targets)
+    else:
+        # Both lists come from one aggregation over the codes, whose shuffle Spark reuses.
+        flags = admission_flags(codes, admission, targets, similar)
+        coded = flags.where("is_target").select(admission)
+        eligible = flags.where(F.col("is_similar") & ~F.col("is_target")).select(admission)
     hits = among(admissions, coded, [admission])
     if case_list is not None:
         hits = among(hits, case_list, [subject, admission])
@@ -53,7 +64,7 @@ def code_defined_spine(admissions: DataFrame, codes: DataFrame, people: DataFram
     cases = first_non_null(hits, subject, start, admission, kept)
     pool = not_among(admissions, cases, [subject])
     if similar is not None:
-        pool = among(pool, similar_admissions(codes, admission, similar, targets), [admission])
+        pool = among(pool, eligible, [admission])
     controls = first_non_null(pool, subject, start, admission, kept, latest=True)
     spine = stack_cases(cases, controls, label)
     spine = add_demographics(spine, people, subject, start, min_age)

@@ -44,7 +44,7 @@ spine AS (
 
 def event_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.times import window_end
-    first = (table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    first = (table(spark, sf_dir, "events").where((F.col("event_type") == "purchase") & F.col("user_id").isNotNull())
              .groupBy("user_id").agg(F.min("ts").alias("index_time")))
     return (first.withColumn("window_end", window_end("index_time"))
             .withColumn("label", (F.col("index_time") < F.expr("timestamp_ntz'2024-01-02 00:00:00'")).cast("int")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.times import AGE_EDGES, AGE_LABELS, right_closed_band
 from ..operators import audit as a
 from ..operators import metrics as m
+from ..operators.ranks import decile, score_rank
 from .common import query, rounded, table
 
 # Outcome: a finished order. Score: made from the price, in steps of 0.0001, with many ties.
@@ -186,6 +187,13 @@ def calibration_bucketed(spark, sf):
                    "mean_predicted", "observed", "ci_low", "ci_high")
 
 
+@query("score_deciles", f"""WITH {SCORED_SQL}, {RANKED_SQL.format(way='ASC')} SELECT o_orderkey, r AS score_rank,
+  greatest(1, ((r - 1) * 10 + total - 2) // (total - 1))::BIGINT AS decile FROM ranked""")
+def score_deciles(spark, sf):
+    ranked = score_rank(scored(spark, sf), "score", ["o_orderkey"], descending=False)
+    return ranked.select("o_orderkey", "score_rank", decile("score_rank", "score_rank_total").alias("decile"))
+
+
 @query("ece", f"""WITH {SCORED_SQL}, {CALIBRATION_SQL}
 SELECT round(sum(abs(observed - mean_predicted) * n) / sum(n), 6) AS ece FROM d""")
 def ece(spark, sf):
