@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import ordered_sums, exact_quantiles
+from .ranks import exact_quantiles, ordered_sums, sequence_sums
 
 
 def _count(name: str) -> Column:
@@ -114,13 +114,27 @@ def overlap_summary(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def joined_values(df: DataFrame, keys: Sequence[str], value: str, name: str, separator: str = "|",
-                  distinct: bool = True) -> DataFrame:
-    """Values per key in one sorted text. With `distinct`, copies are removed before the lists are built, so a
-    list holds each value of its key once."""
-    kept = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("string").alias("_v"))
-    if distinct:
-        kept = kept.distinct()
-    return kept.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("_v")), separator).alias(name))
+                  distinct: bool = True, part_chars: int = 16_000_000) -> DataFrame:
+    """Values per key in one sorted text, each once or, without `distinct`, as often as it occurs.
+
+    Copies are counted before any list is built. A key has one row with `part_no` 0; a text longer than
+    `part_chars` goes on in further rows, and the parts in order, joined by the separator, are the whole.
+    """
+    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("string").alias("_v"))
+              .agg((F.lit(1) if distinct else F.count(F.lit(1))).cast("long").alias("_n")))
+    # A value with very many copies is cut into chunks of at most `part_chars` characters.
+    cost = F.length("_v") + len(separator)
+    fit = F.greatest(F.lit(1), F.floor(F.lit(part_chars) / cost))
+    chunks = counts.withColumn("_fit", fit).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.col("_fit")))))
+    copies = F.least(F.col("_fit"), F.col("_n") - F.col("_chunk") * F.col("_fit"))
+    pieces = chunks.select(*keys, "_v", "_chunk", copies.alias("_copies"), (copies * cost).alias("_cost"))
+    placed = sequence_sums(pieces, ["_v", "_chunk"], {"_upto": "_cost"}, keys)
+    part = F.floor((F.col("_upto") - F.col("_cost")) / part_chars).alias("part_no")
+    lists = placed.groupBy(*keys, part).agg(
+        F.sort_array(F.collect_list(F.struct("_v", "_chunk", "_copies"))).alias("_pieces"))
+    repeated = F.flatten(F.transform("_pieces", lambda p: F.array_repeat(p["_v"], p["_copies"].cast("int"))))
+    return lists.select(*keys, "part_no", F.array_join(repeated, separator).alias(name))
 
 
 def subject_summary(df: DataFrame, subject: str, admission: str, confirmed: str, label: str) -> DataFrame:
@@ -337,7 +351,8 @@ def agreement_audit(coded: DataFrame, labelled: DataFrame, codes: DataFrame, tit
     """
     yes = labelled.where(F.col(confirmed))
     target = codes.where("is_target")
-    by_admission = joined_values(target, [admission], "code_norm", "target_codes")
+    # The listed codes of an admission: a handful, so there is only the first part.
+    by_admission = joined_values(target, [admission], "code_norm", "target_codes").where("part_no = 0").drop("part_no")
     audited = labelled.join(by_admission, admission, "left").withColumn("has_target", F.col("target_codes").isNotNull())
     reviewed = coded.select(subject, admission).join(
         labelled.select(subject, admission, label, confirmed), [subject, admission], "left")

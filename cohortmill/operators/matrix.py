@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import exact_quantiles
+from .ranks import exact_quantiles, sequence_sums
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
@@ -144,17 +143,22 @@ def fill_categories(df: DataFrame, columns: Sequence[str], missing: str = "MISSI
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in columns})
 
 
-def fit_categories(df: DataFrame, columns: Sequence[str]) -> StringIndexerModel:
-    """One sorted category list per column over all given rows (train and test together)."""
-    return StringIndexer(inputCols=list(columns), outputCols=[f"{c}_code" for c in columns],
-                         stringOrderType="alphabetAsc").fit(df)
+def category_dictionary(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): the distinct values of all given rows, train and test together, numbered in text order."""
+    values = df.select(F.col(column).alias("_value")).distinct().withColumn("_one", F.lit(1).cast("long"))
+    ranked = sequence_sums(values, ["_value"], {"_upto": "_one"})
+    return ranked.select(F.col("_value").alias(column), (F.col("_upto") - 1).alias(f"{column}_code"))
 
 
 def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls to a category of their own, then the position of each value in the sorted list, as `<c>_code`."""
-    filled = fill_categories(df, columns)
-    return fit_categories(filled, columns).transform(filled).withColumns(
-        {f"{c}_code": F.col(f"{c}_code").cast("long") for c in columns})
+    """Nulls to a category of their own, then the position of each value in the sorted list, as `<c>_code`.
+
+    The lists stay on the executors, so a column may have any number of values.
+    """
+    out = filled = fill_categories(df, columns)
+    for c in columns:
+        out = out.join(category_dictionary(filled, c), c, "left")
+    return out.select(*df.columns, *[f"{c}_code" for c in columns])
 
 
 def one_hot(df: DataFrame, split: str, columns: Sequence[str]) -> DataFrame:

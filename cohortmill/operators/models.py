@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import summary_scores
-from .ranks import hash_rank
+from .ranks import exact_quantiles, hash_rank
 
 # The two settings of the parameter grid, in the terms of Spark's boosted trees.
 GRID = [{"maxIter": 300, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.85, "minInstancesPerNode": 5},
@@ -239,14 +239,14 @@ def shadow_filter(train: DataFrame, validation: DataFrame, keys: Sequence[str],
 def shadow_summary(raw: DataFrame, keep: float = 0.80, reject: float = 0.20) -> DataFrame:
     """Per feature over the repeats: importances, hits against the shadow maximum, and a verdict."""
     hit = F.col("real_importance") > F.col("shadow_max")
+    medians = exact_quantiles(raw, "real_importance", {"median_real_importance": 0.5}, ["feature"]).drop("n")
     out = raw.groupBy("feature").agg(
         F.avg("real_importance").alias("mean_real_importance"),
-        F.percentile("real_importance", F.lit(0.5)).alias("median_real_importance"),
         F.max("real_importance").alias("max_real_importance"), F.avg("shadow_max").alias("mean_shadow_max_importance"),
         F.avg("shadow_p95").alias("mean_shadow_p95_importance"), F.count_if(hit).alias("hit_count"),
         F.avg(hit.cast("double")).alias("hit_rate"),
         F.avg(F.col("real_importance") - F.col("shadow_max")).alias("mean_importance_minus_shadow_max"),
-        F.count(F.lit(1)).alias("shadow_filter_repeats"))
+        F.count(F.lit(1)).alias("shadow_filter_repeats")).join(medians, "feature", "left")
     status = F.when(F.col("hit_rate") <= reject, "reject").when(F.col("hit_rate") >= keep, "keep").otherwise("tentative")
     return out.withColumn("shadow_filter_status", status)
 

@@ -9,36 +9,41 @@ from pyspark.sql import functions as F
 
 from ..functions import records as r
 from ..functions import text as t
+from ..operators.audit import joined_values
 from ..operators.joins import among
 from ..operators.ranks import ROWS_PER_TASK, ordered_sums, sequence_sums
 from ..operators.windows import interval_join
 
 PART_CHARS = 16_000_000
+NOTES_PER_TASK = 100_000
 
 
 def proxy_times(notes: DataFrame, detail: DataFrame, cases: DataFrame, keys: Sequence[str], note_id: str, ts: str,
                 text: str, field: tuple[str, str, str], positive: Sequence[str] = t.POSITIVE_PHRASES,
                 negated: Sequence[str] = t.NEGATED_PHRASES, headers: Sequence[str] = t.RESULT_HEADERS,
-                exam: Column | None = None) -> DataFrame:
+                modality: Sequence[str] = t.EXAM_MODALITY, anatomy: Sequence[str] = t.EXAM_ANATOMY,
+                excluded: Sequence[str] = t.EXAM_EXCLUDED) -> DataFrame:
     """First time per `keys` of a note whose result section states the finding and whose exam qualifies.
 
-    `detail` is a key/value table; `field` = (name column, value column, wanted name). Its values are joined
-    per note, and `exam` is a rule on the column `exam_name`.
+    `detail` is a key/value table; `field` = (name column, value column, wanted name). A note qualifies when
+    its values together name a modality and an anatomy and nothing excluded. Each pattern lies inside one
+    value, so three flags per note say the same as a search in the joined values.
     """
     name, value, wanted = field
     dated = among(notes, cases, keys).where(F.col(ts).isNotNull())
     section = t.result_section(F.col(text), headers) if headers else F.coalesce(F.col(text), F.lit(""))
     hits = dated.where(t.positive_not_negated(section, positive, negated)).select(*keys, note_id, ts)
-    exams = exam_names(among(detail.where(F.col(name) == wanted), hits, [note_id]), note_id, value)
-    rule = t.diagnostic_exam(F.col("exam_name")) if exam is None else exam
-    kept = hits.join(exams, note_id, "left").where(F.coalesce(rule, F.lit(False)))
-    return kept.groupBy(*keys).agg(F.min(ts).alias("proxy_time"))
+    exam = F.coalesce(F.col(value).cast("string"), F.lit(""))
+    flags = among(detail.where(F.col(name) == wanted), hits, [note_id]).groupBy(note_id).agg(
+        F.bool_or(t.any_pattern(exam, modality)).alias("_modality"), F.bool_or(t.any_pattern(exam, anatomy)).alias("_anatomy"),
+        F.bool_or(t.any_pattern(exam, excluded)).alias("_excluded"))
+    wanted_notes = flags.where(F.col("_modality") & F.col("_anatomy") & ~F.col("_excluded"))
+    return among(hits, wanted_notes, [note_id]).groupBy(*keys).agg(F.min(ts).alias("proxy_time"))
 
 
 def exam_names(detail: DataFrame, note_id: str, value: str) -> DataFrame:
-    """Exam names of a note, sorted and joined by ` | `; a note has a handful of them."""
-    return detail.where(F.col(value).isNotNull()).groupBy(note_id).agg(
-        F.array_join(F.sort_array(F.collect_list(F.col(value).cast("string"))), " | ").alias("exam_name"))
+    """Exam names of a note, sorted and joined by ` | `."""
+    return joined_values(detail, [note_id], value, "exam_name", " | ", distinct=False)
 
 
 def drug_features(orders: DataFrame, spine: DataFrame, on: Sequence[str], row_key: str, ts: str, start: str, end: str,
@@ -60,7 +65,7 @@ def staged_notes(notes: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
 
 
 def numbered_notes(notes: DataFrame, visit: str, seq: str, ts: str, note_id: str, text: str,
-                   numeric: bool = False, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   numeric: bool = False, rows_per_task: int = NOTES_PER_TASK) -> DataFrame:
     """`note_no` 1..n and `note_count` per visit, by sequence as text (so "10" comes before "2"; as a number
     with `numeric`), then time, then id. Also `chars_before`, the note characters ahead of the note."""
     keyed = notes.withColumns({

@@ -187,13 +187,13 @@ def subjects_by_prior(spark, sf):
     return agreement(spark, sf)["subjects_by_prior"]
 
 
-@query("joined_codes", f"WITH {CODES_SQL}, {TARGET_LIST_SQL} SELECT * FROM tc")
+@query("joined_codes", f"WITH {CODES_SQL}, {TARGET_LIST_SQL} SELECT *, 0 AS part_no FROM tc")
 def joined_codes(spark, sf):
     target = codes(spark, sf).where(exact_code("code_norm", "version", TARGETS))
     return a.joined_values(target, ["o_orderkey"], "code_norm", "target_codes")
 
 
-@query("joined_values_with_copies", """SELECT l_orderkey, string_agg(l_returnflag, ' | ' ORDER BY l_returnflag) AS flags
+@query("joined_values_with_copies", """SELECT l_orderkey, 0 AS part_no, string_agg(l_returnflag, ' | ' ORDER BY l_returnflag) AS flags
 FROM lineitem GROUP BY l_orderkey""")
 def joined_values_with_copies(spark, sf):
     return a.joined_values(table(spark, sf, "lineitem"), ["l_orderkey"], "l_returnflag", "flags", " | ", distinct=False)

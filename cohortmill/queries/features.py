@@ -290,3 +290,13 @@ def hours_to_first(spark, sf):
 def synthetic_keys(spark, sf):
     signups = table(spark, sf, "events").where(F.col("event_type") == "signup")
     return signups.select("event_id", synthetic_key("ED", "user_id", "ts").alias("visit_key"))
+
+
+@query("hours_filter", """WITH f AS (SELECT user_id, min(ts) AS t0 FROM events GROUP BY user_id),
+h AS (SELECT event_id, epoch_us(ts - t0) // 1000000 / 3600.0 AS hours FROM events JOIN f USING (user_id))
+SELECT event_id, round(hours, 6) AS hours FROM h WHERE hours BETWEEN 0 AND 24""")
+def hours_filter(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    starts = events.groupBy("user_id").agg(F.min("ts").alias("t0"))
+    hours = events.join(starts, "user_id").withColumn("hours", hours_between("t0", "ts"))
+    return rounded(hours.where(F.col("hours").between(0, 24)).select("event_id", "hours"), "hours")

@@ -96,6 +96,30 @@ def json_roundtrip(spark, sf):
     return readers.read_table(spark, path, {"o_orderkey": "string", "o_orderpriority": "string"}, "json")
 
 
+@query("appended_results", """SELECT o_orderpriority AS variant, count(*) AS n, CASE WHEN o_orderpriority = '5-LOW' THEN 'failed'
+  ELSE 'ok' END AS status FROM orders GROUP BY ALL""")
+def appended_results(spark, sf):
+    """Two batches with different columns in one growing table."""
+    path = f"{workspace(spark)}/results"
+    counts = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("variant")).agg(F.count(F.lit(1)).alias("n"))
+    s.append_rows(counts.where("variant <> '5-LOW'"), path)
+    s.append_rows(counts.where("variant = '5-LOW'").withColumn("status", F.lit("failed")), path)
+    return s.read_rows(spark, path, {"variant": "string", "n": "long", "status": "string"}).fillna({"status": "ok"})
+
+
+@query("fixed_feature_set", f"WITH {MATRIX_SQL} SELECT user_id, label, view_first, click_first FROM m")
+def fixed_feature_set(spark, sf):
+    from ..operators import matrix as x
+    return x.fixed_features(matrix(spark, sf), ["user_id", "label"], preset="web",
+                            presets={"web": ["view_first", "click_first"]})
+
+
+@query("dropped_columns", f"WITH {MATRIX_SQL} SELECT * EXCLUDE (error_first) FROM m")
+def dropped_columns(spark, sf):
+    from ..operators import matrix as x
+    return x.drop_present(matrix(spark, sf), ["error_first", "not_there"])
+
+
 @query("error_lines", "SELECT count(*) AS n FROM events WHERE event_type = 'error'")
 def error_lines(spark, sf):
     path = f"{workspace(spark)}/errors"

@@ -67,7 +67,7 @@ def detail(spark, sf):
     return main.union(second).union(docs.select("doc_id", F.lit("exam_code"), F.lit("MRA AORTA")))
 
 
-@query("exam_rule", f"WITH {DETAIL_SQL}, {EXAMS_SQL} SELECT doc_id, exam_name, {exam_sql('exam_name')} AS is_diagnostic FROM exams")
+@query("exam_rule", f"WITH {DETAIL_SQL}, {EXAMS_SQL} SELECT doc_id, 0 AS part_no, exam_name, {exam_sql('exam_name')} AS is_diagnostic FROM exams")
 def exam_rule(spark, sf):
     exams = n.exam_names(detail(spark, sf).where(F.col("field_name") == "exam_name"), "doc_id", "field_value")
     return exams.withColumn("is_diagnostic", t.diagnostic_exam(F.col("exam_name")))

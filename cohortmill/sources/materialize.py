@@ -124,6 +124,16 @@ def write_reports(reports: Mapping[str, DataFrame], folder: str, run_id: str, la
     return written
 
 
+def append_rows(df: DataFrame, path: str) -> None:
+    """Add result rows, failed ones included, to a growing JSON table; later rows may have other columns."""
+    df.write.mode("append").json(path)
+
+
+def read_rows(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
+    """The declared columns of a growing table; a row that lacks one has null there."""
+    return spark.read.schema(", ".join(f"`{c}` {t}" for c, t in columns.items())).json(path)
+
+
 def run_manifest(spark: SparkSession, values: Mapping[str, str], counts: Mapping[str, DataFrame]) -> DataFrame:
     """One row: text settings of a run and the row counts of its tables."""
     row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])

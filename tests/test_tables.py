@@ -39,6 +39,17 @@ def test_crosstab_and_frequencies(spark, rows):
     assert rows(a.frequencies(df, "k")) == [(None, 1, 25.0), ("a", 2, 50.0), ("b", 1, 25.0)]
 
 
+def test_joined_values_in_parts(spark):
+    df = spark.createDataFrame([("a", v) for v in ["x"] * 50 + ["yy"] * 3 + ["b"]] + [("c", "z"), ("d", None)], "k string, v string")
+    whole = {r["k"]: r["t"] for r in a.joined_values(df, ["k"], "v", "t", " | ", distinct=False).collect()}
+    assert whole == {"a": " | ".join(["b"] + ["x"] * 50 + ["yy"] * 3), "c": "z"}
+    parts = a.joined_values(df, ["k"], "v", "t", " | ", False, part_chars=40).where("k = 'a'").orderBy("part_no").collect()
+    assert len(parts) > 3 and " | ".join(r["t"] for r in parts) == whole["a"]
+    assert max(len(r["t"]) for r in parts) <= 80
+    once = {r["k"]: r["t"] for r in a.joined_values(df, ["k"], "v", "t").collect()}
+    assert once == {"a": "b|x|yy", "c": "z"}
+
+
 def test_histogram_closes_the_last_bin(spark, rows):
     df = spark.createDataFrame([(0.0,), (0.99,), (1.0,), (24.0,), (24.1,), (None,)], "v double")
     assert rows(a.histogram(df, "v", 0, 24, 24)) == [(1, 2), (2, 1), (24, 1)]

@@ -158,3 +158,30 @@ def test_hot_subject_in_a_shuffle_join(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_skewed_bins_are_split_at_run_time(spark):
+    """With a third of the events in one subject and bin, adaptive execution splits that join partition."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB", "spark.sql.shuffle.partitions": "32",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+                "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        events = spark.range(0, 300_000, 1, 16).select(
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.xxhash64("id") % 5000).cast("long").alias("subject"),
+            (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") % 60).cast("int"))).alias("ts"),
+            (F.col("id") % 2).alias("item"), (F.xxhash64("id") / 7).alias("value"))
+        subjects = events.select("subject").distinct()
+        spine = subjects.select(F.col("subject").alias("row_id"), "subject", F.lit(T0).cast("timestamp_ntz").alias("lo"),
+                                F.lit(T0 + HOUR).cast("timestamp_ntz").alias("hi"))
+        out = w.windowed_features(events, spine, item="item", value="value", names={0: "a", 1: "b"}, stats=["count", "max"], **KEYS)
+        n = F.col("a_count") + F.coalesce("b_count", F.lit(0))
+        totals = out.agg(F.sum(F.coalesce("a_count", F.lit(0)) + F.coalesce("b_count", F.lit(0))), F.max("a_max"), F.max(n))
+        assert tuple(totals.collect()[0])[::2] == (300_000, events.where("subject = 0").count())
+        assert "skew=true" in totals._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
