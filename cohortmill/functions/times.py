@@ -70,13 +70,21 @@ def censor_audit(censored: DataFrame, start: str, label: str) -> DataFrame:
         F.count_if(F.col("proxy_time") == F.col(start)).alias("at_or_before_start"))
 
 
-def seconds_between(start: str, end: str) -> Column:
-    return F.timestamp_diff("SECOND", F.col(start), F.col(end))
+def micros_between(start: Column, end: Column) -> Column:
+    """Microseconds from start to end as wall-clock times, whatever the session time zone."""
+    span = end.cast("timestamp_ntz") - start.cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), span)
+    whole = (part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return whole * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
+
+
+def epoch_micros(column: str) -> Column:
+    return micros_between(F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(column))
 
 
 def hours_between(start: str, end: str) -> Column:
-    """Whole seconds between two times, in float hours."""
-    return seconds_between(start, end) / F.lit(3600.0)
+    """Float hours from start to end, fractions of a second included."""
+    return micros_between(F.col(start), F.col(end)) / F.lit(3_600_000_000.0)
 
 
 def synthetic_key(prefix: str, subject: str, ts: str) -> Column:

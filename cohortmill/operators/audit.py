@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.times import hours_between
 from .ranks import exact_quantiles, ordered_sums, sequence_sums
 
 
@@ -223,7 +224,7 @@ def throughput(df: DataFrame, ok: Column, start: str, end: str) -> DataFrame:
     """Successes, errors, elapsed hours between the first start and the last end, and successes per hour."""
     totals = df.agg(F.count_if(ok).alias("parsed"), F.count_if(~ok).alias("errors"),
                     F.min(start).alias("_from"), F.max(end).alias("_to"))
-    hours = F.timestamp_diff("SECOND", F.col("_from"), F.col("_to")) / F.lit(3600.0)
+    hours = hours_between("_from", "_to")
     return totals.select("parsed", "errors", hours.alias("elapsed_hours"),
                          F.try_divide(F.col("parsed"), hours).alias("parsed_per_hour"))
 

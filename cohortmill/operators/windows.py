@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import epoch_micros
 from .ranks import ROWS_PER_TASK, exact_quantiles
 
 DAY = 86_400
@@ -14,8 +15,7 @@ STATS = ("min", "max", "mean", "first", "median", "count")
 
 
 def _bin(column: str, seconds: int) -> Column:
-    origin = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
-    return F.floor(F.timestamp_diff("SECOND", origin, F.col(column).cast("timestamp_ntz")) / seconds)
+    return F.floor(epoch_micros(column) / (seconds * 1_000_000))
 
 
 def interval_join(events: DataFrame, spine: DataFrame, on: Sequence[str], ts: str, start: str, end: str,

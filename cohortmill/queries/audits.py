@@ -258,8 +258,8 @@ def usage_summary(spark, sf):
 
 @query("throughput", """SELECT count(*) FILTER (WHERE event_type <> 'error') AS parsed,
   count(*) FILTER (WHERE event_type = 'error') AS errors,
-  round(epoch_us(max(ts) - min(ts)) // 1000000 / 3600.0, 6) AS elapsed_hours,
-  round(count(*) FILTER (WHERE event_type <> 'error') / (epoch_us(max(ts) - min(ts)) // 1000000 / 3600.0), 6) AS parsed_per_hour
+  round(epoch_us(max(ts) - min(ts)) / 3600000000.0, 6) AS elapsed_hours,
+  round(count(*) FILTER (WHERE event_type <> 'error') / (epoch_us(max(ts) - min(ts)) / 3600000000.0), 6) AS parsed_per_hour
 FROM events""")
 def throughput(spark, sf):
     return rounded(a.throughput(table(spark, sf, "events"), F.col("event_type") != "error", "ts", "ts"), "elapsed_hours",

@@ -270,7 +270,7 @@ def default_window_end(spark, sf):
 @query("hours_to_first", f"""WITH {JOINED_SQL}, f AS (
   SELECT user_id, min(index_time) AS index_time, min(ts) FILTER (WHERE event_type = 'click') AS first_time
   FROM j GROUP BY user_id),
-h AS (SELECT user_id, epoch_us(first_time - index_time) // 1000000 / 3600.0 AS hours FROM f)
+h AS (SELECT user_id, epoch_us(first_time - index_time) / 3600000000.0 AS hours FROM f)
 SELECT user_id, round(hours, 6) AS hours, CASE WHEN hours > -0.001 AND hours <= 2 THEN '0-2h'
   WHEN hours > 2 AND hours <= 6 THEN '2-6h' WHEN hours > 6 AND hours <= 12 THEN '6-12h'
   WHEN hours > 12 AND hours <= 24 THEN '12-24h' END AS timing_bin FROM h""")
@@ -293,7 +293,7 @@ def synthetic_keys(spark, sf):
 
 
 @query("hours_filter", """WITH f AS (SELECT user_id, min(ts) AS t0 FROM events GROUP BY user_id),
-h AS (SELECT event_id, epoch_us(ts - t0) // 1000000 / 3600.0 AS hours FROM events JOIN f USING (user_id))
+h AS (SELECT event_id, epoch_us(ts - t0) / 3600000000.0 AS hours FROM events JOIN f USING (user_id))
 SELECT event_id, round(hours, 6) AS hours FROM h WHERE hours BETWEEN 0 AND 24""")
 def hours_filter(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "ts")
