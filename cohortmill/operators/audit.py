@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import hours_between
-from .ranks import exact_quantiles, ordered_sums, sequence_sums
+from .ranks import exact_quantiles, sequence_sums
 
 
 def _count(name: str) -> Column:
@@ -252,9 +252,9 @@ def item_prevalence(observed: DataFrame, spine: DataFrame, row_key: str, item: s
 
 def rank_items(prevalence: DataFrame, item: str) -> DataFrame:
     """`prevalence_rank` 1..n by observed rows, then by item id."""
-    ranked = ordered_sums(prevalence.withColumn("_one", F.lit(1)), "observed", {"prevalence_rank": "_one"},
-                          descending=True, then=[item])
-    return ranked.drop("_one", "prevalence_rank_total")
+    keyed = prevalence.withColumns({"_one": F.lit(1).cast("long"), "_down": -F.col("observed")})
+    ranked = sequence_sums(keyed, ["_down", item], {"prevalence_rank": "_one"})
+    return ranked.drop("_one", "_down", "prevalence_rank_total")
 
 
 def top_items(prevalence: DataFrame, item: str, n: int, labels: DataFrame | None = None,
@@ -352,8 +352,9 @@ def agreement_audit(coded: DataFrame, labelled: DataFrame, codes: DataFrame, tit
     """
     yes = labelled.where(F.col(confirmed))
     target = codes.where("is_target")
-    # The listed codes of an admission: a handful, so there is only the first part.
-    by_admission = joined_values(target, [admission], "code_norm", "target_codes").where("part_no = 0").drop("part_no")
+    # A set of listed codes is never longer than the list, so it can be collected per admission as it is.
+    by_admission = target.where(F.col(admission).isNotNull()).groupBy(admission).agg(
+        F.array_join(F.sort_array(F.collect_set("code_norm")), "|").alias("target_codes"))
     audited = labelled.join(by_admission, admission, "left").withColumn("has_target", F.col("target_codes").isNotNull())
     reviewed = coded.select(subject, admission).join(
         labelled.select(subject, admission, label, confirmed), [subject, admission], "left")

@@ -107,18 +107,23 @@ def _over_buckets(bucketed: DataFrame, columns: Sequence[str], order: list[Colum
 
 def sequence_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str], groups: Sequence[str] = (),
                   rows_per_task: int = ROWS_PER_TASK, max_buckets: int = 1_024) -> DataFrame:
-    """`ordered_sums` for an ascending order on columns of any type; (groups, order) must be unique.
+    """`ordered_sums` for an ascending order on columns of any type; nulls in the order come first.
 
     Beyond `rows_per_task` rows in a group, the bucket limits are order keys of a small sample; they only
-    decide where the buckets are cut, so the result does not depend on them. Nulls in the order come first.
+    decide where the buckets are cut, so the result does not depend on them. Rows that are equal in the whole
+    order are told apart by their place in the checkpointed input, so even a third of all rows with one order
+    key is cut into buckets.
     """
     groups, order = list(groups), list(order)
     df = cut_lineage(df)
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     largest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
-    by = [F.col(c).asc() for c in order]
     if not total or largest <= rows_per_task:
-        return _with_running(df, by, sums, groups, [])
+        return _with_running(df, [F.col(c).asc() for c in order], sums, groups, [])
+    columns = df.columns
+    df = df.withColumn("_place", F.monotonically_increasing_id())
+    order = [*order, "_place"]
+    by = [F.col(c).asc() for c in order]
     buckets = min(max_buckets, max(2, math.ceil(4 * total / rows_per_task)))
     sample = df.select(*order).sample(min(1.0, 50 * buckets / total), seed=1).dropna().orderBy(*order).collect()
     cuts = [sample[(i * len(sample)) // buckets] for i in range(1, buckets)] if sample else []
@@ -137,7 +142,7 @@ def sequence_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str], gro
         block = below(limits(cuts[width - 1::width]))
         inside = below(F.slice(limits(cuts), block * width + 1, F.lit(width)))
         bucket = block * width + F.when(block * width < len(cuts), inside).otherwise(0)
-    return _over_buckets(df.withColumn("_bucket", bucket), df.columns, by, sums, groups, F.col("_bucket").asc())
+    return _over_buckets(df.withColumn("_bucket", bucket), columns, by, sums, groups, F.col("_bucket").asc())
 
 
 def hash_order(seed: int | str, *keys: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_micros
+from ..session import cut_lineage
 from .ranks import ROWS_PER_TASK, exact_quantiles
 
 DAY = 86_400
@@ -15,6 +16,8 @@ STATS = ("min", "max", "mean", "first", "median", "count")
 
 
 def _bin(column: str, seconds: int) -> Column:
+    if seconds % DAY == 0:
+        return F.floor(F.unix_date(F.col(column).cast("date")) / (seconds // DAY))
     return F.floor(epoch_micros(column) / (seconds * 1_000_000))
 
 
@@ -91,6 +94,8 @@ def windowed_features(events: DataFrame, spine: DataFrame, on: Sequence[str], ro
     joined = interval_join(keyed, windows, on, ts, start, end, bin_seconds)
     features = list(dict.fromkeys(names.values()))
     simple = [s for s in stats if s != "median"]
+    if simple and "median" in stats:
+        joined = cut_lineage(joined)  # two reductions follow; scan and join the events once
     wide = None
     if simple:
         cells = joined.groupBy(row_key, "feature").agg(*[_stat(s, value, ts).alias(s) for s in simple])
@@ -124,6 +129,8 @@ def measurement_features(measures: DataFrame, spine: DataFrame, on: Sequence[str
     kept = measures.select(*on, ts, *columns)
     windows = spine.select(*dict.fromkeys([*on, row_key, start, end]))
     joined = interval_join(kept, windows, on, ts, start, end, bin_seconds)
+    if "median" in stats:
+        joined = cut_lineage(joined)  # two reductions follow; scan and join the measurements once
     aggs = [F.count(F.lit(1)).alias(f"{prefix}count")]
     if "first" in stats:
         aggs.append(F.min_by(F.struct(*columns), F.struct(ts, *columns)).alias("_first"))

@@ -13,6 +13,7 @@ from ..operators import matrix as x
 from ..operators.joins import many_to_one, one_to_one
 from ..operators.windows import (CLINICAL_DIFFERENCES, CLINICAL_RATIOS, add_interval_measures, add_ratios, attach,
                                  measurement_features, windowed_features)
+from ..session import cut_lineage
 from ..sources.readers import ECG_COLUMNS, LABS, VITALS
 from .notes import drug_features
 
@@ -93,7 +94,8 @@ def model_matrix(raw: DataFrame, rules: MatrixRules) -> tuple[DataFrame, list[st
     categories = [c for c in rules.categories if c in raw.columns]
     features = [c for c in raw.columns if c not in fixed and c not in categories]
     out = x.has_measurement(raw, rules.require_count) if rules.require_count else raw
-    out = x.drop_sparse_rows(out, features, rules.row_threshold)
+    # The checks and the column decisions below are jobs of their own, so the raw matrix is computed once here.
+    out = cut_lineage(x.drop_sparse_rows(out, features, rules.row_threshold))
     x.require_both_splits(out, rules.split)
     features = [f for f in features if f not in set(rules.leakage)]
     train = out.where(F.col(rules.split) == "train")

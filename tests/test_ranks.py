@@ -48,6 +48,15 @@ def test_sequence_sums_on_text_order(spark, rows_per_task):
     assert len(both) == 900 and (both.no_x == both.no_y).all()
 
 
+def test_sequence_sums_with_many_copies(spark):
+    """A third of the rows are copies in every column; all of them get a number of their own."""
+    pdf = pd.DataFrame([("g", "same", 1) if i % 3 == 0 else ("g", f"k{i:05}", 1) for i in range(3000)],
+                       columns=["g", "seq", "one"])
+    got = ranks.sequence_sums(spark.createDataFrame(pdf), ["seq"], {"no": "one"}, ["g"], rows_per_task=100).toPandas()
+    assert sorted(got.no) == list(range(1, 3001))
+    assert got.sort_values("no").seq.is_monotonic_increasing
+
+
 @pytest.mark.parametrize("rows_per_task", [10 ** 6, 30])
 def test_exact_quantiles_match_numpy(spark, rows_per_task):
     data = skewed()
