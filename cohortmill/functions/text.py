@@ -34,14 +34,14 @@ EXAM_EXCLUDED = [r"\bCHEST \(PORTABLE", r"\bCHEST PORT", r"\bCHEST \(PA", r"\bPR
 
 # Drug names per group; each is matched as a whole word.
 DRUG_GROUPS = {
-    "beta_blocker": "esmolol labetalol metoprolol atenolol carvedilol propranolol",
-    "vasodilator": "nicardipine clevidipine nitroprusside nitroglycerin hydralazine",
-    "vasopressor": "norepinephrine epinephrine phenylephrine vasopressin dopamine dobutamine",
-    "opioid_analgesic": "morphine hydromorphone fentanyl oxycodone",
-    "nonopioid_analgesic": "acetaminophen ketorolac",
-    "anticoagulant": "heparin enoxaparin warfarin apixaban rivaroxaban bivalirudin argatroban",
-    "antiplatelet": "aspirin clopidogrel ticagrelor prasugrel eptifibatide tirofiban",
-    "statin": "atorvastatin rosuvastatin simvastatin pravastatin",
+    "beta_blocker": ["esmolol", "labetalol", "metoprolol", "atenolol", "carvedilol", "propranolol"],
+    "vasodilator": ["nicardipine", "clevidipine", "nitroprusside", "nitroglycerin", "hydralazine"],
+    "vasopressor": ["norepinephrine", "epinephrine", "phenylephrine", "vasopressin", "dopamine", "dobutamine"],
+    "opioid_analgesic": ["morphine", "hydromorphone", "fentanyl", "oxycodone"],
+    "nonopioid_analgesic": ["acetaminophen", "ketorolac"],
+    "anticoagulant": ["heparin", "enoxaparin", "warfarin", "apixaban", "rivaroxaban", "bivalirudin", "argatroban"],
+    "antiplatelet": ["aspirin", "clopidogrel", "ticagrelor", "prasugrel", "eptifibatide", "tirofiban"],
+    "statin": ["atorvastatin", "rosuvastatin", "simvastatin", "pravastatin"],
 }
 
 # Keyword ladder of diagnosis categories, first match wins.
@@ -97,8 +97,8 @@ def joined_text(*columns: str) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
-def word_groups(groups: Mapping[str, str]) -> dict[str, list[str]]:
-    return {group: [rf"\b{word}\b" for word in words.split()] for group, words in groups.items()}
+def word_groups(groups: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
+    return {group: [rf"\b{word}\b" for word in words] for group, words in groups.items()}
 
 
 def group_flags(text: Column, groups: Mapping[str, Sequence[str]]) -> dict[str, Column]:

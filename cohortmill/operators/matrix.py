@@ -111,26 +111,22 @@ def fixed_features(df: DataFrame, keys: Sequence[str], keep: Sequence[str] = (),
     return df.select(*keys, *keep)
 
 
-def _names(stem: str, stats: str) -> list[str]:
-    return [f"{name}_{stats}" for name in stem.split()]
-
-
 # The named feature sets.
 FEATURE_PRESETS = {
     "medication_tol0p01": [
         "med_vasodilator_any", "med_beta_blocker_count", "med_vasopressor_any", "encounter_urgency",
-        "med_anticoagulant_count", *_names("lactate platelets inr", "median"), "med_opioid_analgesic_count",
-        *_names("bun hemoglobin", "median"), "med_statin_any", "med_antiplatelet_any", "ecg_count",
-        "hematocrit_median", "race",
-        *_names("glucose wbc potassium alt calcium_total sodium bicarbonate magnesium phosphate creatinine ecg_t_end "
-                "ecg_qrs_onset ecg_qrs_end ecg_qtc_bazett ecg_t_axis", "median"),
-        "med_nonopioid_analgesic_count", "ecg_p_axis_median", "gender", "ecg_p_onset_median",
+        "med_anticoagulant_count", "lactate_median", "platelets_median", "inr_median", "med_opioid_analgesic_count",
+        "bun_median", "hemoglobin_median", "med_statin_any", "med_antiplatelet_any", "ecg_count", "hematocrit_median",
+        "race", "glucose_median", "wbc_median", "potassium_median", "alt_median", "calcium_total_median",
+        "sodium_median", "bicarbonate_median", "magnesium_median", "phosphate_median", "creatinine_median",
+        "ecg_t_end_median", "ecg_qrs_onset_median", "ecg_qrs_end_median", "ecg_qtc_bazett_median",
+        "ecg_t_axis_median", "med_nonopioid_analgesic_count", "ecg_p_axis_median", "gender", "ecg_p_onset_median",
     ],
     "labs_only_pre_tmux_tol0p01": [
-        "encounter_urgency", *_names("lactate platelets", "median"), "index_age",
-        *_names("wbc ecg_qt_interval bun", "median"), "race",
-        *_names("magnesium anion_gap creatinine", "median"), "marital_status",
-        *_names("sodium ecg_qtc_bazett ecg_qrs_axis phosphate bicarbonate ecg_p_axis potassium ecg_qrs_onset", "median"),
+        "encounter_urgency", "lactate_median", "platelets_median", "index_age", "wbc_median",
+        "ecg_qt_interval_median", "bun_median", "race", "magnesium_median", "anion_gap_median", "creatinine_median",
+        "marital_status", "sodium_median", "ecg_qtc_bazett_median", "ecg_qrs_axis_median", "phosphate_median",
+        "bicarbonate_median", "ecg_p_axis_median", "potassium_median", "ecg_qrs_onset_median",
     ],
 }
 
@@ -161,16 +157,19 @@ def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(*df.columns, *[f"{c}_code" for c in columns])
 
 
-def one_hot(df: DataFrame, split: str, columns: Sequence[str]) -> DataFrame:
+def one_hot(df: DataFrame, split: str, columns: Sequence[str], most: int = 2_000) -> DataFrame:
     """0/1 columns `<column>_<value>` for the training values except the first in order.
 
-    Test rows with a value unseen in training are 0 everywhere. Every value becomes a column, so this is for
-    columns with few values; `category_codes` has no such limit.
+    Test rows with a value unseen in training are 0 everywhere. Every value becomes a column, so a column with
+    more than `most` values raises; `category_codes` has no such limit.
     """
     train = df.where(F.col(split) == "train")
     added = {}
     for c in columns:
-        values = sorted(r[0] for r in train.select(c).where(F.col(c).isNotNull()).distinct().collect())
+        found = train.select(c).where(F.col(c).isNotNull()).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{c} has more than {most} values: use category_codes")
+        values = sorted(r[0] for r in found)
         for v in values[1:]:
             added[f"{c}_{v}"] = F.coalesce((F.col(c) == v).cast("int"), F.lit(0))
     return df.withColumns(added).drop(*columns)

@@ -32,9 +32,9 @@ def raw_matrix(spine: DataFrame, sources: Sequence[EventFeatures], on: Sequence[
                stats: Sequence[str] = ("first",), ecg: DataFrame | None = None, orders: DataFrame | None = None,
                order_text: Column | None = None, drug_groups: Mapping | None = None,
                bin_seconds: int = 86_400) -> DataFrame:
-    """Spine with features of every source in one lazy plan: each source is reduced to one row per spine row
-    before it is joined, so all joins are on the row key."""
-    out = spine
+    """Spine with the features of every source. The spine is computed once, since every source joins it; each
+    source is reduced to one row per spine row before it is attached, so all attaching joins are on the row key."""
+    out = spine = cut_lineage(spine)
     for source in sources:
         wide = windowed_features(source.events, spine, on, row_key, source.ts, start, end, source.item, source.value,
                                  source.names, stats, bin_seconds)
@@ -80,8 +80,12 @@ class MatrixRules:
 
 
 # Feature columns that tell about test ordering.
-LEAKAGE_COLUMNS = [f"{lab}_{stat}" for stat in ("min", "max", "mean", "median")
-                   for lab in ("ddimer", "troponin_t", "troponin_i", "crp", "fibrinogen")]
+LEAKAGE_COLUMNS = [
+    "ddimer_min", "ddimer_max", "ddimer_mean", "troponin_t_min", "troponin_t_max", "troponin_t_mean",
+    "troponin_i_min", "troponin_i_max", "troponin_i_mean", "crp_min", "crp_max", "crp_mean",
+    "fibrinogen_min", "fibrinogen_max", "fibrinogen_mean", "ddimer_median", "troponin_t_median",
+    "troponin_i_median", "crp_median", "fibrinogen_median",
+]
 
 
 def model_matrix(raw: DataFrame, rules: MatrixRules) -> tuple[DataFrame, list[str]]:
