@@ -38,10 +38,10 @@ NULLS = " + ".join(f"({col} IS NULL)::INT" for col in FIRSTS)
 
 
 @query("model_matrix", f"""WITH {MATRIX_SQL}, k AS (SELECT * FROM m WHERE ({NULLS}) / 5 <= 0.6)
-SELECT user_id, cohort_split, label, kind, click_first, purchase_first, view_first FROM
-  (SELECT *, CASE WHEN user_id % 3 = 0 THEN 'MISSING' ELSE 'kind ' || user_id % 3 END AS kind FROM k)""")
+SELECT user_id, CASE WHEN substr(md5(user_id || ':42'), 1, 8) < '80000000' THEN 'test' ELSE 'train' END AS cohort_split, label,
+  kind, click_first, purchase_first, view_first FROM (SELECT *, CASE WHEN user_id % 3 = 0 THEN 'MISSING' ELSE 'kind ' || user_id % 3 END AS kind FROM k)""")
 def model_matrix(spark, sf):
-    raw = matrix(spark, sf).withColumn("kind", F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("kind "), F.col("user_id") % 3)))
+    raw = c.holdout_split(matrix(spark, sf), ["user_id"], 0.5).withColumn("kind", F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("kind "), F.col("user_id") % 3)))
     rules = pm.MatrixRules(["user_id"], "label", categories=["kind"], row_threshold=0.6, column_threshold=0.8,
                            leakage=["error_first"], drop=["signup_first"])
     return pm.model_matrix(raw, rules)[0]
