@@ -122,15 +122,14 @@ SHINGLE = 5
 _places = np.random.default_rng(77).integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
-    """One 64-bit value for each run of n words; fewer words give one value for the whole sequence, none give none."""
+def shingles(words: np.ndarray) -> np.ndarray:
+    """One 64-bit value for each run of SHINGLE words; fewer words give one value for all of them, none give none."""
+    n = SHINGLE
     if not len(words):
         return np.zeros(0, np.uint64)
     if len(words) < n:
-        total = np.uint64(len(words)) * _places[n]
-        for k in range(len(words)):
-            total = total + words[k] * _places[k]
-        return mixed(np.array([total], np.uint64), 2)
+        total = (words * _places[:len(words)]).sum(keepdims=True) + _places[n:] * np.uint64(len(words))
+        return mixed(total, 2)
     total = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
         total += words[k:len(words) - n + 1 + k] * _places[k]
