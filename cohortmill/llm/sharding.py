@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .places import bucket_bits, placed
@@ -36,6 +36,11 @@ def _positions(df: DataFrame, dims: list[str], alike: Column, row: Column) -> Da
     return df.withColumn("_keys", F.array(*keys))
 
 
+def _small(spark: SparkSession, kinds: dict[str, pa.DataType], rows: list[dict]) -> DataFrame:
+    """One row per node, from the driver's bookkeeping of the tree."""
+    return spark.createDataFrame(pa.table({c: pa.array([r[c] for r in rows], kind) for c, kind in kinds.items()}))
+
+
 def _medians(rows: DataFrame, nodes: list[dict]) -> dict[int, int]:
     """For each node, the key on its dimension below which about `part` of its weight lies.
 
@@ -48,8 +53,7 @@ def _medians(rows: DataFrame, nodes: list[dict]) -> dict[int, int]:
     while open_:
         step = min(_DIGIT_BITS, _BITS - used)
         shift = _BITS - used - step
-        fields = "node int, dim int, prefix long, goal double"
-        asked = spark.createDataFrame([(n["node"], n["dim"], n["prefix"], float(n["goal"])) for n in open_], fields)
+        asked = _small(spark, {"node": pa.int32(), "dim": pa.int32(), "prefix": pa.int64(), "goal": pa.float64()}, open_)
         key = F.element_at("_keys", F.col("dim") + 1)
         counted = (rows.join(F.broadcast(asked), "node").where(F.shiftright(key, shift + step) == F.col("prefix"))
                    .groupBy("node", "goal", F.shiftright(key, shift).alias("digit")).agg(F.sum("weight").alias("held")))
@@ -97,7 +101,7 @@ def kd_shards(df: DataFrame, dims: list[str], weight: Column, target_bytes: int
         nodes = [{"node": n, "weight": seen[n]["held"], "part": (v[1] // 2) / v[1], "dim": max(range(len(dims)), key=lambda i, n=n: (seen[n]["spread"][i], -i))}
                  for n, v in open_.items() if n in seen]
         cuts = _medians(rows, nodes)
-        table = df.sparkSession.createDataFrame([(n["node"], n["dim"], cuts[n["node"]]) for n in nodes], "node int, dim int, cut long")
+        table = _small(df.sparkSession, {"node": pa.int32(), "dim": pa.int32(), "cut": pa.int64()}, [{**n, "cut": cuts[n["node"]]} for n in nodes])
         cut_tables.append(table)
         rows = _descended(rows, table)
         if len(cut_tables) % _LEVELS_PER_CUT == 0:
@@ -107,7 +111,7 @@ def kd_shards(df: DataFrame, dims: list[str], weight: Column, target_bytes: int
     out = keyed.withColumn("node", F.lit(0))
     for table in cut_tables:
         out = _descended(out, table)
-    leaves = df.sparkSession.createDataFrame(list(final.items()), T.StructType([T.StructField("node", T.IntegerType()), T.StructField(into, T.IntegerType())]))
+    leaves = _small(df.sparkSession, {"node": pa.int32(), into: pa.int32()}, [{"node": n, into: s} for n, s in final.items()])
     return out.join(F.broadcast(leaves), "node", "left").drop("node", "_keys", "_weight")
 
 
