@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination, hit_words
+from .licenses import scan_licenses
 from .registry import query, table
 
 _LEAK_SQL = r"""
@@ -34,3 +35,11 @@ def op1_decontamination(spark, sf_dir):
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"), drop=("text",)).withColumn("n_hit", hit_words())
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark, sf_dir):
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"),
+                        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+                        F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"))
