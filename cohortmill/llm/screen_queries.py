@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination, hit_words
+from .langid import fold
 from .licenses import scan_licenses
 from .registry import query, table
+from .secret_forest import scan_secrets
 
 _LEAK_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -43,3 +45,17 @@ def op7_license_scan(spark, sf_dir):
     return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"),
                         F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
                         F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"))
+
+
+def true_finding():
+    """What labels a finding as true: the published form of an access key id, or hexadecimal digits assigned to a credential's name."""
+    return (F.col("value").rlike("^AKIA[A-Z0-9]{16}$")
+            | (F.col("key_word").rlike("password|token|secret|key") & F.col("value").rlike("^[0-9a-f]{16,}$")))
+
+
+@query("op3_secret_findings")
+def op3_secret_findings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = scan_secrets(docs, true_finding(), fold("key") != 0)
+    return found.where("score >= 0.5").select(F.col("key").alias("doc_id"), "word_no", F.sha2("value", 256).alias("value_sha256"),
+                                              F.col("key_word").alias("name"), F.round("score", 6).alias("score"))
