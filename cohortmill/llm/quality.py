@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .textbytes import SOLID_BYTES, bound_batches, text_bytes, with_arrow_columns, word_chunks
 
 #: Random features, kernel width over standardised statistics, ridge penalty per row, and rows that a fit may read.
@@ -136,8 +137,8 @@ def fit_quality(labelled: DataFrame, calibrating: Column, statistics: str = "sta
     and the normal equations of FEATURES + 1 unknowns, then a histogram of raw scores. Rows with a null label take no
     part; without rows every score is 0.5, with one class it is that class's share.
     """
-    rows = labelled.where(F.col(label).isNotNull() & F.col(statistics).isNotNull()).select(
-        statistics, F.col(label).cast("double").alias("label"), calibrating.alias("late"))
+    rows = cut_lineage(labelled.where(F.col(label).isNotNull() & F.col(statistics).isNotNull()).select(
+        statistics, F.col(label).cast("double").alias("label"), calibrating.alias("late")))
     if (n := rows.count()) > MAX_LABELLED:
         rows = rows.where(F.pmod(F.xxhash64(statistics), F.lit(1 << 30)) < int((1 << 30) * MAX_LABELLED / n))
     d = len(STATISTICS)
