@@ -75,6 +75,9 @@ def _cleaned(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def _rotation(rows: DataFrame, width: int) -> np.ndarray:
     """Eigenvectors, largest first, of the summed outer products: width x width numbers from each of _PARTS tasks."""
+    if not width:
+        return np.zeros((0, 0))
+
     def run(batches):
         total = np.zeros((width, width))
         for batch in batches:
@@ -84,7 +87,7 @@ def _rotation(rows: DataFrame, width: int) -> np.ndarray:
 
     parts = rows.select("vector", "wide").coalesce(_PARTS).mapInArrow(run, "total binary").toLocalIterator()
     total = sum((np.frombuffer(r[0]).reshape(width, width) for r in parts), np.zeros((width, width)))
-    return np.linalg.eigh(total / max(1.0, np.abs(total).max()))[1][:, ::-1].copy()
+    return np.linalg.eigh(total / max(1.0, np.abs(total).max(initial=0)))[1][:, ::-1].copy()
 
 
 def _blocks(rows: DataFrame, width: int, size: int) -> DataFrame:
