@@ -2,12 +2,12 @@
 
 Tokens are hashes of five-word shingles. Two sets of Jaccard similarity t or more share a token among the first
 n - ceil(t n) + 1 tokens of each, under any global order. Three orders are used: by a frequency class of the token
-(rare first), then by one of three hashes. The tokens of order 1 are indexed; documents that share none of them with
-another document leave at once, and so do those without shared prefix tokens under orders 2 and 3.
+(rare first), then by one of three hashes. A link needs t n common tokens, so documents of which fewer tokens occur
+elsewhere leave first; of the others, those without a shared prefix token under any of the orders.
 
 Links are found by pivots: in every token's list all documents are paired with one of them, so a group of copies gives as
-many pairs as it has members. What the links found so far leave in different components is then paired in full, each pair
-at its first common token. So the components are exact while pairs inside a component are never enumerated.
+many pairs as it has members. What the links found so far leave in different components is compared block by block. So the
+components are exact, while pairs inside a component are never enumerated.
 """
 
 from __future__ import annotations
@@ -22,82 +22,55 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .components import components
-from .textbytes import SOLID_BYTES, bound_batches, mixed, shingles, with_arrow_columns, word_chunks
+from .shared_tokens import shared_counts, text_sets
+from .textbytes import bound_batches, mixed, with_arrow_columns
 
 PERCENT, ORDERS, PIVOT_ROUNDS = 80, 3, 3
+#: Largest bit table of document ids that is broadcast, as a power of two of bits; tasks that sum one.
+MAX_FILTER_BITS, _PARTS = 29, 16
 #: Tokens counted in a task, reported by a task, and kept in the broadcast table of frequent tokens.
 TASK_TOKENS, TASK_REPORT, MAX_FREQUENT = 1 << 20, 1 << 16, 1 << 20
 _CLASS_STEPS = 4
-
-
-def text_sets(column: pa.Array):
-    """(row, sorted distinct tokens) of every text, in order."""
-    for chunk in word_chunks(column, SOLID_BYTES):
-        for i in range(chunk.hi - chunk.lo):
-            found = np.sort(shingles(chunk.hashes[chunk.first[i]:chunk.first[i + 1]]))
-            if len(found) > 1:
-                found = found[np.append(True, found[1:] != found[:-1])]
-            yield chunk.lo + i, found
+#: Tokens of a block of documents that is compared with another as a whole.
+BLOCK_TOKENS = 1 << 18
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1 if n else 0
 
 
-def _set_marks(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows (id, n, mark1, mark2) of every document; and, with a null n, (mark1: token, mark2: times) of tokens of a task.
-
-    n and the two marks name the set. A task counts the tokens of different sets, dropping the rarest where its table
-    is full, and reports those that it saw twice or more.
-    """
-    bound_batches(docs)
-    kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.IntegerType()), T.StructField("mark1", T.LongType()),
-                           T.StructField("mark2", T.LongType())])
-    names = schema.names
+def _token_reports(sets: DataFrame) -> DataFrame:
+    """(token, times) of tokens that a task saw in two sets or more; it drops the rarest where its table is full."""
+    bound_batches(sets)
 
     def run(batches):
-        tokens, times, seen, pending = np.zeros(0, np.uint64), np.zeros(0, np.int64), set(), []
+        tokens, times, pending = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
-        def merge(tokens, times, pending):
+        def merge():
             new, n = np.unique(np.concatenate(pending), return_counts=True)
             both = np.concatenate([tokens, new])
             order = np.argsort(both, kind="stable")
             both, counts = both[order], np.concatenate([times, n])[order]
             at = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-            tokens, times = both[at], np.add.reduceat(counts, at)
-            if len(tokens) > TASK_TOKENS:
-                kept = np.sort(np.argpartition(-times, TASK_TOKENS // 2)[:TASK_TOKENS // 2])
-                tokens, times = tokens[kept], times[kept]
-            return tokens, times
+            kept, sums = both[at], np.add.reduceat(counts, at)
+            if len(kept) > TASK_TOKENS:
+                often = np.sort(np.argpartition(-sums, TASK_TOKENS // 2)[:TASK_TOKENS // 2])
+                kept, sums = kept[often], sums[often]
+            return kept, sums
 
-        id_type = None
         for batch in batches:
-            n = np.zeros(batch.num_rows, np.int32)
-            marks = np.zeros((2, batch.num_rows), np.uint64)
-            for row, found in text_sets(batch.column(1)):
-                if len(found):
-                    n[row] = len(found)
-                    marks[0, row], marks[1, row] = found.sum(), mixed(found, 9).sum()
-                    mark = (int(marks[0, row]), int(marks[1, row]))
-                    if mark not in seen:
-                        seen.add(mark)
-                        pending.append(found)
+            pending.extend(np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0))
             if sum(map(len, pending)) >= TASK_TOKENS // 2:
-                tokens, times = merge(tokens, times, pending)
+                tokens, times = merge()
                 pending = []
-            id_type = batch.column(0).type
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64))], names=names)
         if pending:
-            tokens, times = merge(tokens, times, pending)
+            tokens, times = merge()
         often = np.flatnonzero(times >= 2)
         if len(often) > TASK_REPORT:
             often = often[np.argpartition(-times[often], TASK_REPORT)[:TASK_REPORT]]
-        if len(often):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), id_type), pa.nulls(len(often), pa.int32()),
-                                              pa.array(tokens[often].view(np.int64)), pa.array(times[often])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(times[often])], names=["token", "times"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return sets.select("set").mapInArrow(run, "token long, times long")
 
 
 @dataclass
@@ -126,7 +99,7 @@ class TokenOrder:
 
 def token_order(reports: DataFrame, most: int = MAX_FREQUENT) -> TokenOrder:
     """The order's table from the tasks' reports: the frequent tokens down to the class at which `most` is kept."""
-    counted = cut_lineage(reports.groupBy(F.col("mark1").alias("token")).agg(F.sum("mark2").alias("times"))
+    counted = cut_lineage(reports.groupBy("token").agg(F.sum("times").alias("times"))
                           .withColumn("class", F.least(F.lit(250), F.floor(F.log2(F.col("times")) * _CLASS_STEPS)).cast("int")))
     held, lowest = 0, 251
     for r in sorted(counted.groupBy("class").count().collect(), key=lambda r: -r["class"]):
@@ -147,29 +120,73 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(at, np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64))
 
 
-def _prefix_index(order, text: str, percent: int):
-    """Prefix tokens under order 1, apart: those of no known frequency, and those that several sets hold for sure."""
+def _prefixes(sets: DataFrame, order, percent: int, orders: int) -> DataFrame:
+    """(id, n, rare, known, p2, ...): prefix tokens of every set under each order.
+
+    Under order 1 those of no known frequency stand apart from those that several sets hold for sure.
+    """
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        rare, known, sizes = [], [], []
-        for _, tokens in text_sets(batch.column(batch.schema.get_field_index(text))):
+        column, sizes = batch.column(batch.schema.get_field_index("set")), []
+        parts: list[list[np.ndarray]] = [[] for _ in range(orders + 1)]
+        for x in column:
+            tokens = np.frombuffer(x.as_buffer(), np.uint64)
             found = tokens[order.value.prefix(tokens, 1, percent)]
             often = order.value.classes_of(found) > 0
-            rare.append(found[~often]), known.append(found[often]), sizes.append(len(tokens))
-        return [pa.array(sizes, pa.int32()), _lists(rare), _lists(known)]
+            sizes.append(len(tokens)), parts[0].append(found[~often]), parts[1].append(found[often])
+            for k in range(2, orders + 1):
+                parts[k].append(tokens[order.value.prefix(tokens, k, percent)])
+        return [pa.array(sizes, pa.int32()), *map(_lists, parts)]
 
-    return make
+    lists = T.ArrayType(T.LongType())
+    fields = [("n", T.IntegerType()), ("rare", lists), ("known", lists), *[(f"p{k}", lists) for k in range(2, orders + 1)]]
+    return with_arrow_columns(sets, fields, make, ("set",))
 
 
-def _set_rows(order, text: str, percent: int, orders: int):
-    def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        sets, prefixes = [], [[] for _ in range(2, orders + 1)]
-        for _, tokens in text_sets(batch.column(batch.schema.get_field_index(text))):
-            sets.append(tokens.tobytes())
-            for k in range(2, orders + 1):
-                prefixes[k - 2].append(tokens[order.value.prefix(tokens, k, percent)])
-        return [pa.array(sets, pa.binary()), *map(_lists, prefixes)]
+def _likely_ids(ids: DataFrame, count: int) -> np.ndarray:
+    """A bit table of 16 bits an id, at most MAX_FILTER_BITS: two bits are set for every id's hash."""
+    size = 1 << min(MAX_FILTER_BITS, max(16, (16 * count).bit_length()))
+
+    def run(batches):
+        table = np.zeros(size, bool)
+        for batch in batches:
+            for x in _bits(np.asarray(batch.column(0)), size):
+                table[x] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["bits"])
+
+    parts = ids.select(F.xxhash64("id").alias("h")).coalesce(_PARTS).mapInArrow(run, "bits binary").toLocalIterator()
+    out = np.zeros(size // 8, np.uint8)
+    for r in parts:
+        out |= np.frombuffer(r[0], np.uint8)
+    return out
+
+
+def _bits(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    h = hashes.view(np.uint64)
+    return (h % np.uint64(size)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(size)).astype(np.int64)
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, set) of the documents whose id is in `nodes`: a bit table of bounded size spares all other texts the way."""
+    count = nodes.count()
+    ids = nodes.select("id").distinct()
+    rows = docs.select("id", "text", F.xxhash64("id").alias("h"))
+    if 16 * count <= 1 << MAX_FILTER_BITS:
+        bits = docs.sparkSession.sparkContext.broadcast(_likely_ids(ids, count))
+    else:
+        rows, bits = rows.join(ids, "id", "left_semi"), None
+    bound_batches(docs)
+
+    def run(batches):
+        for batch in batches:
+            if bits is not None and batch.num_rows:
+                a, b = _bits(np.asarray(batch.column(2)), 8 * len(bits.value))
+                there = (bits.value[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (bits.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1
+                batch = batch.filter(pa.array(there == 1))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tobytes() for _, t in text_sets(batch.column(1))], pa.binary())], names=["id", "set"])
 
-    return make
+    found = rows.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("set", T.BinaryType())]))
+    return (found if bits is None else found.join(ids, "id", "left_semi")).where(F.length("set") > 0)
 
 
 def _shared(rows: DataFrame, tokens: str, into: str) -> DataFrame:
@@ -197,15 +214,18 @@ def _common(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_arrow_columns(both, [("linked", T.BooleanType())], make, ("set_a", "set_b"))
 
 
-def _near(percent: int, a: str, b: str) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _near(percent: int, x: str, y: str) -> Column:
+    """Whether the sizes allow a link: the common tokens are among those of each set that occur elsewhere."""
+    common = F.least(f"n_{x}", f"n_{y}", f"shared_{x}", f"shared_{y}").cast("long")
+    return 100 * common >= percent * (F.col(f"n_{x}") + F.col(f"n_{y}") - common)
 
 
 def _filtered(pairs: DataFrame, shared: DataFrame, orders: int, percent: int) -> DataFrame:
     """Pairs whose sizes allow a link and that share prefix tokens under the orders from 2 on too."""
     later = [f"t{k}" for k in range(2, orders + 1)]
-    sides = [shared.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(t).alias(f"{t}_{x}") for t in later]) for x in ("a", "b")]
-    met = pairs.join(sides[0], "a").join(sides[1], "b").where(_near(percent, "n_a", "n_b"))
+    sides = [shared.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"shared_{x}"), *[F.col(t).alias(f"{t}_{x}") for t in later])
+             for x in ("a", "b")]
+    met = pairs.join(sides[0], "a").join(sides[1], "b").where(_near(percent, "a", "b"))
     for t in later:
         met = met.where(F.arrays_overlap(f"{t}_a", f"{t}_b"))
     return met.select("a", "b")
@@ -219,25 +239,21 @@ def similar_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", perce
     named by their smallest key, so rows of one key are one document. Rows with a null key have a null component; an
     empty table gives no rows.
     """
-    spark = docs.sparkSession
     narrow = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    marks = cut_lineage(_set_marks(narrow, "text", "id"))
-    named = marks.where(F.col("n").isNotNull())
-    order = spark.sparkContext.broadcast(token_order(marks.where(F.col("n").isNull())))
-    nodes = cut_lineage(named.where("n > 0 AND id IS NOT NULL").groupBy("n", "mark1", "mark2").agg(F.min("id").alias("node")))
-    first = narrow.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    lists = T.ArrayType(T.LongType())
-    index = cut_lineage(with_arrow_columns(first, [("n", T.IntegerType()), ("rare", lists), ("known", lists)],
-                                           _prefix_index(order, "text", percent), ("text",)))
+    named = cut_lineage(shared_counts(narrow))
+    nodes = cut_lineage(named.where("n > 0 AND id IS NOT NULL").groupBy("n", "mark1", "mark2")
+                        .agg(F.min("id").alias("node"), F.max("shared").alias("shared")))
+    close = (nodes.where(100 * F.col("shared").cast("long") >= percent * F.col("n"))
+             .groupBy(F.col("node").alias("id")).agg(F.max("shared").alias("shared")))
+    sets = cut_lineage(_sets_of(narrow, close))
+    order = docs.sparkSession.sparkContext.broadcast(token_order(_token_reports(sets)))
+    index = cut_lineage(_prefixes(sets, order, percent, orders))
     met = _shared(index, "rare", "met")
-    left = cut_lineage(index.where("n > 0").join(met, "id", "left")
-                       .select("id", "n", F.array_sort(F.concat("known", F.coalesce("met", F.array().cast(lists)))).alias("t1"))
-                       .where(F.size("t1") > 0))
-    fields = [("set", T.BinaryType()), *[(f"p{k}", lists) for k in range(2, orders + 1)]]
-    sets = cut_lineage(with_arrow_columns(narrow.join(left.select("id").distinct(), "id", "left_semi"), fields,
-                                          _set_rows(order, "text", percent, orders), ("text",)))
+    left = (index.join(met, "id", "left").join(close, "id")
+            .select("id", "n", "shared", F.array_sort(F.concat("known", F.coalesce("met", F.array().cast("array<bigint>")))).alias("t1"))
+            .where(F.size("t1") > 0))
     for k in range(2, orders + 1):
-        left = left.join(_shared(sets.join(left.select("id"), "id", "left_semi"), f"p{k}", f"t{k}"), "id")
+        left = left.join(_shared(index, f"p{k}", f"t{k}"), "id")
     left = cut_lineage(left)
     links = _links(left, sets, orders, percent)
     reached = components(links)
@@ -250,8 +266,7 @@ def similar_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", perce
 
 def _links(left: DataFrame, sets: DataFrame, orders: int, percent: int) -> DataFrame:
     """Links (a, b) that join every two nodes which all links together would join."""
-    later = [f"t{k}" for k in range(2, orders + 1)]
-    held = left.select("id", "n", F.col("id").alias("component"))
+    held = left.select("id", "n", "shared", F.col("id").alias("component"))
     found, tried = None, None
     for r in range(PIVOT_ROUNDS):
         rows = (left.select("id", F.explode("t1").alias("token")).join(held.select("id", "component"), "id"))
@@ -267,23 +282,80 @@ def _links(left: DataFrame, sets: DataFrame, orders: int, percent: int) -> DataF
         new = done.where("linked").select("a", "b")
         found = new if found is None else found.union(new)
         reached = components(found)
-        held = (left.select("id", "n").join(reached.withColumnRenamed("node", "id"), "id", "left")
-                .select("id", "n", F.coalesce("component", "id").alias("component")))
+        held = (left.select("id", "n", "shared").join(reached.withColumnRenamed("node", "id"), "id", "left")
+                .select("id", "n", "shared", F.coalesce("component", "id").alias("component")))
         held = cut_lineage(held)
-    rest = left.join(held.select("id", "component"), "id")
-    rows = rest.select("id", "n", "component", "t1", *later, F.posexplode("t1").alias("place", "token"))
+    return found.union(_across(left, held, sets, percent))
+
+
+def _across(left: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of one token list that are in different components: as many as join what can be joined.
+
+    Documents are dealt into blocks of about BLOCK_TOKENS tokens: those of a component together, single ones with the
+    largest component of a list of theirs. Blocks that meet in a list with several components are compared as wholes,
+    each pair of blocks once, so no pair of documents becomes a row, however large a group.
+    """
+    rows = left.select("id", F.explode("t1").alias("token")).join(held, "id")
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("members"))
     main = (sizes.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("parts"))
             .where("parts > 1").select("token", "main"))
-    rows = rows.join(main, "token").withColumn("before", F.slice("t1", F.lit(1), F.col("place"))).drop("t1", "place")
-    names = ["id", "n", "component", "before", *later]
-    small = rows.where("component <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in names])
-    every = rows.select("token", "main", *[F.col(c).alias(f"{c}_y") for c in names])
-    apart = ((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("main")) | (F.col("id_x") < F.col("id_y")))
-             & _near(percent, "n_x", "n_y") & ~F.arrays_overlap("before_x", "before_y"))
-    for t in later:
-        apart = apart & F.arrays_overlap(f"{t}_x", f"{t}_y")
-    pairs = (small.alias("x").join(every.alias("y"), (F.col("x.token") == F.col("y.token")) & apart)
-             .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-             .join(tried, ["a", "b"], "left_anti"))
-    return found.union(_common(pairs, sets, percent).where("linked").select("a", "b"))
+    lists = cut_lineage(rows.select("id", "n", "component", "token").join(main, "token"))
+    own = lists.groupBy("id", "n", "component").agg(F.min("main").alias("main"))
+    members = held.groupBy("component").agg(F.count("*").alias("members"))
+    homes = (own.join(members, "component")
+             .select("id", "n", "component", F.when(F.col("members") > 1, F.col("component")).otherwise(F.col("main")).alias("home")))
+    chunks = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("chunks"))
+    dealt = cut_lineage(homes.join(chunks, "home").select("id", "component", F.struct("home", F.pmod(F.xxhash64("id"), "chunks").alias("chunk")).alias("block")))
+    met = (lists.select("id", "token").join(dealt, "id").groupBy("token", "block")
+           .agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+    x, y = (met.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi")]) for side in ("x", "y"))
+    pairs = (x.join(y, "token").where((F.col("block_x") <= F.col("block_y")) & (F.least("lo_x", "lo_y") != F.greatest("hi_x", "hi_y")))
+             .select("block_x", "block_y").distinct())
+    content = (dealt.join(sets, "id").groupBy("block")
+               .agg(F.collect_list(F.struct("id", "component", "set")).alias("held")))
+    both = (pairs.join(content.select(F.col("block").alias("block_x"), F.col("held").alias("x")), "block_x")
+            .join(content.select(F.col("block").alias("block_y"), F.col("held").alias("y")), "block_y")
+            .select((F.col("block_x") == F.col("block_y")).alias("same"), "x", "y"))
+    kind = left.schema["id"].dataType
+    bound_batches(both)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, a, b = _block_links(batch.column(1)[i].values, None if batch.column(0)[i].as_py() else batch.column(2)[i].values, percent)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+    return both.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _block_links(x: pa.StructArray, y: pa.StructArray | None, percent: int) -> tuple[pa.Array, list[int], list[int]]:
+    """(ids, a, b): links between documents of two blocks, or inside one, that join components not joined before."""
+    rows = x if y is None else pa.concat_arrays([x, y])
+    group = np.asarray(rows.field("component").dictionary_encode().indices)
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.field("set")]
+    sizes = np.array([len(s) for s in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    root = list(range(int(group.max()) + 1))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    a, b, largest = [], [], np.bincount(group).argmax()
+    for i in np.flatnonzero(group != largest).tolist():
+        lo, hi = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+        times = hi - lo
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
+        common = np.bincount(owner[at], minlength=len(sets))
+        near = 100 * common >= percent * (sizes + sizes[i] - common)
+        for j in np.flatnonzero(near & (group != group[i])).tolist():
+            s, t = find(int(group[i])), find(int(group[j]))
+            if s != t:
+                root[s] = t
+                a.append(i)
+                b.append(j)
+    return rows.field("id"), a, b
