@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,35 +31,37 @@ def normal_code(column: str, trim: bool = False) -> Column:
 
 
 def prepare_codes(df: DataFrame, admission: str, code: str, version: str, trim: bool = False) -> DataFrame:
-    """Drop rows without admission, code or version; add `code_norm`; ids and versions become integers."""
-    return (df.withColumns({admission: F.col(admission).try_cast("long")})
-            .dropna(subset=[admission, code, version])
-            .withColumns({version: F.col(version).try_cast("int"), "code_norm": normal_code(code, trim)}))
+    """Rows with a whole-number admission, a code and a version, and their `code_norm`; a version that is no number is null."""
+    given = F.col(code).isNotNull() & F.col(version).isNotNull() & F.col(admission).try_cast("long").isNotNull()
+    kinds = {admission: "long", version: "int"}
+    return df.where(given).select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else c for c in df.columns],
+                                  normal_code(code, trim).alias("code_norm"))
+
+
+# A list by version is one flat list of `version:code` keys, and a row has one such key. A row without a code or version
+# has no colon in its key, so it is in no list.
+
+def listed_keys(*lists: Mapping[int, Sequence[str]]) -> list[str]:
+    return [f"{v}:{plain(c)}" for listed in lists for v, codes in listed.items() for c in codes]
+
+
+def row_key(code: str, version: str) -> Column:
+    return F.concat_ws(":", F.col(version).cast("string"), F.col(code))
 
 
 def exact_code(code: str, version: str, codes: Mapping[int, Sequence[str]]) -> Column:
     """True where the normalised code is listed for its version, false for nulls."""
-    mask = F.lit(False)
-    for v, listed in codes.items():
-        if listed:
-            mask = mask | ((F.col(version) == v) & F.col(code).isin([plain(c) for c in listed]))
-    return F.coalesce(mask, F.lit(False))
+    return row_key(code, version).isin(listed_keys(codes))
 
 
-def code_prefix(code: str, version: str, prefixes: Mapping[int, Sequence[str]]) -> Column:
-    """True where the normalised code starts with a prefix listed for its version."""
-    mask = F.lit(False)
-    for v, listed in prefixes.items():
-        for prefix in listed:
-            mask = mask | ((F.col(version) == v) & F.col(code).startswith(plain(prefix)))
-    return F.coalesce(mask, F.lit(False))
+def code_prefix(code: str, version: str, *prefixes: Mapping[int, Sequence[str]]) -> Column:
+    """True where the normalised code starts with a prefix that a list has for its version: one pattern for all of them."""
+    keys = listed_keys(*prefixes)
+    return row_key(code, version).rlike(f"^(?:{'|'.join(map(re.escape, keys))})") if keys else F.lit(False)
 
 
 def any_group(code: str, version: str, groups: Mapping[str, Mapping[int, Sequence[str]]]) -> Column:
-    mask = F.lit(False)
-    for prefixes in groups.values():
-        mask = mask | code_prefix(code, version, prefixes)
-    return mask
+    return code_prefix(code, version, *groups.values())
 
 
 def group_counts(df: DataFrame, admission: str, code: str, version: str,

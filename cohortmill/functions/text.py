@@ -32,16 +32,20 @@ EXAM_ANATOMY = [r"\bCHEST\b", r"\bABD\b", r"\bABDOMEN\b", r"\bPELVIS\b", r"\bAOR
 EXAM_EXCLUDED = [r"\bCHEST \(PORTABLE", r"\bCHEST PORT", r"\bCHEST \(PA", r"\bPRE-OP AP", r"\bHEAD\b", r"\bNECK\b",
                  r"\bSPINE\b", r"\bRENAL U\.S", r"\bULTRASOUND\b", r"\bDUPLEX\b"]
 
-# Drug names per group; each is matched as a whole word.
+# Drug patterns per group.
 DRUG_GROUPS = {
-    "beta_blocker": ["esmolol", "labetalol", "metoprolol", "atenolol", "carvedilol", "propranolol"],
-    "vasodilator": ["nicardipine", "clevidipine", "nitroprusside", "nitroglycerin", "hydralazine"],
-    "vasopressor": ["norepinephrine", "epinephrine", "phenylephrine", "vasopressin", "dopamine", "dobutamine"],
-    "opioid_analgesic": ["morphine", "hydromorphone", "fentanyl", "oxycodone"],
-    "nonopioid_analgesic": ["acetaminophen", "ketorolac"],
-    "anticoagulant": ["heparin", "enoxaparin", "warfarin", "apixaban", "rivaroxaban", "bivalirudin", "argatroban"],
-    "antiplatelet": ["aspirin", "clopidogrel", "ticagrelor", "prasugrel", "eptifibatide", "tirofiban"],
-    "statin": ["atorvastatin", "rosuvastatin", "simvastatin", "pravastatin"],
+    "beta_blocker": [r"\besmolol\b", r"\blabetalol\b", r"\bmetoprolol\b", r"\batenolol\b",
+                     r"\bcarvedilol\b", r"\bpropranolol\b"],
+    "vasodilator": [r"\bnicardipine\b", r"\bclevidipine\b", r"\bnitroprusside\b", r"\bnitroglycerin\b", r"\bhydralazine\b"],
+    "vasopressor": [r"\bnorepinephrine\b", r"\bepinephrine\b", r"\bphenylephrine\b", r"\bvasopressin\b",
+                    r"\bdopamine\b", r"\bdobutamine\b"],
+    "opioid_analgesic": [r"\bmorphine\b", r"\bhydromorphone\b", r"\bfentanyl\b", r"\boxycodone\b"],
+    "nonopioid_analgesic": [r"\bacetaminophen\b", r"\bketorolac\b"],
+    "anticoagulant": [r"\bheparin\b", r"\benoxaparin\b", r"\bwarfarin\b", r"\bapixaban\b",
+                      r"\brivaroxaban\b", r"\bbivalirudin\b", r"\bargatroban\b"],
+    "antiplatelet": [r"\baspirin\b", r"\bclopidogrel\b", r"\bticagrelor\b", r"\bprasugrel\b",
+                     r"\beptifibatide\b", r"\btirofiban\b"],
+    "statin": [r"\batorvastatin\b", r"\brosuvastatin\b", r"\bsimvastatin\b", r"\bpravastatin\b"],
 }
 
 # Keyword ladder of diagnosis categories, first match wins.
@@ -97,10 +101,6 @@ def joined_text(*columns: str) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
-def word_groups(groups: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
-    return {group: [rf"\b{word}\b" for word in words] for group, words in groups.items()}
-
-
 def group_flags(text: Column, groups: Mapping[str, Sequence[str]]) -> dict[str, Column]:
     return {group: any_pattern(text, patterns) for group, patterns in groups.items()}
 

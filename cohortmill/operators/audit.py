@@ -97,13 +97,13 @@ def crosstab(df: DataFrame, row: str, column: str, margin: str = "All") -> DataF
 
 
 def overlap_summary(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key: distinct ids on the left, on the right, on both, and on one side only.
+    """Per key: distinct ids on the left, on the right, on both, and on one side only; ids may be of any type.
 
     Ids are tagged, stacked and grouped once, so copies collapse on the map side.
     """
     tagged = None
     for frame, in_left in ((left, True), (right, False)):
-        part = frame.select(*[F.col(k).cast("long").alias(k) for k in keys]).unpivot([], list(keys), "key", "id")
+        part = frame.select(*[F.col(k).cast("string").alias(k) for k in keys]).unpivot([], list(keys), "key", "id")
         part = part.where(F.col("id").isNotNull()).select("key", "id", F.lit(in_left).alias("l"),
                                                           F.lit(not in_left).alias("r"))
         tagged = part if tagged is None else tagged.unionByName(part)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import epoch_micros
 from .joins import require_disjoint, stack
 from .ranks import hash_order, hash_rank
 
@@ -19,16 +20,18 @@ def normal_ids(df: DataFrame, *columns: str) -> DataFrame:
 # One row per subject is always an aggregation with map-side partials, never a window, so that a subject
 # with a third of all encounters costs its scan and nothing more.
 
-def _pick(latest: bool):
-    return F.max_by if latest else F.min_by
+def _time_order(ts: str, tie: str, latest: bool) -> Column:
+    """What `min_by` needs to find the earliest or latest row, ties by `tie` ascending; `tie` may be of any ordered type."""
+    if not latest:
+        return F.struct(ts, tie)
+    return F.struct(F.col(ts).isNull(), -epoch_micros(ts), F.col(tie).isNull(), F.col(tie))
 
 
 def first_non_null(df: DataFrame, subject: str, ts: str, tie: str, columns: Sequence[str],
                    latest: bool = False) -> DataFrame:
     """Per subject and column, the earliest (or latest) value that is not null; columns may come from
     different rows. Rows at the same time are ordered by `tie`, ascending."""
-    order = F.struct(ts, tie) if not latest else F.struct(F.col(ts), -F.col(tie))
-    pick = _pick(latest)
+    order, pick = _time_order(ts, tie, latest), F.min_by
     return df.where(F.col(subject).isNotNull()).groupBy(subject).agg(
         *[pick(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in columns])
 
@@ -36,8 +39,7 @@ def first_non_null(df: DataFrame, subject: str, ts: str, tie: str, columns: Sequ
 def one_row(df: DataFrame, subject: str, ts: str, tie: str, latest: bool = True) -> DataFrame:
     """The latest (or earliest) whole row per subject, nulls included; ties by `tie`, ascending."""
     others = [c for c in df.columns if c != subject]
-    order = F.struct(ts, tie) if not latest else F.struct(F.col(ts), -F.col(tie))
-    best = df.groupBy(subject).agg(_pick(latest)(F.struct(*others), order).alias("_row"))
+    best = df.groupBy(subject).agg(F.min_by(F.struct(*others), _time_order(ts, tie, latest)).alias("_row"))
     return best.select(subject, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
@@ -53,19 +55,22 @@ def stack_cases(cases: DataFrame, controls: DataFrame, label: str, disjoint: Seq
 
 
 def row_id(df: DataFrame, keys: Sequence[str], name: str = "row_id") -> DataFrame:
-    """A stable 64-bit row key made of the identifying columns, the same on every run and partitioning."""
-    return df.withColumn(name, F.xxhash64(*keys))
+    """A stable row key made of the identifying columns, the same on every run and partitioning.
 
+    256 bits of a hash of the keys with their lengths, so different rows can't be expected to meet in one key.
+    """
+    parts = [F.coalesce(F.concat(F.length(c.cast("string")), F.lit(":"), c.cast("string")), F.lit("-")) for c in map(F.col, keys)]
+    return df.withColumn(name, F.sha2(F.concat_ws("|", *parts), 256))
 
-# Splits. Rows are ordered by md5(key:seed), so a split does not depend on partitioning or row order.
-
-def _share_cut(share: float) -> str:
-    return f"{min(int(share * 16 ** 8), 16 ** 8 - 1):08x}"
 
+# Splits. Rows are ordered by md5(key:seed), so a split does not depend on partitioning or row order.
 
 def in_share(seed: int | str, share: float, *keys: str) -> Column:
     """True for a fixed `share` of the keys, in expectation."""
-    return F.substring(hash_order(seed, *keys), 1, 8) < F.lit(_share_cut(share))
+    if share <= 0 or share >= 1:
+        return F.lit(share >= 1)
+    # The share of the first 32 bits, as before, carried on over the whole hash.
+    return hash_order(seed, *keys) < F.lit(f"{int(share * 16 ** 8) << 96:032x}")
 
 
 def holdout_split(df: DataFrame, keys: Sequence[str], share: float = 0.2, seed: int = 42,

@@ -24,10 +24,14 @@ REVIEW_SHARES = [0.01, 0.02, 0.05, 0.10]
 DECISION_GRID = (0.01, 0.50, 100)
 
 
+def known_rows(df: DataFrame, y: str, score: str) -> DataFrame:
+    """Rows with an outcome and a score that is a number: those that every metric is taken over."""
+    return df.where(F.col(y).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+
+
 def score_counts(df: DataFrame, y: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
     """Rows (`flagged`) and positives per distinct score; rows without score or outcome are left out."""
-    known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    return known.groupBy(*groups, F.col(score).cast("double").alias("threshold")).agg(
+    return known_rows(df, y, score).groupBy(*groups, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(F.col(y).cast("long")).alias("positives"), F.count(F.lit(1)).alias("flagged"))
 
 
@@ -138,7 +142,7 @@ def metrics_at(df: DataFrame, y: str, score: str, rules: Mapping[str, float]) ->
     for i, threshold in enumerate(rules.values()):
         hit = F.col(score) >= F.lit(float(threshold))
         aggs += [F.count_if(hit & case).alias(f"_tp{i}"), F.count_if(hit).alias(f"_hit{i}")]
-    counts = df.agg(*aggs)
+    counts = known_rows(df, y, score).agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.lit(float(threshold)).alias("threshold"),
                  F.col(f"_tp{i}").alias("tp"), (F.col(f"_hit{i}") - F.col(f"_tp{i}")).alias("fp"),
@@ -193,7 +197,7 @@ def operating_points(df: DataFrame, y: str, score: str, selected: float, recall_
 def class_report(df: DataFrame, y: str, score: str, threshold: float) -> DataFrame:
     """Precision, recall, f1 and support of both classes, their plain and weighted mean, and the accuracy."""
     case, hit = F.col(y) == 1, F.col(score) >= threshold
-    counts = df.agg(F.count_if(case & hit).alias("tp"), F.count_if(~case & hit).alias("fp"),
+    counts = known_rows(df, y, score).agg(F.count_if(case & hit).alias("tp"), F.count_if(~case & hit).alias("fp"),
                     F.count_if(case & ~hit).alias("fn"), F.count_if(~case & ~hit).alias("tn"))
     sides = counts.select(F.inline(F.array(
         F.struct(F.lit("0").alias("class"), F.col("tn").alias("tp"), F.col("fn").alias("fp"), F.col("fp").alias("fn"),
@@ -443,7 +447,7 @@ def error_counts(df: DataFrame, y: str, score: str, threshold: float, fp_categor
     hit, case = F.col(score) >= threshold, F.col(y) == 1
     kind = F.when(hit & ~case, "False positive").when(~hit & case, "False negative")
     category = F.when(hit & ~case, fp_category).otherwise(fn_category)
-    return (df.select(kind.alias("error"), category.alias("category")).where(F.col("error").isNotNull())
+    return (known_rows(df, y, score).select(kind.alias("error"), category.alias("category")).where(F.col("error").isNotNull())
             .groupBy("error", "category").agg(F.count(F.lit(1)).alias("n")))
 
 

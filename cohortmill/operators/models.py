@@ -106,7 +106,9 @@ def fit(train: DataFrame, features: Sequence[str], label: str, params: Mapping =
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
     settings = dict(featuresCol="_features", labelCol=label, weightCol="_weight", **params)
     if learner != "linear":
-        settings.setdefault("maxBins", 64)
+        # A split on a category needs a bin for each of its values, the one for unseen values included.
+        sizes = _prepared(train, words).agg(*[F.count_distinct(w).alias(w) for w in words]).first() if words else []
+        settings["maxBins"] = max(settings.get("maxBins", 64), *[n + 2 for n in sizes], 2)
         settings["seed"] = seed
     stages.append(LEARNERS[learner](**settings))
     return Fitted(Pipeline(stages=stages).fit(weighted), names, label)

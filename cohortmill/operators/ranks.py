@@ -66,11 +66,13 @@ def ordered_sums(df: DataFrame, by: str, sums: dict[str, str], groups: Sequence[
 
     buckets = min(MAX_BUCKETS, max(2, math.ceil(4 * total / rows_per_task)))
     cuts = df.approxQuantile(by, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    splits = [-math.inf, *sorted({c for c in cuts if math.isfinite(c)}), math.inf]
     if len(splits) < 3:
         splits = [-math.inf, 0.0, math.inf]
-    bucketed = Bucketizer(splits=splits, inputCol="_by", outputCol="_bucket").transform(
-        df.withColumn("_by", F.col(by).cast("double"))).drop("_by")
+    # Nulls come before all numbers and NaN after them, as in Spark's own order; Bucketizer keeps both in its last bucket.
+    bucketed = Bucketizer(splits=splits, inputCol="_by", outputCol="_bucket", handleInvalid="keep").transform(
+        df.withColumn("_by", F.col(by).cast("double"))).withColumn(
+        "_bucket", F.when(F.col("_by").isNull(), -1.0).otherwise(F.col("_bucket"))).drop("_by")
 
     pick_first = F.max_by if descending else F.min_by
     head = [pick_first(F.struct(*lead), F.col(by)).alias("_head")] if lead else []
@@ -154,25 +156,38 @@ def hash_rank(df: DataFrame, keys: Sequence[str], seed: int | str, groups: Seque
               name: str = "hash_rank") -> DataFrame:
     """Rank 1..n in `hash_order` within `groups`, with `<name>_total` the group size. `keys` identify a row.
 
-    The hash is uniform, so its first three characters make 4,096 even buckets in every group, however hot:
-    no boundaries to look for, and each window holds 1/4096 of its group.
+    The hash is uniform, so its first six characters make 16.7 million even buckets in every group, however hot, in two
+    levels of 4,096: no boundaries to look for, and no window holds more than 4,096 counts or 1/16.7 million of a group.
     """
     groups = list(groups)
-    hashed = df.withColumns({"_hash": hash_order(seed, *keys)}).withColumn("_bucket", F.substring("_hash", 1, 3))
-    counts = hashed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*groups)).alias(f"{name}_total"))
-    same = F.col("_bucket") == F.col("_b")
+    hashed = df.withColumns({"_hash": hash_order(seed, *keys)}).withColumns(
+        {"_first": F.substring("_hash", 1, 3), "_second": F.substring("_hash", 4, 3)})
+    offsets = _hash_offsets(hashed, groups, name).select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_first").alias("_a"), F.col("_second").alias("_b"),
+        "_before", f"{name}_total")
+    same = (F.col("_first") == F.col("_a")) & (F.col("_second") == F.col("_b"))
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    inside = Window.partitionBy(*groups, "_bucket").orderBy("_hash", *keys)
+    inside = Window.partitionBy(*groups, "_first", "_second").orderBy("_hash", *keys)
     return hashed.join(offsets, same).select(
         *df.columns, (F.col("_before") + F.row_number().over(inside)).alias(name), f"{name}_total")
 
 
+def _hash_offsets(hashed: DataFrame, groups: list[str], name: str) -> DataFrame:
+    """Rows of the group before each (_first, _second) bucket as `_before`, and `<name>_total`."""
+    upto = lambda keys, column: F.coalesce(F.sum(column).over(
+        Window.partitionBy(*keys).orderBy("_last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    second = hashed.groupBy(*groups, "_first", "_second").agg(F.count(F.lit(1)).alias("_n")).withColumn("_last", F.col("_second"))
+    first = second.groupBy(*groups, "_first").agg(F.sum("_n").alias("_n")).withColumn("_last", F.col("_first"))
+    first = first.withColumns({"_lead": upto(groups, "_n"), f"{name}_total": F.sum("_n").over(Window.partitionBy(*groups))})
+    first = first.select(*[F.col(g).alias(f"_f{i}") for i, g in enumerate(groups)], F.col("_first").alias("_f"), "_lead", f"{name}_total")
+    same = F.col("_first") == F.col("_f")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_f{i}"))
+    return (second.withColumn("_inner", upto([*groups, "_first"], "_n")).join(first, same)
+            .withColumn("_before", F.col("_lead") + F.col("_inner")))
+
+
 def score_rank(df: DataFrame, score: str, keys: Sequence[str], seed: int | str = 0, groups: Sequence[str] = (),
                descending: bool = True, name: str = "score_rank",
                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -227,4 +242,5 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], grou
     found = seen.groupBy(*groups).agg(F.max("_seen_total").alias("n"), *picks)
     fraction = lambda q: (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
     return found.select(*groups, "n", *[
-        (F.col(low) + (F.col(high) - F.col(low)) * fraction(q)).alias(name) for name, low, high, q in results])
+        F.when(F.col(low) == F.col(high), F.col(low)).otherwise(F.col(low) + (F.col(high) - F.col(low)) * fraction(q)).alias(name)
+        for name, low, high, q in results])

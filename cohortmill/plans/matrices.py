@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DRUG_GROUPS, joined_text, word_groups
+from ..functions.text import DRUG_GROUPS, joined_text
 from ..operators import matrix as x
 from ..operators.joins import many_to_one, one_to_one
 from ..operators.windows import (CLINICAL_DIFFERENCES, CLINICAL_RATIOS, add_interval_measures, add_ratios, attach,
@@ -46,7 +46,7 @@ def raw_matrix(spine: DataFrame, sources: Sequence[EventFeatures], on: Sequence[
         out = attach(out, wide, row_key)
     if orders is not None:
         text = joined_text("drug", "formulary_drug_cd", "route") if order_text is None else order_text
-        groups = word_groups(DRUG_GROUPS) if drug_groups is None else drug_groups
+        groups = DRUG_GROUPS if drug_groups is None else drug_groups
         drugs = drug_features(orders, spine.select(row_key, *[c for c in (*on, "hadm_id") if c in spine.columns and c != row_key],
                                                    start, end), [c for c in (*on, "hadm_id") if c in spine.columns],
                               row_key, "starttime", start, end, text, groups, bin_seconds=bin_seconds)

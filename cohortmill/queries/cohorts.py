@@ -451,11 +451,10 @@ def eligible_set_difference(spark, sf):
             .subtract(lines.where(F.col("l_linestatus") == "O").select("l_orderkey")))
 
 
-@query("stable_row_id", """SELECT count(*) AS rows_, count(*) AS ids FROM orders""")
+@query("stable_row_id", """SELECT o_orderkey, sha256(length(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey || '|'
+    || length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey) AS row_id FROM orders""")
 def stable_row_id(spark, sf):
-    keyed = c.row_id(table(spark, sf, "orders"), ["o_custkey", "o_orderkey"])
-    per_id = keyed.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_id.agg(F.sum("n").alias("rows_"), F.count(F.lit(1)).alias("ids"))
+    return c.row_id(table(spark, sf, "orders"), ["o_custkey", "o_orderkey"]).select("o_orderkey", "row_id")
 
 
 @query("master_spine", f"""WITH {CODES_SQL}, {ADM_SQL}, hits AS (SELECT * FROM adm WHERE o_orderkey IN
