@@ -105,9 +105,9 @@ def model_matrix(raw: DataFrame, rules: MatrixRules) -> tuple[DataFrame, list[st
     train = out.where(F.col(rules.split) == "train")
     features = x.dense_columns(train, features, rules.column_threshold)
     ids = [*rules.keys, rules.split, rules.label]
-    out = x.fill_categories(out.select(*ids, *categories, *features), categories)
-    if rules.encode:
-        out = x.one_hot(out, rules.split, categories)
+    out = out.select(*ids, *categories, *features)
+    # Only categories that stay as they are get one for nulls; a null has 0 in all encoded columns.
+    out = x.one_hot(out, rules.split, categories) if rules.encode else x.fill_categories(out, categories)
     out = x.drop_present(out, [c for c in rules.drop if c not in ids])
     out = x.fixed_features(out, ids, rules.keep, rules.preset, rules.presets)
     return out, [c for c in out.columns if c not in ids]

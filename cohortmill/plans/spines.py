@@ -11,6 +11,7 @@ from ..functions.codes import any_group, exact_code, loose_code
 from ..functions.times import WINDOW_HOURS, age_at, synthetic_key, window_end
 from ..operators.cohort import first_non_null, grouped_split, holdout_split, one_row, row_id, stack_cases
 from ..operators.joins import among, many_to_one, not_among, stack
+from ..operators.matrix import require_rows
 
 # Fixed value: the youngest age at index time.
 MIN_AGE = 18
@@ -48,8 +49,13 @@ def code_defined_spine(admissions: DataFrame, codes: DataFrame, people: DataFram
     """Cases: per subject the earliest admission with a target code, columns filled from later ones where
     null. Controls: the latest admission of every other subject, after keeping only similar admissions.
 
-    A subject with a target code that is not on `case_list` can be a control through another admission.
+    A subject with a target code that is not on `case_list` can be a control through another admission. No code that
+    is a target, or in a similar group, is an error, as is a case list that meets none of the target admissions.
     """
+    # Each check ends with the first row that it finds.
+    require_rows(codes.where(exact_code("code_norm", "version", targets)), "no admission has a target code")
+    if similar is not None:
+        require_rows(codes.where(any_group("code_norm", "version", similar)), "no admission has a similar code")
     if similar is None:
         coded = coded_admissions(codes, admission, targets)
     else:

@@ -47,6 +47,16 @@ def model_matrix(spark, sf):
     return pm.model_matrix(raw, rules)[0]
 
 
+@query("model_matrix_encoded", f"""WITH {MATRIX_SQL}, k AS (SELECT * FROM m WHERE ({NULLS}) / 5 <= 0.6)
+SELECT user_id, CASE WHEN substr(md5(user_id || ':42'), 1, 8) < '80000000' THEN 'test' ELSE 'train' END AS cohort_split, label,
+  (user_id % 3 = 2)::INT AS "kind_kind 2", click_first, purchase_first, view_first FROM k""")
+def model_matrix_encoded(spark, sf):
+    raw = c.holdout_split(matrix(spark, sf), ["user_id"], 0.5).withColumn("kind", F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("kind "), F.col("user_id") % 3)))
+    rules = pm.MatrixRules(["user_id"], "label", categories=["kind"], row_threshold=0.6, column_threshold=0.8,
+                           leakage=["error_first"], drop=["signup_first"], encode=True)
+    return pm.model_matrix(raw, rules)[0]
+
+
 @query("scoring_frame", """SELECT o_orderkey, (o_orderstatus = 'F')::INT AS y, o_totalprice / 500000 AS score, o_custkey,
   CASE WHEN o_orderstatus = 'F' THEN 'Final target: type unclear' WHEN o_orderpriority = '1-URGENT'
   THEN 'Control: dissection ruled out' ELSE 'Control' END AS phenotype_group FROM orders""")
