@@ -16,7 +16,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node to itself and repeated links change nothing.
     """
     edges = cut_lineage(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    labels = cut_lineage(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("component", F.col("node")))
+    labels = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("component", F.col("node"))
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("old"), F.least("u", "v").alias("mid"))

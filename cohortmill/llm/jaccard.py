@@ -25,7 +25,7 @@ from .components import components
 from .shared_tokens import shared_counts, text_sets
 from .textbytes import bound_batches, mixed, with_arrow_columns
 
-PERCENT, ORDERS, PIVOT_ROUNDS = 80, 3, 3
+PERCENT, ORDERS = 80, 3
 #: Largest bit table of document ids that is broadcast, as a power of two of bits; tasks that sum one.
 MAX_FILTER_BITS, _PARTS = 29, 16
 #: Tokens counted in a task, reported by a task, and kept in the broadcast table of frequent tokens.
@@ -265,26 +265,19 @@ def similar_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", perce
 
 
 def _links(left: DataFrame, sets: DataFrame, orders: int, percent: int) -> DataFrame:
-    """Links (a, b) that join every two nodes which all links together would join."""
-    held = left.select("id", "n", "shared", F.col("id").alias("component"))
-    found, tried = None, None
-    for r in range(PIVOT_ROUNDS):
-        rows = (left.select("id", F.explode("t1").alias("token")).join(held.select("id", "component"), "id"))
-        turn = F.struct(F.xxhash64(F.lit(r), "id"), "id", "component")
-        pivots = (rows.groupBy("token").agg(F.min(turn).alias("pivot"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-                  .where("lo <> hi").select("token", F.col("pivot.id").alias("pivot"), F.col("pivot.component").alias("pivot_component")))
-        pairs = (rows.join(pivots, "token").where("component <> pivot_component")
-                 .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        done = cut_lineage(_common(_filtered(pairs, left, orders, percent), sets, percent))
-        tried = done.select("a", "b") if tried is None else tried.union(done.select("a", "b"))
-        new = done.where("linked").select("a", "b")
-        found = new if found is None else found.union(new)
-        reached = components(found)
-        held = (left.select("id", "n", "shared").join(reached.withColumnRenamed("node", "id"), "id", "left")
-                .select("id", "n", "shared", F.coalesce("component", "id").alias("component")))
-        held = cut_lineage(held)
+    """Links (a, b) that join every two nodes which all links together would join.
+
+    The pivot of a list is the document with the largest share of tokens that occur elsewhere, which is the nearest to
+    what the others were copied from.
+    """
+    rows = left.select("id", F.col("shared") / F.col("n"), F.explode("t1").alias("token")).toDF("id", "share", "token")
+    pivots = rows.groupBy("token").agg(F.max(F.struct("share", "id")).alias("pivot")).select("token", F.col("pivot.id").alias("pivot"))
+    pairs = (rows.join(pivots, "token").where(F.col("id") != F.col("pivot"))
+             .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    found = cut_lineage(_common(_filtered(pairs, left, orders, percent), sets, percent).where("linked").select("a", "b"))
+    reached = components(found).withColumnRenamed("node", "id")
+    held = cut_lineage(left.select("id", "n", "shared").join(reached, "id", "left")
+                       .select("id", "n", "shared", F.coalesce("component", "id").alias("component")))
     return found.union(_across(left, held, sets, percent))
 
 
