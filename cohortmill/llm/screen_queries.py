@@ -8,7 +8,7 @@ from .decontaminate import find_contamination, hit_words
 from .langid import fold
 from .licenses import scan_licenses
 from .registry import query, table
-from .secret_forest import scan_secrets
+from .secret_forest import CREDENTIAL, scan_secrets
 
 _LEAK_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -47,10 +47,41 @@ def op7_license_scan(spark, sf_dir):
                         F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"))
 
 
+#: Published forms of credentials, each from a letter's or digit's edge on.
+PUBLISHED_FORMS = {
+    "AWS access key id": r"(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "GitHub": r"gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{36,}",
+    "GitLab": r"gl(?:pat|dt|rt|cbt|ptt|ft)-[A-Za-z0-9_\-]{20,}",
+    "Slack": r"xox[abeoprs]-[A-Za-z0-9\-]{10,}",
+    "Stripe": r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|whsec_[A-Za-z0-9+/]{24,}",
+    "Google": r"AIza[A-Za-z0-9_\-]{35}|GOCSPX-[A-Za-z0-9_\-]{28}",
+    "npm": r"npm_[A-Za-z0-9]{36}",
+    "PyPI": r"pypi-AgE[A-Za-z0-9_\-]{50,}",
+    "Hugging Face": r"hf_[A-Za-z0-9]{34}",
+    "OpenAI and alike": r"sk-(?:proj-|ant-|svcacct-)?[A-Za-z0-9_\-]{20,}",
+    "Shopify": r"shp(?:at|ca|pa|ss)_[0-9A-Fa-f]{32}",
+    "DigitalOcean": r"do[por]_v1_[0-9a-f]{64}",
+    "Twilio": r"SK[0-9a-f]{32}",
+    "JSON web token": r"eyJ[A-Za-z0-9_\-]{13,}",
+}
+#: The known lengths of cloud keys in base64, without the filling: AWS secret keys and Azure account keys.
+_BASE64_KEY = r"^(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])(?=[^0-9]*[0-9])(?:[A-Za-z0-9+/]{40}|[A-Za-z0-9+/]{86}(?:==)?)$"
+_PLAIN_WORDS = r"^(?:[A-Z]?[a-z]++|[A-Z]++)(?:[/_+\-]++(?:[A-Z]?[a-z]++|[A-Z]++))*+$"
+
+
 def true_finding():
-    """What labels a finding as true: the published form of an access key id, or hexadecimal digits assigned to a credential's name."""
-    return (F.col("value").rlike("^AKIA[A-Z0-9]{16}$")
-            | (F.col("key_word").rlike("password|token|secret|key") & F.col("value").rlike("^[0-9a-f]{16,}$")))
+    """What labels a finding: true, false, or null where no rule decides.
+
+    True: a value with a published form, hexadecimal digits of either case or a base64 cloud key assigned to a
+    credential's name, and the lines beside the marks of a PEM private key. False: plain words and numbers that are not
+    assigned to a credential's name. All else teaches nothing.
+    """
+    value, named = F.col("value"), F.col("key_word").rlike(CREDENTIAL)
+    published = value.rlike("(?<![A-Za-z0-9])(?:" + "|".join(PUBLISHED_FORMS.values()) + ")")
+    assigned = named & value.rlike(f"^[0-9A-Fa-f]{{16,}}$|{_BASE64_KEY}")
+    pem = value.rlike("^[A-Za-z0-9+/]+$") & (F.col("before").rlike("^key-----$") | (F.col("after") == "-----end"))
+    plain = value.rlike(f"{_PLAIN_WORDS}|^[0-9/_+\\-]+$")
+    return F.when(published | assigned | pem, True).when(plain & ~named, False)
 
 
 @query("op3_secret_findings")

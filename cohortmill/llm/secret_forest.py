@@ -21,6 +21,8 @@ TREES, DEPTH, SEED = 20, 8, 3
 _SIGNS, _WORD_BUCKETS, _PATH_BUCKETS, _PRIOR = 28, 4_096, 32, 5.0
 _BLANKS = r"[\x20\x09-\x0D]+"
 _VALUE = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}"
+#: What a credential's name holds, in lower case.
+CREDENTIAL = "passw|pwd|passphrase|secret|token|key|credential"
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 FEATURES = ["length", "digit_share", "upper_share", "sign_share", "changes", "distinct_share", "transition", "coverage", "assigned",
             "path_bucket", "path_depth", "key_rate", "before_rate", "after_rate"]
@@ -157,6 +159,8 @@ def scored_findings(candidates: DataFrame, forest: RandomForestClassificationMod
 def scan_secrets(docs: DataFrame, label: Column, teaches: Column, text: str = "text", key: str = "doc_id", path: str = "source") -> DataFrame:
     """All candidates of `docs` with `score`; `label` (over candidate columns) names true findings where `teaches` holds.
 
+    Where `label` is null, a candidate teaches nothing and is only scored.
+
     Texts are read once for candidates and once for the corpus tables. Null or empty texts, and an empty table, give no
     rows; a null path is a path of its own; repeated rows give repeated findings.
     """
