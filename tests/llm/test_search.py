@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from cohortmill.llm import decontaminate as dc
 from cohortmill.llm.decontaminate import cut_words, find_contamination, hit_words, without_spans
 from cohortmill.llm.fmindex import FMIndex, suffix_order
-from cohortmill.llm.licenses import CONTAINMENT, run_hashes, scan_licenses, scan_words, template_classes
+from cohortmill.llm.licenses import CONTAINMENT, LICENSE_TEXTS, run_hashes, scan_licenses, scan_words, template_classes
 from cohortmill.llm.textbytes import WORD_BYTES, word_chunks
 from cohortmill.llm.topk import top_inner_products
 
@@ -162,5 +162,23 @@ def test_licenses(spark):
     assert scan_licenses(docs.where("false")).collect() == []
 
 
+def test_versions_and_variants_of_licenses(spark):
+    whole = {n: max((t for m, t in LICENSE_TEXTS if m == n), key=len) for n, _ in LICENSE_TEXTS}
+    names = ["GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense", "MIT", "ISC", "0BSD",
+             "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Zlib", "BSL-1.0"]
+    made = [(n, f"some words before\n{whole[n]}\nand after it") for n in names]
+    notice = ("This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free "
+              "Software Foundation{} either version {} of the License, or (at your option) any later version.")
+    made += [("GPL-2.0", notice.format("program", ";", "General", ";", "2")), ("LGPL-2.1", notice.format("library", ";", "Lesser General", ";", "2.1")),
+             ("AGPL-3.0", notice.format("program", ":", "Affero General", ",", "3")), ("GPL-3.0", notice.format("program", ":", "General", ",", "3")),
+             ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+             ("GPL-2.0,GPL-3.0", " ".join(notice.format("program", ";", "General", ";", v) for v in "23"))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(made)], "doc_id long, text string")
+    got = {r.doc_id: sorted({m.license for m in r.matches} - {"reserved"}) for r in scan_licenses(docs).collect()}
+    assert [(n, ",".join(got[i])) for i, (n, _) in enumerate(made)] == [(n, n) for n, _ in made]
+    table = spark.createDataFrame([("own", "one two three four"), (None, "x")], "license string, text string")
+    assert [[m.license for m in r.matches] for r in scan_licenses(docs.limit(1).withColumn("text", F.lit("x one two three four")), table).collect()] == [["own"]]
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
