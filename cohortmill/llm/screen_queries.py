@@ -66,6 +66,8 @@ PUBLISHED_FORMS = {
 }
 #: The known lengths of cloud keys in base64, without the filling: AWS secret keys and Azure account keys.
 _BASE64_KEY = r"^(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])(?=[^0-9]*[0-9])(?:[A-Za-z0-9+/]{40}|[A-Za-z0-9+/]{86}(?:==)?)$"
+#: What a password looks like: letters with digits and no address or placeholder.
+_PASSWORD = r"^(?![$<%{])(?!\S*://)(?=[^A-Za-z]*[A-Za-z])(?=[^0-9]*[0-9])\S{6,}$"
 _PLAIN_WORDS = r"^(?:[A-Z]?[a-z]++|[A-Z]++)(?:[/_+\-]++(?:[A-Z]?[a-z]++|[A-Z]++))*+$"
 
 
@@ -73,15 +75,18 @@ def true_finding():
     """What labels a finding: true, false, or null where no rule decides.
 
     True: a value with a published form, hexadecimal digits of either case or a base64 cloud key assigned to a
-    credential's name, and the lines beside the marks of a PEM private key. False: plain words and numbers that are not
+    credential's name, letters with digits assigned to a password's or secret's name, 4 to 8 digits to a pin's, and the
+    lines beside the marks of a PEM private key. False: plain words and numbers that are not
     assigned to a credential's name. All else teaches nothing.
     """
     value, named = F.col("value"), F.col("key_word").rlike(CREDENTIAL)
     published = value.rlike("(?<![A-Za-z0-9])(?:" + "|".join(PUBLISHED_FORMS.values()) + ")")
     assigned = named & value.rlike(f"^[0-9A-Fa-f]{{16,}}$|{_BASE64_KEY}")
+    typed = ((F.col("key_word").rlike("passw|pwd|passphrase|secret") & value.rlike(_PASSWORD))
+             | (F.col("key_word").rlike("(?<![a-z])pin(?![a-z])") & value.rlike("^[0-9]{4,8}$")))
     pem = value.rlike("^[A-Za-z0-9+/]+$") & (F.col("before").rlike("^key-----$") | (F.col("after") == "-----end"))
     plain = value.rlike(f"{_PLAIN_WORDS}|^[0-9/_+\\-]+$")
-    return F.when(published | assigned | pem, True).when(plain & ~named, False)
+    return F.when(published | assigned | typed | pem, True).when(plain & ~named, False)
 
 
 @query("op3_secret_findings")

@@ -15,37 +15,77 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: Characters of a candidate at least, findings that a fit reads at most, occurrences that make a dictionary word.
+#: Characters of a candidate without a name at least, findings that a fit reads at most, occurrences that make a dictionary word.
 MIN_LENGTH, MAX_FINDINGS, DICTIONARY_COUNT = 16, 200_000, 5
 TREES, DEPTH, SEED = 20, 8, 3
 _SIGNS, _WORD_BUCKETS, _PATH_BUCKETS, _PRIOR = 28, 4_096, 32, 5.0
 _BLANKS = r"[\x20\x09-\x0D]+"
 _VALUE = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}"
-#: What a credential's name holds, in lower case.
-CREDENTIAL = "passw|pwd|passphrase|secret|token|key|credential"
+#: What a credential's name holds, in lower case; the short ones only as words.
+CREDENTIAL = "passw|pwd|passphrase|secret|token|key|credential|(?<![A-Za-z])(?:pin|pass|auth)(?![A-Za-z])"
+_NAME = rf"(?:{CREDENTIAL})[A-Za-z0-9_.\-]{{0,64}}"
+_ASSIGNS = r"[\"'`\])}]{0,3}(?::=|=>|={1,3}|:)>?"
+#: Ends of an unquoted value: what closes a sentence or a bracket, or the next name with a value in the same word.
+_ENDS = r"(?=[.,;:\"'`)\]}>]*(?:[&;,|?][\"']?[A-Za-z_][A-Za-z0-9_.\-]{0,64}[\"']?[=:]|$))"
+_OPENED = r"[(\[{<]{0,3}(?:\"(\S*?)(?<!\\)(?:\"|$)|'(\S*?)(?<!\\)(?:'|$)|`(\S*?)(?:`|$)|([^\s\"'`]\S*?)" + _ENDS + ")"
+#: A name and its value in one word: group 1 what stands before the value, groups 2 to 5 the value by its quotes.
+_ASSIGNED = rf"((?i:{_NAME}){_ASSIGNS}){_OPENED}"
+#: A value that is a word of its own behind its name: groups 1 to 4.
+_BEHIND = rf"^(?::=|=>|={{1,3}}|:)?{_OPENED}"
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 FEATURES = ["length", "digit_share", "upper_share", "sign_share", "changes", "distinct_share", "transition", "coverage", "assigned",
             "path_bucket", "path_depth", "key_rate", "before_rate", "after_rate"]
 
 
 def find_candidates(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = "source") -> DataFrame:
-    """(key, path, word_no, value, lead, key_word, before, after): every run of MIN_LENGTH token characters of every word.
+    """(key, path, word_no, value, lead, key_word, before, after): values assigned to a credential's name, and long runs.
 
-    lead: the word's part before the value; key_word: the name that the value is assigned to, in the word itself or
-    before a lone `=` or `:`; before, after: the neighbouring words. Null texts have no candidates.
+    A value assigned to a name of CREDENTIAL by `=`, `:`, `:=` or `=>`, in one word or
+    over one or two blanks, is a candidate at any length and with any non-blank signs, without its quotes and the
+    brackets and stops around it. Elsewhere, every run of MIN_LENGTH token characters is one. lead: the word's part before
+    the value; key_word: the name that the value is assigned to, in the word itself or before a lone `=` or `:`; before,
+    after: the neighbouring words. Null texts have no candidates.
     """
+    ends_name = rf"(?i:{_NAME}){_ASSIGNS}$"
+
     def near(words: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.length(F.get(words, i)) >= MIN_LENGTH)
+        def wanted(i: Column) -> Column:
+            word, before = F.get(words, i), F.coalesce(F.get(words, i - 1), F.lit(""))
+            marked = F.contains(word, F.lit("=")) | F.contains(word, F.lit(":"))
+            behind = F.endswith(before, F.lit("=")) | F.endswith(before, F.lit(":")) | F.endswith(before, F.lit("=>"))
+            return (F.length(word) >= MIN_LENGTH) | marked | behind
+
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), wanted)
         return F.transform(places, lambda i: F.struct(i.alias("word_no"), F.get(words, i).alias("word"), F.get(words, i - 1).alias("before"),
                                                       F.get(words, i - 2).alias("before_2"), F.get(words, i + 1).alias("after")))
 
     # The words are an argument of a lambda, so that a text is split once.
     split = F.flatten(F.transform(F.array(F.split(text, _BLANKS)), near))
     found = docs.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.explode(split).alias("w")).select("key", "path", "w.*")
-    found = found.withColumn("value", F.explode(F.regexp_extract_all("word", F.lit(_VALUE), F.lit(0))))
-    lead = F.expr("substring_index(word, value, 1)")
     lone = F.col("before").isin("=", ":", "=>", ":=")
-    name = F.when(lead.rlike("[=:]"), F.regexp_extract(lead, r"([A-Za-z_\-]+)[^A-Za-z]*[=:][^=:]*$", 1)).when(lone, F.col("before_2"))
+    begins, named_before = F.col("word").rlike("^(?::=|=>|={1,3}|:)[^=:]"), F.col("before").rlike(rf"(?i:{_NAME})[\"'`\])}}]{{0,3}}$")
+    behind = (F.when(lone & F.col("before_2").rlike(rf"(?i:{_NAME})[\"'`\])}}]{{0,3}}$"), F.col("before_2"))
+              .when(~lone & F.col("before").rlike(ends_name), F.col("before"))
+              .when(begins & named_before, F.col("before")))
+
+    def part(text: Column, pattern: str, groups: range) -> Column:
+        return F.concat(*[F.regexp_extract(text, pattern, g) for g in groups])
+
+    inside = F.transform(F.regexp_extract_all("word", F.lit(_ASSIGNED), F.lit(0)), lambda m: F.struct(
+        part(m, _ASSIGNED, range(2, 6)).alias("value"),
+        F.concat(F.call_function("substring_index", F.col("word"), m, F.lit(1)), F.regexp_extract(m, _ASSIGNED, 1)).alias("lead"), F.lit(None).cast("string").alias("name")))
+    whole = part(F.col("word"), _BEHIND, range(1, 5))
+    across = F.array(F.struct(whole.alias("value"), F.lit("").alias("lead"), F.col("_behind").alias("name")))
+    rest = F.transform(F.regexp_extract_all("_rest", F.lit(_VALUE), F.lit(0)), lambda v: F.struct(
+        v.alias("value"), F.call_function("substring_index", F.col("word"), v, F.lit(1)).alias("lead"), F.lit(None).cast("string").alias("name")))
+    found = (found.withColumn("_behind", behind).withColumn("_inside", inside)
+             .withColumn("_rest", F.when(F.size("_inside") > 0, F.regexp_replace("word", _ASSIGNED, " ")).otherwise(F.col("word")))
+             .withColumn("_found", F.when((F.size("_inside") == 0) & F.col("_behind").isNotNull() & (whole != ""), across).otherwise(F.concat("_inside", rest)))
+             .select("key", "path", "word_no", "word", "before", "before_2", "after", F.explode("_found").alias("v"))
+             .select("*", "v.value", "v.lead", F.col("v.name").alias("_name")).where(F.col("value") != ""))
+    lead = F.col("lead")
+    name = (F.when(F.col("_name").isNotNull(), F.regexp_extract(F.regexp_replace("_name", r"[^A-Za-z]+$", ""), r"([A-Za-z_\-]+)$", 1))
+            .when(lead.rlike("[=:]"), F.regexp_extract(lead, r"([A-Za-z_\-]+)[^A-Za-z]*[=:][^=:]*$", 1)).when(lone, F.col("before_2")))
     return found.select("key", "path", "word_no", "value", lead.alias("lead"), F.lower(F.coalesce(name, F.lit(""))).alias("key_word"),
                         F.lower(F.coalesce("before", F.lit(""))).alias("before"), F.lower(F.coalesce("after", F.lit(""))).alias("after"))
 
@@ -119,10 +159,10 @@ def with_features(candidates: DataFrame, tables: DataFrame, rates: DataFrame) ->
     kinds = F.translate(value, _UPPER + _LOWER + _DIGITS + "+/_-", "A" * 26 + "a" * 26 + "9" * 10 + "----")
     joined = candidates.crossJoin(F.broadcast(tables)).crossJoin(F.broadcast(rates)).withColumn("_codes", _signs(value))
     pairs, triples = _windows(F.col("_codes"), 2), _windows(F.col("_codes"), 3)
-    mean = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + F.get("follows", i)) / (length - 1)
-    covered = F.aggregate(triples, F.lit(0.0), lambda s, i: s + F.get("dictionary", i).cast("double")) / (length - 2)
+    mean = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + F.get("follows", i)) / F.greatest(length - 1, F.lit(1))
+    covered = F.aggregate(triples, F.lit(0.0), lambda s, i: s + F.get("dictionary", i).cast("double")) / F.greatest(length - 2, F.lit(1))
     return joined.withColumns({
-        "length": length.cast("double"), "digit_share": share(_DIGITS), "upper_share": share(_UPPER), "sign_share": share("+/_-"),
+        "length": length.cast("double"), "digit_share": share(_DIGITS), "upper_share": share(_UPPER), "sign_share": F.length(F.regexp_replace(value, "[A-Za-z0-9]+", "")) / length,
         "changes": (F.length(F.regexp_replace(kinds, r"(.)\1*", "x")) - 1).cast("double"),
         "distinct_share": F.size(F.array_distinct(F.split(value, ""))) / length, "transition": mean, "coverage": covered,
         "assigned": (F.col("lead").rlike("[=:]") | (F.col("key_word") != "")).cast("double"),

@@ -162,3 +162,34 @@ def test_secrets_of_other_forms_are_found(spark):
     docs = spark.createDataFrame(made, "doc_id long, text string, source string")
     found = scan_secrets(docs, true_finding(), F.col("key") % 5 != 0).where("key % 5 = 0 AND score >= 0.5")
     assert sorted(r.key for r in found.collect()) == [i for i in range(0, 400, 5) if i % 4 != 3]
+
+
+def test_assigned_values_of_any_length(spark):
+    cases = {"login password=hunter2abc now": ["hunter2abc"], "PIN: 1234, ok": ["1234"], 'secret = "p@ss.w0rd!#$" end': ["p@ss.w0rd!#$"], "token:a.b!c$d@e#f": ["a.b!c$d@e#f"],
+             '{"user":"bob","password":"x1","api_key":"k&2"}': ["x1", "k&2"], "https://a.b/?token=ab12&user=3": ["ab12"], "pass=password passwd=pass": ["password", "pass"],
+             "key =z9 token= q8": ["z9", "q8"], "a=b c:d plain": [], "no names here 12:30 opinion: yes": [], "password=" + "é€".ljust(5, "x"): ["é€xxx"],
+             "name=0123456789abcdef01": ["0123456789abcdef01"], "password=s token=" + "y" * 70_000: ["s", "y" * 70_000], "k" * 70_000 + " key=" : ["k" * 70_000],
+             "password=" + "a,b&c;" * 9_000 + "z": ["a,b&c;" * 9_000 + "z"]}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(cases)], "doc_id long, text string, source string")
+    found = find_candidates(docs)
+    got = {}
+    for r in found.orderBy("key", "word_no").collect():
+        got.setdefault(r.key, []).append(r.value)
+    assert [got.get(i, []) for i in range(len(cases))] == list(cases.values())
+    names = {r.value: r.key_word for r in found.where("length(value) < 20").collect()}
+    assert [names[v] for v in ("hunter2abc", "1234", "p@ss.w0rd!#$", "z9", "q8", "k&2")] == ["password", "pin", "secret", "key", "token", "api_key"]
+    labels = {r.value: r.label for r in found.select("value", true_finding().alias("label")).collect()}
+    assert [labels[v] for v in ("1234", "hunter2abc", "p@ss.w0rd!#$", "ab12", "z9", "pass")] == [True, True, True, None, None, None]
+    assert scan_secrets(docs, F.col("key") % 2 == 0, F.lit(True)).where("score >= 0").count() == found.count()
+
+
+def test_short_passwords_are_found(spark):
+    draw = random.Random(11)
+    made = []
+    for i in range(400):
+        words = ["".join(draw.choices("abcdefghij", k=draw.randint(3, 9))) for _ in range(20)] + ["".join(draw.choices("abcdefghij", k=20))]
+        secret = ["password=" + "".join(draw.choices("abcdef", k=5)) + "$7.!", "pin: " + str(draw.randint(1000, 9999)), "name=bob7"][i % 3]
+        made.append((i, " ".join([*words, secret, "x"]), "s"))
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    found = scan_secrets(docs, true_finding(), F.col("key") % 5 != 0).where("key % 5 = 0 AND score >= 0.5")
+    assert sorted(r.key for r in found.collect()) == [i for i in range(0, 400, 5) if i % 3 != 2]
