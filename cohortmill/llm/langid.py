@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from .textbytes import CHUNK, LOWER, bound_batches, text_bytes, with_arrow_columns
 
 BUCKETS = 1 << 16
-#: Languages a text's set may hold, EM steps over all languages and within a set, and the penalty's weight.
-MOST_LANGUAGES, STEPS, SET_STEPS, PENALTY = 3, 10, 5, 4.0
+#: EM steps over all languages and within a set, the penalty's weight, and the share over all languages up to which one is no part of a set.
+STEPS, SET_STEPS, PENALTY, NEGLIGIBLE = 10, 5, 4.0, 1e-3
 UNKNOWN = "und"
 _BLANK = np.uint32(0x20)
 _codes = np.arange(256)
@@ -113,7 +113,8 @@ def chosen_sets(counts: np.ndarray, likely: np.ndarray, first: np.ndarray) -> tu
     """(proportions in the chosen set, proportions over all languages) of each text.
 
     Languages enter in the order of their proportions over all; the set is the one with the best log-likelihood less
-    PENALTY / 2 * log(n-grams) for each language beyond the first. The single language is the most likely one.
+    PENALTY / 2 * log(n-grams) for each language beyond the first, of any size. The single language is the most likely one.
+    A text is tried with three languages or more only while the next one's share over all is above NEGLIGIBLE.
     """
     texts, kinds = len(first) - 1, likely.shape[1]
     over_all, _ = mixtures(counts, likely, first, np.full((texts, kinds), 1 / kinds, np.float32), STEPS)
@@ -124,14 +125,25 @@ def chosen_sets(counts: np.ndarray, likely: np.ndarray, first: np.ndarray) -> tu
     value = single[np.arange(texts), pick].astype(np.float64)
     cost = PENALTY / 2 * np.log(np.maximum(2, np.add.reduceat(counts, first[:-1])))
     order = np.argsort(-over_all, axis=1, kind="stable")
-    for size in range(2, min(kinds, MOST_LANGUAGES) + 1):
-        start = np.zeros((texts, kinds), np.float32)
-        rows = np.arange(texts)[:, None]
-        start[rows, order[:, :size]] = np.maximum(over_all[rows, order[:, :size]], 1e-6)
-        shares, fit = mixtures(counts, likely, first, start / start.sum(axis=1, keepdims=True), SET_STEPS)
-        better = fit - cost * (size - 1) > value
-        best[better] = shares[better]
-        value = np.where(better, fit - cost * (size - 1), value)
+    for size in range(2, kinds + 1):
+        rows = np.arange(texts) if size == 2 else np.flatnonzero(over_all[np.arange(texts), order[:, size - 1]] > NEGLIGIBLE)
+        if not len(rows):
+            break
+        sizes = np.diff(first)[rows]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        if len(rows) == texts:
+            own_counts, own_likely = counts, likely
+        else:
+            places = np.arange(ends[-1]) + np.repeat(first[rows] - ends[:-1], sizes)
+            own_counts, own_likely = counts[places], likely[places]
+        start = np.zeros((len(rows), kinds), np.float32)
+        chosen = order[rows, :size]
+        start[np.arange(len(rows))[:, None], chosen] = np.maximum(over_all[rows[:, None], chosen], 1e-6)
+        shares, fit = mixtures(own_counts, own_likely, ends, start / start.sum(axis=1, keepdims=True), SET_STEPS)
+        worth = fit - cost[rows] * (size - 1)
+        better = worth > value[rows]
+        best[rows[better]] = shares[better]
+        value[rows] = np.maximum(worth, value[rows])
     return best, over_all
 
 

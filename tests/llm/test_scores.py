@@ -54,6 +54,15 @@ def test_long_texts_count_as_one(spark, monkeypatch):
     assert want == ["x", "y", "z", "x", "und"]
 
 
+def test_texts_of_more_than_three_languages(spark):
+    draw = random.Random(12)
+    signs = {"v": "abcd", "w": "efgh", "x": "ijkl", "y": "mnop", "z": "qrst"}
+    docs = spark.createDataFrame([(i, text_in(draw, list(signs.values())[i % 5]), list(signs)[i % 5]) for i in range(60)], "doc_id long, text string, lang string")
+    texts = [" ".join(text_in(draw, s, 60) for s in list(signs.values())[:n]) for n in range(1, 6)]
+    found = predicted_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), fit_languages(docs))
+    assert [sorted(r.lang_set) for r in found.orderBy("doc_id").collect()] == [list(signs)[:n] for n in range(1, 6)]
+
+
 def test_trigrams_are_counted_over_all_texts(spark):
     docs = spark.createDataFrame([("ab a", "x"), ("AB", "x"), ("c", None), (None, "x")], "text string, lang string")
     assert sorted(r.n for r in trigram_counts(docs).collect()) == [1, 2, 2]
