@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_micros
+from .cuts import first_in_hash_order, hash_cuts
 from .joins import require_disjoint, stack
 from .ranks import hash_order, hash_rank
 
@@ -82,9 +84,8 @@ def holdout_split(df: DataFrame, keys: Sequence[str], share: float = 0.2, seed:
 def stratified_split(df: DataFrame, keys: Sequence[str], label: str, share: float = 0.2, seed: int = 42,
                      name: str = "cohort_split") -> DataFrame:
     """`test` for exactly `floor(share * n + 0.5)` rows of every label."""
-    ranked = hash_rank(df, keys, seed, [label], "_rank")
-    test = F.col("_rank") <= F.floor(F.lit(share) * F.col("_rank_total") + 0.5)
-    return ranked.withColumn(name, F.when(test, "test").otherwise("train")).drop("_rank", "_rank_total")
+    picked = first_in_hash_order(df, keys, seed, [label], lambda size: F.floor(F.lit(share) * size + 0.5), "_test")
+    return picked.withColumn(name, F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def subject_labels(df: DataFrame, subject: str, label: str) -> DataFrame:
@@ -110,14 +111,16 @@ def downsample_controls(df: DataFrame, keys: Sequence[str], label: str, ratio: f
                         seed: int = 42) -> DataFrame:
     """Keep `ratio` training controls per training case, the first in hash order; other rows all stay.
 
-    Ranks are taken per (split, label); the number of training cases comes from the same group sizes.
+    Only the training controls are hashed and cut; every row is then judged by a filter. `ratio` 0 keeps no training
+    control, and one of more controls than there are keeps them all. Rows without a label or split stay.
     """
-    groups = [split, label] if split else [label]
     training = (F.col(split) == "train") if split else F.lit(True)
-    cases = df.where(training & (F.col(label) == 1)).agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = hash_rank(df, keys, seed, groups, "_rank")
-    keep = ~(training & (F.col(label) == 0)) | (F.col("_rank") <= F.floor(cases * F.lit(ratio)))
-    return ranked.where(keep).drop("_rank", "_rank_total")
+    control = F.coalesce(training & (F.col(label) == 0), F.lit(False))
+    cases = df.agg(F.count_if(training & (F.col(label) == 1))).first()[0]
+    cut = hash_cuts(df.where(control), keys, seed, [], lambda size: F.lit(math.floor(cases * ratio))).select("cut").first()
+    if cut is None:
+        return df
+    return df.where(~control | (hash_order(seed, *keys) <= F.lit(cut["cut"])))
 
 
 def cv_folds(df: DataFrame, keys: Sequence[str], label: str, folds: int = 5, seed: int = 42,

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ranks import exact_quantiles, sequence_sums
 
 
@@ -171,6 +174,46 @@ def one_hot(df: DataFrame, split: str, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(added).drop(*columns)
 
 
+def one_hot_slots(df: DataFrame, split: str, columns: Sequence[str]) -> DataFrame:
+    """(column, value, slot): the training values of each column except its first in order, numbered through all columns."""
+    train = df.where(F.col(split) == "train")
+    values = None
+    for k, c in enumerate(columns):
+        own = train.where(F.col(c).isNotNull()).select(F.lit(k).alias("k"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).distinct()
+        values = own if values is None else values.union(own)
+    first = values.groupBy("k").agg(F.min("value").alias("value"))
+    later = values.join(first, ["k", "value"], "left_anti").withColumn("_one", F.lit(1).cast("long"))
+    return sequence_sums(later, ["k", "value"], {"_upto": "_one"}).select("column", "value", (F.col("_upto") - 1).alias("slot"))
+
+
+def one_hot_vector(df: DataFrame, split: str, columns: Sequence[str], into: str = "encoded") -> tuple[DataFrame, DataFrame]:
+    """(`df` with one sparse vector of the columns' 0/1 values, the slots): `one_hot` for columns of any number of values.
+
+    The values stay in a table that is joined to the rows; only the number of slots reaches the driver. The first value of a
+    column, a null and a test value unseen in training have 0 in all of its slots. Slots are as `one_hot_slots` numbers them.
+    """
+    slots = cut_lineage(one_hot_slots(df, split, columns))
+    sizes = {r["column"]: r["count"] for r in slots.groupBy("column").count().collect()}
+    out, numbers, before = df, [], 0
+    for k, c in enumerate(columns):
+        if c not in sizes:  # one training value or none has no slot
+            continue
+        number, size = f"_slot{k}", sizes[c]
+        own = slots.where(F.col("column") == c).select(F.col("value").alias(f"{number}_value"), (F.col("slot") - before).alias(number))
+        # Rows without a slot are given the one behind the column's last, which the encoder drops.
+        out = (out.join(own, F.col(c).cast("string") == F.col(f"{number}_value"), "left").drop(f"{number}_value")
+               .withColumn(number, F.coalesce(F.col(number), F.lit(size)).cast("double")))
+        numbers.append((number, size))
+        before += size
+    if not numbers:
+        return df.withColumn(into, array_to_vector(F.array().cast("array<double>"))).drop(*columns), slots
+    names = [n for n, _ in numbers]
+    shape = df.sparkSession.createDataFrame([tuple(float(size) for _, size in numbers)], names)
+    encoder = OneHotEncoder(inputCols=names, outputCols=[f"{n}_vector" for n in names], dropLast=True).fit(shape)
+    assembler = VectorAssembler(inputCols=[f"{n}_vector" for n in names], outputCol=into)
+    return assembler.transform(encoder.transform(out)).drop(*names, *[f"{n}_vector" for n in names], *columns), slots
+
+
 def clipped_scale(df: DataFrame, column: str, name: str, low: float = 0.05, high: float = 0.95,
                   max_rows: int | None = None) -> DataFrame:
     """Min-max scaling between two quantiles, clipped to [0, 1].

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import summary_scores
-from .ranks import exact_quantiles, hash_rank
+from .permute import independent_copies
+from .ranks import exact_quantiles
 
 # The two settings of the parameter grid, in the terms of Spark's boosted trees.
 GRID = [{"maxIter": 300, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.85, "minInstancesPerNode": 5},
@@ -199,15 +200,8 @@ def backward_elimination(train: DataFrame, validation: DataFrame, features: Sequ
 
 
 def with_shadows(df: DataFrame, keys: Sequence[str], features: Sequence[str], seed: int) -> DataFrame:
-    """Adds `shadow__<feature>`: the feature values of another row, by one permutation of all rows.
-
-    Two hash ranks of the same rows are joined on their position: the row at place i of one order lends its
-    features to the row at place i of the other. Values are kept as a whole; only their rows change.
-    """
-    here = hash_rank(df, keys, f"{seed}a", name="_place").drop("_place_total")
-    there = hash_rank(df.select(*keys, *features), keys, f"{seed}b", name="_place").select(
-        "_place", *[F.col(f).alias(f"shadow__{f}") for f in features])
-    return here.join(there, "_place").drop("_place")
+    """Adds `shadow__<feature>`: the feature's values on other rows, each feature by a permutation of its own."""
+    return independent_copies(df, keys, features, seed)
 
 
 def shadow_filter(train: DataFrame, validation: DataFrame, keys: Sequence[str], features: Sequence[str], label: str,
@@ -291,14 +285,20 @@ def mean_absolute(contributions: DataFrame, columns: Sequence[str]) -> DataFrame
 def run_summary(train: DataFrame, holdout: DataFrame, fitted: Fitted, threshold: float, features: Sequence[str],
                 run_id: str, model_label: str, params: Mapping = {}, validation_ap: float | None = None,
                 dropped: Sequence[str] = (), cv: DataFrame | None = None) -> DataFrame:
+    """`summary_of_scores` of a fitted model's scores on the holdout rows."""
+    return summary_of_scores(train, fitted.label, fitted.score(holdout), threshold, features, run_id, model_label, params, validation_ap, dropped, cv)
+
+
+def summary_of_scores(train: DataFrame, label: str, scored: DataFrame, threshold: float, features: Sequence[str], run_id: str,
+                      model_label: str, params: Mapping = {}, validation_ap: float | None = None, dropped: Sequence[str] = (),
+                      cv: DataFrame | None = None) -> DataFrame:
     """One row about a run: sizes, scores, metrics at the chosen threshold and at 0.5, settings, CV means."""
     from .audit import mean_and_sd
     from .metrics import metrics_at
-    scored = fitted.score(holdout)
     s = summary_scores(scored, "y_true", "y_probability")
     at = metrics_at(scored, "y_true", "y_probability", {"selected": threshold, "default": 0.5})
     selected = at.where(F.col("rule") == "selected")
-    sizes = train.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(fitted.label) == 1).alias("p"))
+    sizes = train.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"))
     n, p = sizes.select("n").scalar(), sizes.select("p").scalar()
     row = s.select(
         F.lit(run_id).alias("run_id"), F.lit(model_label).alias("model_label"), n.alias("train_rows"),

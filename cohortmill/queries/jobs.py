@@ -12,6 +12,7 @@ from ..operators import cohort as c
 from ..operators import metrics as m
 from ..operators import models as ml
 from ..plans import matrices as pm
+from ..plans import training as pt
 from ..sources import materialize as s
 from ..sources import readers
 from ..session import ensure_checkpoint_dir
@@ -57,6 +58,29 @@ def model_matrix_encoded(spark, sf):
     return pm.model_matrix(raw, rules)[0]
 
 
+@query("model_matrix_vector", f"""WITH {MATRIX_SQL},
+s AS (SELECT * EXCLUDE (cohort_split), CASE WHEN substr(md5(user_id || ':42'), 1, 8) < '80000000' THEN 'test' ELSE 'train' END AS cohort_split,
+  CASE WHEN user_id % 3 <> 0 THEN 'kind ' || user_id % 3 END AS kind, 'user ' || user_id % 40 AS place FROM m),
+v AS (SELECT DISTINCT 'kind' AS col, kind AS value FROM s WHERE cohort_split = 'train' AND kind IS NOT NULL
+      UNION SELECT DISTINCT 'place', place FROM s WHERE cohort_split = 'train'),
+slots AS (SELECT col, value, row_number() OVER (ORDER BY col, value) - 1 AS slot FROM v
+          WHERE value <> (SELECT min(w.value) FROM v w WHERE w.col = v.col))
+SELECT s.user_id, s.cohort_split, (SELECT count(*) FROM slots) AS width,
+  coalesce((SELECT string_agg(x.slot::VARCHAR, ',' ORDER BY x.slot) FROM slots x
+            WHERE (x.col = 'kind' AND x.value = s.kind) OR (x.col = 'place' AND x.value = s.place)), '') AS ones FROM s""")
+def model_matrix_vector(spark, sf):
+    """One-hot columns as one sparse vector, whose slots are as many as the training values."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators import matrix as x
+    raw = c.holdout_split(matrix(spark, sf), ["user_id"], 0.5).withColumns({
+        "kind": F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("kind "), F.col("user_id") % 3)), "place": F.concat(F.lit("user "), F.col("user_id") % 40)})
+    rows, _ = x.one_hot_vector(raw, "cohort_split", ["kind", "place"])
+    values = rows.select("user_id", "cohort_split", vector_to_array("encoded").alias("v"))
+    places = F.filter(F.transform("v", lambda one, i: F.when(one == 1, i)), lambda i: i.isNotNull())
+    return values.select("user_id", "cohort_split", F.size("v").cast("long").alias("width"), F.array_join(places.cast("array<string>"), ",").alias("ones"))
+
+
 @query("scoring_frame", """SELECT o_orderkey, (o_orderstatus = 'F')::INT AS y, o_totalprice / 500000 AS score, o_custkey,
   CASE WHEN o_orderstatus = 'F' THEN 'Final target: type unclear' WHEN o_orderpriority = '1-URGENT'
   THEN 'Control: dissection ruled out' ELSE 'Control' END AS phenotype_group FROM orders""")
@@ -83,6 +107,16 @@ def event_table_roundtrip(spark, sf):
     return out
 
 
+@query("event_table_lookup", """SELECT user_id, ts, event_type, value FROM events WHERE event_type IN ('click', 'purchase')
+  AND user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 40)""")
+def event_table_lookup(spark, sf):
+    """The clicks and purchases of some users from a table written for such lookups; a third item is written but not asked for."""
+    root, source = workspace(spark), table(spark, sf, "events").select("user_id", "ts", "event_type", "value")
+    held = s.lookup_table(spark, root, "user_events", source, [f"{sf}/events.parquet"], "user_id", "event_type", "ts", [*ITEMS, "view"])
+    users = table(spark, sf, "events").where("event_type = 'signup' AND value > 40")
+    return s.events_of(held, users, "user_id", "event_type", ITEMS)
+
+
 @query("matrix_manifest", f"""WITH {JOINED_SQL} SELECT user_id, {wide_sql('first')} FROM j GROUP BY user_id""")
 def matrix_manifest(spark, sf):
     root = workspace(spark)
@@ -260,12 +294,53 @@ def mean_absolute(spark, sf):
 
 @query("run_summary")
 def run_summary(spark, sf):
-    train, test = sides(spark, sf)
-    model = ml.fit(train, NUMBERS, "label", FAST)
-    best = m.best_threshold(model.score(train), "y_true", "y_probability").first()["threshold"]
-    rows = c.cv_folds(train, ["doc_id"], "label", 2)
-    cv = ml.cross_validate(rows, "fold", NUMBERS, "label", FAST)
-    return ml.run_summary(train, test, model, best, NUMBERS, "r1", "text statistics", FAST, cv=cv)
+    """The row of a training job with five folds; its threshold comes from the validation rows inside the training rows."""
+    return pt.train_and_evaluate(labelled_documents(spark, sf), training_rules(folds=5)).summary
+
+
+def training_rules(**options) -> pt.TrainingRules:
+    return pt.TrainingRules(["doc_id"], "label", NUMBERS, validation_share=0.25, grid=[FAST, {**FAST, "maxDepth": 2}], run_id="r1",
+                            model_label="text statistics", **options)
+
+
+# The documents' split and the parts of its training rows, by the order of md5(key:42) in each label.
+ROLES_SQL = """
+rows AS (SELECT doc_id, 1 - quality AS y FROM documents JOIN labels USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(doc_id || ':42')) AS k, count(*) OVER (PARTITION BY y) AS n FROM rows),
+split AS (SELECT doc_id, y, k > floor(0.3 * n + 0.5) AS train FROM placed),
+again AS (SELECT *, row_number() OVER (PARTITION BY train, y ORDER BY md5(doc_id || ':42')) AS k, count(*) OVER (PARTITION BY train, y) AS n FROM split),
+roles AS (SELECT doc_id, y, (k - 1) % 5 + 1 AS fold, CASE WHEN NOT train THEN 'holdout' WHEN k <= floor(0.25 * n + 0.5) THEN 'validation' ELSE 'fit' END AS role
+          FROM again)"""
+RULES = ["validation_f1", "default_0.5", *[f"recall>={t:.2f}" for t in m.RECALL_TARGETS], *[f"fp<={b}" for b in m.FP_BUDGETS]]
+
+
+@query("train_and_evaluate", f"""WITH {ROLES_SQL}
+SELECT 'role' AS part, role AS name, count(*) AS rows, sum(y)::BIGINT AS positive FROM roles GROUP BY role
+UNION ALL SELECT 'fold', fold::VARCHAR, count(*), sum(y)::BIGINT FROM roles WHERE role <> 'holdout' GROUP BY fold
+UNION ALL SELECT 'candidate', p, i, NULL FROM (VALUES (1, '{{"maxDepth": 3, "maxIter": 4, "stepSize": 0.3}}'), (2, '{{"maxDepth": 2, "maxIter": 4, "stepSize": 0.3}}')) v(i, p)
+UNION ALL SELECT 'rule', r, (SELECT count(*) FROM roles WHERE role = 'holdout'), (SELECT sum(y)::BIGINT FROM roles WHERE role = 'holdout')
+  FROM (VALUES {', '.join(f"('{r}')" for r in RULES)}) v(r)
+UNION ALL SELECT 'threshold', 'is a score of a validation row', (SELECT count(*) FROM roles WHERE role = 'validation'), (SELECT sum(y)::BIGINT FROM roles WHERE role = 'validation')
+UNION ALL SELECT 'holdout curve', 'ends at all cases', (SELECT count(*) FROM roles WHERE role = 'holdout'), (SELECT sum(y)::BIGINT FROM roles WHERE role = 'holdout')
+UNION ALL SELECT 'features', 'kept and dropped', 6, NULL""")
+def train_and_evaluate(spark, sf):
+    """The whole job on the labelled documents, elimination, folds and shadows included, as the counts that its tables rest on."""
+    run = pt.train_and_evaluate(labelled_documents(spark, sf), training_rules(folds=5, minimum=5, passes=1, tolerance=0.05, shadows=1))
+    long = lambda df, part, name, rows, positive: df.select(F.lit(part).alias("part"), name.alias("name"), rows.cast("long").alias("rows"),
+                                                            positive.cast("long").alias("positive"))
+    at = run.validation.agg(F.count(F.lit(1)).alias("n"), F.sum("y_true").alias("p"), F.count_if(F.col("y_probability") == run.threshold).alias("hit")).where("hit > 0")
+    curve = run.pr_curve.where("recall = 1").limit(1).crossJoin(run.predictions.agg(F.count(F.lit(1)).alias("n"), F.sum("y_true").alias("p")))
+    none = F.lit(None)
+    names = spark.createDataFrame([(len({*run.features, *run.dropped}),)], "n int")
+    out = long(run.roles, "role", F.col("role"), F.col("rows"), F.col("positive"))
+    for more in (long(run.folds, "fold", F.col("fold").cast("string"), F.col("validation_rows"), F.col("validation_positive")),
+                 long(run.candidates, "candidate", F.col("params_json"), F.col("candidate"), none),
+                 long(run.operating_points, "rule", F.col("rule"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), F.col("tp") + F.col("fn")),
+                 long(at, "threshold", F.lit("is a score of a validation row"), F.col("n"), F.col("p")),
+                 long(curve, "holdout curve", F.lit("ends at all cases"), F.col("n"), F.col("p")),
+                 long(names, "features", F.lit("kept and dropped"), F.col("n"), none)):
+        out = out.unionByName(more)
+    return out
 
 
 @query("sweep_with_failures")

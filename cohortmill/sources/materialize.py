@@ -61,7 +61,8 @@ def _manifest(spark: SparkSession, root: str, name: str, sign: str):
 
 
 def ensure_table(spark: SparkSession, root: str, name: str, sign: str, build: Callable[[], DataFrame],
-                 sort_by: Sequence[str] = (), cluster_by: str | None = None, rebuild: bool = False) -> DataFrame:
+                 sort_by: Sequence[str] = (), cluster_by: str | None = None, rebuild: bool = False,
+                 partition_by: str | None = None) -> DataFrame:
     """The table of this name and signature: read back if it is there, else built, written and read back.
 
     Data goes to a directory of its own and is published by one appended manifest line, so readers never
@@ -76,7 +77,8 @@ def ensure_table(spark: SparkSession, root: str, name: str, sign: str, build: Ca
         table = table.hint("rebalance", cluster_by) if cluster_by else table.hint("rebalance")
         if sort_by:
             table = table.sortWithinPartitions(*sort_by)
-        table.write.mode("errorifexists").parquet(path)
+        writer = table.write.mode("errorifexists")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         created = datetime.datetime.now(datetime.timezone.utc).isoformat()
         line = spark.createDataFrame([(name, sign, path, created)], MANIFEST_TYPE)
         line.coalesce(1).write.mode("append").json(f"{root}/_manifest")
@@ -93,6 +95,38 @@ def event_table(spark: SparkSession, root: str, name: str, source: DataFrame, so
     return ensure_table(spark, root, name, sign, build, sort_by=[subject, item, ts], cluster_by=subject)
 
 
+#: Folders of a table that is looked up by subject, and the column that names them.
+SUBJECT_FOLDERS, FOLDER = 256, "subject_folder"
+
+
+def _folder(subject: str, folders: int):
+    return F.pmod(F.xxhash64(F.col(subject).cast("string")), F.lit(folders)).cast("int")
+
+
+def lookup_table(spark: SparkSession, root: str, name: str, source: DataFrame, source_paths: Sequence[str], subject: str,
+                 item: str, ts: str, items: Sequence, folders: int = SUBJECT_FOLDERS) -> DataFrame:
+    """`event_table` laid out for lookups: a folder for each hash of the subject, rows sorted by item, subject and time.
+
+    A folder's rows are written by as many tasks as its size asks for, so a hot subject gets several files.
+    """
+    config = {"items": list(items), "columns": source.columns, "folders": folders}
+    sign = signature(config, source_digest(fingerprint(spark, *source_paths)))
+    build = lambda: source.where(F.col(item).isin(list(items))).withColumn(FOLDER, _folder(subject, folders))
+    return ensure_table(spark, root, name, sign, build, sort_by=[FOLDER, item, subject, ts], cluster_by=FOLDER, partition_by=FOLDER)
+
+
+def events_of(table: DataFrame, subjects: DataFrame, subject: str, item: str, items: Sequence, folders: int = SUBJECT_FOLDERS) -> DataFrame:
+    """The rows of a `lookup_table` for the given subjects and items, without the folder column.
+
+    The folders of the subjects, at most `folders` numbers, become a filter on the folder names, so the others are not
+    opened; the item list reaches the row groups' statistics. A semi join then keeps the subjects asked for.
+    """
+    wanted = subjects.select(subject).where(F.col(subject).isNotNull()).distinct()
+    named = [r[0] for r in wanted.select(_folder(subject, folders).alias(FOLDER)).distinct().collect()]
+    there = table.where(F.col(FOLDER).isin(named) & F.col(item).isin(list(items)))
+    return there.join(wanted, subject, "left_semi").drop(FOLDER)
+
+
 def feature_matrix(spark: SparkSession, root: str, name: str, build: Callable[[], DataFrame], config: Mapping,
                    source_paths: Sequence[str], version: int = 1) -> DataFrame:
     """The matrix of these settings and source files, built only when either has changed."""
