@@ -8,8 +8,10 @@ scores in [0, 1] rounded to 4 digits; with it no size check is run.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -340,57 +342,100 @@ def review_workload(df: DataFrame, y: str, score: str, keys: Sequence[str], shar
     return extra.select(F.inline(F.array(*rows)))
 
 
-# Bootstrap. A resample draws every row a Poisson(1) number of times; the rows of one (score, outcome) cell
-# together are drawn Poisson(count) times. Drawing per cell makes the cost depend on the distinct scores.
+# Bootstrap. A resample draws every row a Poisson(1) number of times, so the rows of one (score, outcome) cell together
+# are drawn Poisson(count) times. A count is split into powers of two, whose draws are independent and add up to its own;
+# each is one inversion of its distribution function. So every draw is exact, and the cost depends on the distinct scores.
+
+#: Largest power of two with a table of its own; larger counts take several draws of it. Scores of a bucket.
+POISSON_TOP, BUCKET_SCORES = 14, 4_096
+#: Resamples that a task draws of a bucket.
+TASK_RESAMPLES = 8
+
 
 def _uniform(*parts: Column) -> Column:
-    """A fixed number in (0, 1) per combination of parts, the same in any engine that has md5."""
+    """A fixed number in (0, 1) of 52 bits per combination of parts, the same in any engine that has md5."""
     text = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-    return (F.conv(F.substring(text, 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 32))
+    return (F.conv(F.substring(text, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 52))
+
+
+def poisson_table(mean: int) -> tuple[int, list[float]]:
+    """(first, cumulative shares): of Poisson(mean) from `first` on, as far as 12 standard deviations reach."""
+    wide = 12 * math.sqrt(mean)
+    first, last = max(0, math.floor(mean - wide - 12)), math.ceil(mean + wide + 30)
+    return first, list(accumulate(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(first, last + 1)))
 
 
-def _poisson_one(u: Column, top: int = 12) -> Column:
-    """Poisson(1) by inverting its distribution function at u."""
-    cut, mass, draw = 0.0, math.exp(-1.0), None
-    for k in range(top):
-        cut += mass
-        mass /= k + 1
-        draw = F.when(u < cut, k) if draw is None else draw.when(u < cut, k)
-    return draw.otherwise(top)
+def _poisson_draw(u: Column, mean: int) -> Column:
+    """Poisson(mean) by inversion at u: a binary search in the table, which Spark reads from one literal."""
+    first, table = poisson_table(mean)
+    shares = F.from_json(F.lit(json.dumps(table)), "array<double>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(table).bit_length()))])
+    search = lambda x: F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(shares, at + step - 1) <= x, at + step).otherwise(at))
+    # As the element of an array u is computed once, not at each step.
+    return F.get(F.transform(F.array(u), search), F.lit(0)) + first
 
 
-def _cell_draws(count: Column, parts: Sequence[Column], exact_up_to: int = 32) -> Column:
-    """Poisson(count): the sum of single draws for small cells, the rounded normal form above."""
-    numbers = F.transform(F.sequence(F.lit(1), F.least(count, F.lit(exact_up_to)).cast("int")),
-                          lambda i: _uniform(*parts, i))
-    single = F.aggregate(numbers, F.lit(0), lambda total, u: total + _poisson_one(u))
-    u, v = _uniform(*parts, F.lit("u")), _uniform(*parts, F.lit("v"))
-    normal = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
-    many = F.greatest(F.lit(0), F.floor(count + F.sqrt(count) * normal + 0.5))
-    return F.when(count == 0, 0).when(count <= exact_up_to, single).otherwise(many).cast("long")
+def poisson_draws(count: Column, parts: Sequence[Column]) -> Column:
+    """Poisson(count) for any count, one draw for each of its binary digits and for each whole power above the tables."""
+    total = F.lit(0).cast("long")
+    for b in range(POISSON_TOP):
+        odd = F.floor(count / F.lit(1 << b)) % 2 == 1
+        total = total + F.when(odd, _poisson_draw(_uniform(*parts, F.lit(b)), 1 << b)).otherwise(0)
+    whole = F.floor(count / F.lit(1 << POISSON_TOP))
+    rest = F.aggregate(F.sequence(F.lit(POISSON_TOP).cast("long"), whole + POISSON_TOP - 1), F.lit(0).cast("long"),
+                       lambda found, i: found + _poisson_draw(_uniform(*parts, i), 1 << POISSON_TOP))
+    return (total + F.when(whole > 0, rest).otherwise(0)).cast("long")
 
 
 def bootstrap_replicates(df: DataFrame, y: str, score: str, groups: Sequence[str] = (), reps: int = 400, seed: int = 42,
-                         max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Average precision of `reps` resamples per group; null where a resample has one class only."""
-    counts = score_counts(df, y, score, groups)
-    # Spread by replicate before the draws, which cost far more than the counts; the windows below need the
-    # same partitioning, so this is their shuffle.
-    replicates = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(reps)))).repartition(
-        *groups, "replicate")
-    cell = F.round(F.col("threshold") * 1e9).cast("long")
-    parts = [F.lit(seed), F.col("replicate"), *[F.col(g) for g in groups], cell]
-    drawn = replicates.select(
-        *groups, "replicate", "threshold",
-        _cell_draws(F.col("positives"), [*parts, F.lit("p")]).alias("positives"),
-        _cell_draws(F.col("flagged") - F.col("positives"), [*parts, F.lit("n")]).alias("_negatives"))
-    drawn = drawn.withColumn("flagged", F.col("positives") + F.col("_negatives"))
-    by = [*groups, "replicate"]
-    cum = cumulative(drawn.drop("_negatives"), by, max_rows=max_rows, rows_per_task=rows_per_task)
-    both = (F.max("tp_total") > 0) & (F.max("seen_total") > F.max("tp_total"))
-    return cum.groupBy(*by).agg(F.when(both, F.sum(
-        F.try_divide(F.col("positives"), F.col("tp_total")) * F.try_divide(F.col("tp"), F.col("seen"))))
-        .alias("average_precision"))
+                         max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK,
+                         bucket_scores: int = BUCKET_SCORES) -> DataFrame:
+    """Average precision of `reps` resamples per group; null where a resample has one class only.
+
+    Scores are numbered downward and cut into buckets of `bucket_scores`. Only the counts are shuffled, by bucket and a few
+    resamples each, which are drawn inside their task. A first pass sums each (bucket, resample), running sums over the
+    buckets give what lies above each, and a second pass draws the same numbers again and adds the areas. So no task holds
+    more than a bucket's scores at a time, however many scores a group has. The cell's own key is its number of rows at or
+    above it, which differs between any two scores.
+    """
+    groups = list(groups)
+    counts = score_counts(df, y, score, groups).withColumn("_one", F.lit(1))
+    placed = ordered_sums(counts, "threshold", {"seen": "flagged", "place": "_one"}, groups, descending=True, max_rows=max_rows,
+                          rows_per_task=rows_per_task)
+    names = [f"_g{i}" for i in range(len(groups))]
+    cells = cut_lineage(placed.select(*[F.col(g).alias(n) for g, n in zip(groups, names)], "positives", "flagged", "seen", "place",
+                                      F.floor((F.col("place") - 1) / bucket_scores).alias("bucket")))
+    unit = [*names, "bucket", "chunk"]
+    cells = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // TASK_RESAMPLES)))).repartition(*unit)
+    own = F.sequence(F.col("chunk") * TASK_RESAMPLES + 1, F.least(F.lit(reps), (F.col("chunk") + 1) * TASK_RESAMPLES))
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        parts = [F.lit(seed), F.col("replicate"), *[F.col(n) for n in names], F.col("seen")]
+        negatives = F.col("flagged") - F.col("positives")
+        return rows.withColumns({"p": poisson_draws(F.col("positives"), [*parts, F.lit("p")]), "q": poisson_draws(negatives, [*parts, F.lit("n")])})
+
+    first = drawn(cells.withColumn("replicate", F.explode(own)))
+    sums = first.groupBy(*unit, "replicate").agg(F.sum("p").alias("p"), F.sum(F.col("p") + F.col("q")).alias("n"))
+    above = Window.partitionBy(*names, "replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*names, "replicate")
+    offsets = sums.select(*unit, F.struct(
+        "replicate", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("p", "n")],
+        F.sum("p").over(whole).alias("p_all"), F.sum("n").over(whole).alias("n_all")).alias("at"))
+    lists = offsets.groupBy(*unit).agg(F.collect_list("at").alias("resamples"))  # TASK_RESAMPLES entries
+    same = F.lit(True)
+    for c in unit:
+        same = same & F.col(f"cells.{c}").eqNullSafe(F.col(f"lists.{c}"))
+    second = cells.alias("cells").join(lists.alias("lists"), same).select(
+        *[F.col(f"cells.{c}").alias(c) for c in unit], "positives", "flagged", "seen", "place", F.explode("resamples").alias("at"))
+    again = drawn(second.withColumn("replicate", F.col("at.replicate")))
+    inside = Window.partitionBy(*unit, "replicate").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tp = F.col("at.p_above") + F.sum("p").over(inside)
+    n = F.col("at.n_above") + F.sum(F.col("p") + F.col("q")).over(inside)
+    areas = again.select(*names, "replicate", "at.p_all", "at.n_all", "p", tp.alias("tp"), n.alias("n"))
+    both = (F.max("p_all") > 0) & (F.max("n_all") > F.max("p_all"))
+    found = areas.groupBy(*names, "replicate").agg(F.when(both, F.sum(
+        F.try_divide(F.col("p"), F.col("p_all")) * F.try_divide(F.col("tp"), F.col("n")))).alias("average_precision"))
+    return found.select(*[F.col(n).alias(g) for n, g in zip(names, groups)], "replicate", "average_precision")
 
 
 def bootstrap_interval(df: DataFrame, y: str, score: str, groups: Sequence[str] = (), reps: int = 400, seed: int = 42,

@@ -221,20 +221,27 @@ def topk_workload(spark, sf):
     return rounded(m.review_workload(scored(spark, sf), "y", "score", ["o_orderkey"]), "sensitivity", "ppv")
 
 
-def draws_sql(count, side):
-    """The Poisson(count) draw of a cell, as in the operator."""
-    import math
-    u = lambda last: (f"((('0x' || substr(md5('42:' || replicate || ':' || cell || ':{side}:' || {last}), 1, 8))::BIGINT"
-                      f" + 0.5) / 4294967296.0::DOUBLE)")
-    cut, mass, cases = 0.0, math.exp(-1.0), ""
-    for k in range(12):
-        cut += mass
-        mass /= k + 1
-        cases += f" WHEN x < {cut!r}::DOUBLE THEN {k}"
-    one = f"list_sum(list_transform([{u('i')} FOR i IN range(1, {count} + 1)], lambda x: CASE{cases} ELSE 12 END))"
-    normal = f"sqrt(-2 * ln({u(chr(39) + 'u' + chr(39))})) * cos(2 * pi() * {u(chr(39) + 'v' + chr(39))})"
-    return (f"CASE WHEN {count} = 0 THEN 0 WHEN {count} <= 32 THEN {one} ELSE "
-            f"greatest(0, floor({count} + sqrt({count}) * ({normal}) + 0.5)) END::BIGINT")
+def bootstrap_sql(groups: str = "", reps: int = 400) -> str:
+    """Resamples of the score counts `g` (groups, threshold, positives, flagged) as table `ap` (groups, replicate, v)."""
+    by, lead = (f"{groups}, ", "PARTITION BY " + groups) if groups else ("", "")
+    text = "".join(f" || ':' || {c.strip()}" for c in groups.split(",")) if groups else ""
+    return f"""
+lam AS (SELECT lv, pow(2, lv) AS mean, greatest(0, floor(pow(2, lv) - 12 * sqrt(pow(2, lv)) - 12))::BIGINT AS lo FROM range(0, 15) r(lv)),
+cdf AS (SELECT lv, lo, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY lv ORDER BY k) AS c
+        FROM lam, LATERAL (SELECT unnest(range(lo, ceil(mean + 12 * sqrt(mean) + 30)::BIGINT + 1)) AS k)),
+placed AS (SELECT *, sum(flagged) OVER ({lead} ORDER BY threshold DESC)::BIGINT AS seen FROM g),
+sides AS (SELECT {by}replicate, seen, side, CASE side WHEN 'p' THEN positives ELSE flagged - positives END::BIGINT AS n
+          FROM placed, range(1, {reps + 1}) r(replicate), (VALUES ('p'), ('n')) v(side)),
+pieces AS (SELECT {by}replicate, seen, side, unnest(list_concat(list_filter(range(0, 14), lambda b: (n >> b) & 1 = 1), range(14, 14 + (n >> 14)))) AS i FROM sides),
+us AS (SELECT *, least(i, 14) AS lv, (('0x' || substr(md5('42:' || replicate{text} || ':' || seen || ':' || side || ':' || i), 1, 13))::BIGINT + 0.5)
+       / 4503599627370496.0::DOUBLE AS u FROM pieces),
+draws AS (SELECT {by}replicate, seen, side, sum(coalesce(t.k + 1, greatest(0, floor(pow(2, us.lv) - 12 * sqrt(pow(2, us.lv)) - 12))::BIGINT))::BIGINT AS x
+          FROM us ASOF LEFT JOIN cdf t ON us.lv = t.lv AND us.u >= t.c GROUP BY ALL),
+cells AS (SELECT {by}replicate, seen, coalesce(sum(x) FILTER (WHERE side = 'p'), 0) AS p, sum(x) AS n FROM draws GROUP BY ALL),
+bc AS (SELECT *, sum(p) OVER (PARTITION BY {by}replicate ORDER BY seen) AS tp, sum(n) OVER (PARTITION BY {by}replicate ORDER BY seen) AS m,
+         sum(p) OVER (PARTITION BY {by}replicate) AS pos, sum(n) OVER (PARTITION BY {by}replicate) AS total FROM cells),
+ap AS (SELECT {by}replicate, CASE WHEN max(pos) > 0 AND max(total) > max(pos) THEN sum(CASE WHEN m > 0 THEN p / pos * (tp / m) ELSE 0 END) END AS v
+       FROM bc GROUP BY {by}replicate)"""
 
 
 # Coarse scores of a few hundred values, so that cells are large and both forms of the draw occur.
@@ -245,25 +252,23 @@ def coarse(spark, sf):
     return scored(spark, sf).withColumn("score", (F.col("raw") % 150) / F.lit(150.0) + F.col("y") * F.lit(0.1))
 
 
-@query("bootstrap_ap", f"""WITH {SCORED_SQL.split('s AS')[0]} {COARSE_SQL}, {cum_sql()},
-cells AS (SELECT replicate, threshold, round(threshold * 1e9)::BIGINT AS cell, positives AS a, flagged - positives AS b
-          FROM g, range(1, 21) r(replicate)),
-dr AS (SELECT replicate, threshold, {draws_sql('a', 'p')} AS positives, {draws_sql('b', 'n')} AS negatives FROM cells),
-bc AS (SELECT *, sum(positives) OVER (PARTITION BY replicate ORDER BY threshold DESC) AS tp,
-  sum(positives + negatives) OVER (PARTITION BY replicate ORDER BY threshold DESC) AS seen,
-  sum(positives) OVER (PARTITION BY replicate) AS pos FROM dr WHERE positives + negatives > 0),
-ap AS (SELECT replicate, sum(positives / pos * (tp / seen)) AS v FROM bc GROUP BY replicate)
+BOOTSTRAP_SQL = f"""WITH {SCORED_SQL.split('s AS')[0]} {COARSE_SQL}, {cum_sql()}, {bootstrap_sql()}
 SELECT max(n) AS n, max(pos) AS positives, round({AP}, 6) AS average_precision,
        round((SELECT quantile_cont(v, 0.025) FROM ap), 6) AS ci_low,
-       round((SELECT quantile_cont(v, 0.975) FROM ap), 6) AS ci_high FROM t""")
+       round((SELECT quantile_cont(v, 0.975) FROM ap), 6) AS ci_high FROM t"""
+
+
+@query("bootstrap_ap", BOOTSTRAP_SQL)
 def bootstrap_ap(spark, sf):
-    out = m.bootstrap_interval(coarse(spark, sf), "y", "score", reps=20, max_rows=400)
+    out = m.bootstrap_interval(coarse(spark, sf), "y", "score", max_rows=400)
     return rounded(out, "average_precision", "ci_low", "ci_high")
 
 
-@query("bootstrap_ap_400")
+@query("bootstrap_ap_400", BOOTSTRAP_SQL)
 def bootstrap_ap_400(spark, sf):
-    return m.bootstrap_interval(coarse(spark, sf), "y", "score", max_rows=400)
+    """The same with no bound on the distinct scores, so through the measured path."""
+    out = m.bootstrap_interval(coarse(spark, sf), "y", "score")
+    return rounded(out, "average_precision", "ci_low", "ci_high")
 
 
 @query("subgroup_ap", f"""WITH {SCORED_SQL.split('s AS')[0]}
@@ -284,10 +289,22 @@ def subgroup_ap(spark, sf):
     return rounded(m.subgroup_scores(rows, "y", "score", ["yr", "band"]), "average_precision")
 
 
-@query("subgroup_ap_interval")
+@query("subgroup_ap_interval", f"""WITH {SCORED_SQL.split('s AS')[0]}
+s0 AS (SELECT *, raw % 150 / 150.0::DOUBLE + y * 0.1::DOUBLE AS score FROM p),
+s1 AS (SELECT y, score, 'yr' AS domain, year(o_orderdate)::VARCHAR AS subgroup FROM s0 UNION ALL
+       SELECT y, score, 'o_orderpriority', o_orderpriority FROM s0),
+sized AS (SELECT domain, subgroup, count(*) AS n, sum(y) AS p FROM s1 GROUP BY ALL),
+best AS (SELECT domain, subgroup FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, subgroup) AS k FROM sized)
+         WHERE k <= 5 AND n >= 40 AND p >= 3),
+s AS (SELECT s1.* FROM s1 SEMI JOIN best USING (domain, subgroup)), {cum_sql('domain, subgroup')}, {bootstrap_sql('domain, subgroup')},
+limits AS (SELECT domain, subgroup, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM ap GROUP BY ALL),
+points AS (SELECT domain, subgroup, max(n) AS n, max(pos) AS positives, {AP} AS ap FROM t GROUP BY ALL)
+SELECT domain, subgroup, n, positives, round(ap, 6) AS average_precision, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high
+FROM points JOIN limits USING (domain, subgroup)""")
 def subgroup_ap_interval(spark, sf):
     rows = coarse(spark, sf).withColumn("yr", F.year("o_orderdate").cast("string"))
-    return m.subgroup_scores(rows, "y", "score", ["yr", "o_orderpriority"], reps=50, max_rows=400)
+    out = m.subgroup_scores(rows, "y", "score", ["yr", "o_orderpriority"], reps=400, max_rows=400)
+    return rounded(out, "average_precision", "ci_low", "ci_high")
 
 
 @query("timing_bins", f"""WITH {SCORED_SQL.split('s AS')[0]} s0 AS (SELECT *,

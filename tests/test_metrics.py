@@ -144,14 +144,39 @@ def test_bootstrap_interval_holds_the_point(spark):
     assert a["ci_high"] - a["ci_low"] < 0.2
 
 
-def test_poisson_draws_have_mean_and_variance_of_the_count(spark):
+@pytest.mark.parametrize("count", [0, 3, 20, 500, 40_000])
+def test_poisson_draws_have_the_distribution_of_the_count(spark, count):
     from pyspark.sql import functions as F
-    for count in (0, 3, 20, 500):
-        draws = [r[0] for r in spark.range(3000).select(m._cell_draws(F.lit(count), [F.col("id")])).collect()]
-        mean = sum(draws) / len(draws)
-        var = sum((d - mean) ** 2 for d in draws) / len(draws)
-        assert abs(mean - count) <= 4 * (count / 3000) ** 0.5 + 1e-9
-        assert var == pytest.approx(count, rel=0.15, abs=1e-9)
+    draws = [r[0] for r in spark.range(3000).select(m.poisson_draws(F.lit(count).cast("long"), [F.col("id")])).collect()]
+    mean = sum(draws) / len(draws)
+    var = sum((d - mean) ** 2 for d in draws) / len(draws)
+    assert abs(mean - count) <= 4 * (count / 3000) ** 0.5 + 1e-9
+    assert var == pytest.approx(count, rel=0.15, abs=1e-9)
+
+
+def test_small_poisson_draws_follow_the_probabilities(spark):
+    import math
+    from collections import Counter
+    from pyspark.sql import functions as F
+    found = Counter(r[0] for r in spark.range(20_000).select(m.poisson_draws(F.lit(5).cast("long"), [F.col("id")])).collect())
+    for k in range(12):
+        share = math.exp(-5) * 5 ** k / math.factorial(k)
+        assert abs(found[k] / 20_000 - share) <= 4 * math.sqrt(share / 20_000)
+
+
+def test_resamples_do_not_depend_on_the_buckets_of_scores(spark):
+    df = frame(spark, sample(300))
+    runs = [sorted((r["replicate"], r["average_precision"]) for r in m.bootstrap_replicates(df, "y", "s", reps=12, bucket_scores=b).collect())
+            for b in (4_096, 7)]
+    assert [k for k, _ in runs[0]] == list(range(1, 13))
+    assert [v for _, v in runs[0]] == pytest.approx([v for _, v in runs[1]])
+
+
+def test_scores_that_nearly_agree_are_drawn_apart(spark):
+    """Scores nearer than 1e-9 are cells of their own: their draws differ in some resample."""
+    rows = [(1, 1, 0.5), (2, 0, 0.5 + 1e-12), (3, 1, 0.5 - 1e-12), (4, 0, 0.1)]
+    found = {r[0] for r in m.bootstrap_replicates(frame(spark, rows), "y", "s", reps=60).select("average_precision").collect()}
+    assert len(found) > 5
 
 
 def test_class_report(spark):
