@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import epoch_micros
+from ..functions.times import WINDOW_HOURS, epoch_micros, window_end
 from ..session import cut_lineage
 from .ranks import ROWS_PER_TASK, exact_quantiles
 
@@ -22,9 +22,11 @@ def _bin(column: str, seconds: int) -> Column:
 
 
 def interval_join(events: DataFrame, spine: DataFrame, on: Sequence[str], ts: str, start: str, end: str,
-                  bin_seconds: int = DAY) -> DataFrame:
+                  bin_seconds: int = DAY, hours: int = WINDOW_HOURS) -> DataFrame:
     """Events whose `ts` lies in the closed interval [start, end] of a spine row with the same `on` keys.
 
+    A null end is an open window, which ends `hours` after its start, and is returned as that time.
+
     Both sides also match on a time bin: a spine row is repeated for the bins its window touches (two for a
     window of one bin), an event has exactly one bin, so every match is found once. An event therefore only
     meets the spine rows near it, not all rows of its subject, and a hot subject is spread over its bins.
@@ -34,7 +36,7 @@ def interval_join(events: DataFrame, spine: DataFrame, on: Sequence[str], ts: st
     Choose `bin_seconds` near the usual window length.
     """
     on = list(on)
-    bins = (spine.where((F.col(start) <= F.col(end)))
+    bins = (spine.withColumn(end, window_end(start, hours, end)).where((F.col(start) <= F.col(end)))
             .withColumn("_bin", F.explode(F.sequence(_bin(start, bin_seconds), _bin(end, bin_seconds)))))
     keyed = events.where(F.col(ts).isNotNull()).withColumn("_bin", _bin(ts, bin_seconds))
     left = keyed.alias("event")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import any_group, exact_code, loose_code
-from ..functions.times import WINDOW_HOURS, age_at, synthetic_key, window_end
-from ..operators.cohort import first_non_null, grouped_split, holdout_split, one_row, row_id, stack_cases
+from ..functions.times import WINDOW_HOURS, age_at, censor_windows, synthetic_key, window_end
+from ..operators.cohort import (downsample_controls, first_non_null, grouped_split, hard_controls, holdout_split, one_row, row_id,
+                                stack_cases, stratified_split)
 from ..operators.joins import among, many_to_one, not_among, stack
 from ..operators.matrix import require_rows
+from ..session import cut_lineage
 
 # Fixed value: the youngest age at index time.
 MIN_AGE = 18
@@ -42,20 +45,35 @@ def add_demographics(spine: DataFrame, people: DataFrame, subject: str, start: s
     return aged.where(F.col("index_age") >= min_age).drop("anchor_age", "anchor_year")
 
 
+@dataclass
+class SpineOptions:
+    """What a code-defined spine does beyond its plain form, in this order: split, training filter, downsampling, windows.
+
+    `exact_split`: the test share is exact in each label; `one_split`: all rows train. `hard_controls`: (kind column, kinds,
+    place column, places) that a training control must be in. `control_ratio`: training controls per training case.
+    `proxies`: (subject, admission, time) at which a case's window ends at the latest, named by `proxy_source`.
+    """
+    exact_split: bool = False
+    one_split: bool = False
+    hard_controls: tuple[str, Sequence[str], str, Sequence[str]] | None = None
+    control_ratio: float | None = None
+    proxies: DataFrame | None = None
+    proxy_time: str = "proxy_time"
+    proxy_source: str = "proxy"
+
+
 def code_defined_spine(admissions: DataFrame, codes: DataFrame, people: DataFrame, case_list: DataFrame | None,
                        subject: str, admission: str, start: str, targets: Mapping, similar: Mapping | None,
                        columns: Sequence[str], label: str = "label", hours: int = WINDOW_HOURS,
-                       min_age: int = MIN_AGE, share: float = 0.2, seed: int = 42) -> DataFrame:
+                       min_age: int = MIN_AGE, share: float = 0.2, seed: int = 42, options: SpineOptions = SpineOptions()) -> DataFrame:
     """Cases: per subject the earliest admission with a target code, columns filled from later ones where
     null. Controls: the latest admission of every other subject, after keeping only similar admissions.
 
-    A subject with a target code that is not on `case_list` can be a control through another admission. No code that
-    is a target, or in a similar group, is an error, as is a case list that meets none of the target admissions.
+    A subject with a target code that is not on `case_list` can be a control through another admission. Errors: no code that
+    is a target, or in a similar group; no admission of other subjects, or none that is similar; a filter that leaves no
+    training control.
     """
-    # Each check ends with the first row that it finds.
-    require_rows(codes.where(exact_code("code_norm", "version", targets)), "no admission has a target code")
-    if similar is not None:
-        require_rows(codes.where(any_group("code_norm", "version", similar)), "no admission has a similar code")
+    _require_codes(codes, targets, similar)
     if similar is None:
         coded = coded_admissions(codes, admission, targets)
     else:
@@ -68,14 +86,50 @@ def code_defined_spine(admissions: DataFrame, codes: DataFrame, people: DataFram
         hits = among(hits, case_list, [subject, admission])
     kept = [admission, start, *columns]
     cases = first_non_null(hits, subject, start, admission, kept)
-    pool = not_among(admissions, cases, [subject])
+    pool = others = not_among(admissions, cases, [subject])
     if similar is not None:
         pool = among(pool, eligible, [admission])
     controls = first_non_null(pool, subject, start, admission, kept, latest=True)
-    spine = stack_cases(cases, controls, label)
+    # One row per subject, computed once: the checks, the cuts of the split and the filters below read it again.
+    spine = cut_lineage(stack_cases(cases, controls, label))
+    if similar is not None and spine.where(F.col(label) == 0).isEmpty():
+        require_rows(others, "no admission of a subject without a case is there to choose controls from")
+        raise ValueError("no rows left: no control has a similar admission")
     spine = add_demographics(spine, people, subject, start, min_age)
-    spine = holdout_split(spine, [subject], share, seed)
-    return spine.withColumn("feature_window_end", window_end(start, hours))
+    return _finished(spine, subject, admission, start, label, hours, share, seed, options)
+
+
+def _require_codes(codes: DataFrame, targets: Mapping, similar: Mapping | None) -> None:
+    """Both checks of the code lists in one pass over the codes, without a shuffle."""
+    wanted = [F.bool_or(exact_code("code_norm", "version", targets))]
+    if similar is not None:
+        wanted.append(F.bool_or(any_group("code_norm", "version", similar)))
+    found = codes.agg(*wanted).first()
+    for there, what in zip(found, ("no admission has a target code", "no admission has a similar code")):
+        if not there:
+            raise ValueError(f"no rows left: {what}")
+
+
+def _finished(spine: DataFrame, subject: str, admission: str, start: str, label: str, hours: int, share: float, seed: int,
+              options: SpineOptions) -> DataFrame:
+    """Split, training filters and windows of a spine with demographics."""
+    if options.one_split:
+        spine = spine.withColumn("cohort_split", F.lit("train"))
+    elif options.exact_split:
+        spine = stratified_split(cut_lineage(spine), [subject], label, share, seed)
+    else:
+        spine = holdout_split(spine, [subject], share, seed)
+    if options.hard_controls is not None:
+        kind, kinds, place, places = options.hard_controls
+        spine = cut_lineage(hard_controls(spine, label, "cohort_split", kind, kinds, place, places))
+        require_rows(spine.where((F.col("cohort_split") == "train") & (F.col(label) == 0)), "the hard-control filter removed every training control")
+    if options.control_ratio:
+        spine = downsample_controls(cut_lineage(spine), [subject], label, options.control_ratio, "cohort_split", seed)
+    if options.proxies is None:
+        return spine.withColumn("feature_window_end", window_end(start, hours))
+    proxies = options.proxies.select(subject, admission, F.col(options.proxy_time).alias("_proxy"))
+    first = proxies.where(F.col("_proxy").isNotNull()).groupBy(subject, admission).agg(F.min("_proxy").alias("_proxy"))
+    return censor_windows(spine.join(first, [subject, admission], "left"), start, "_proxy", label, options.proxy_source, hours).drop("_proxy")
 
 
 def list_defined_spine(cases: DataFrame, controls: DataFrame, admissions: DataFrame, people: DataFrame, subject: str,

@@ -183,6 +183,66 @@ def code_cohort_similar_controls(spark, sf):
     return code_spine(spark, sf, GROUPS)
 
 
+# Options of the code-defined spine, on the cohort with similar controls: kinds and places of hard controls, and times at
+# which a case's window ends, from eight hours before its start to a day and more after it.
+KINDS, PLACES = ["1-URGENT", "2-HIGH"], ["F"]
+
+
+def optioned_spine(spark, sf, **options):
+    adm = admissions(spark, sf)
+    spine = spines.code_defined_spine(adm, codes(spark, sf), people(spark, sf), adm.where(F.col("o_totalprice") > 100000), "o_custkey",
+                                      "o_orderkey", "index_time", TARGETS, GROUPS, ["kind", "place"], options=spines.SpineOptions(**options))
+    return spine.withColumn("index_age", F.col("index_age").cast("long"))
+
+
+def optioned_sql(test: str, kept: str, columns: str = "index_time + INTERVAL 24 HOUR AS feature_window_end") -> str:
+    """The spine's rows `aged` with a split by `test`, those that `kept` keeps, and the window's columns."""
+    head = spine_sql(True).split("SELECT o_custkey, o_orderkey, index_time, kind, place, label, segment")[0]
+    return f"""{head}, grown AS (SELECT * FROM aged WHERE index_age >= 18),
+splits AS (SELECT *, CASE WHEN {test} THEN 'test' ELSE 'train' END AS cohort_split FROM grown),
+hard AS (SELECT *, cohort_split = 'train' AND label = 0 AS control, coalesce(kind IN ('1-URGENT', '2-HIGH'), false) OR coalesce(place IN ('F'), false) AS is_hard FROM splits),
+kept AS ({kept})
+SELECT o_custkey, o_orderkey, index_time, kind, place, label, segment, CAST(index_age AS BIGINT) AS index_age, cohort_split, {columns} FROM kept"""
+
+
+EXACT_TEST = """row_number() OVER (PARTITION BY label ORDER BY md5(o_custkey || ':42')) <= floor(0.2 * count(*) OVER (PARTITION BY label) + 0.5)"""
+DOWNSAMPLED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY control ORDER BY md5(o_custkey || ':42')) AS k FROM {rows})
+  WHERE NOT control OR k <= floor(1.5 * (SELECT count(*) FROM {rows} WHERE cohort_split = 'train' AND label = 1))"""
+PROXY = "index_time + to_hours((o_orderkey % 40 - 8)::INT)"
+CENSORED = f"""CASE WHEN label = 1 AND o_orderkey % 3 <> 0 THEN least(index_time + INTERVAL 24 HOUR, greatest({PROXY}, index_time))
+  ELSE index_time + INTERVAL 24 HOUR END AS feature_window_end,
+  CASE WHEN label = 1 AND o_orderkey % 3 <> 0 THEN greatest({PROXY}, index_time) END AS proxy_time,
+  CASE WHEN label = 1 AND o_orderkey % 3 <> 0 THEN 'report' END AS proxy_source"""
+
+
+def proxies(spark, sf):
+    """Two times for each admission whose number is not divisible by three, of which the earlier one counts, and one without."""
+    hours = lambda more: F.col("index_time") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 40 - 8 + more).cast("int"))
+    times = F.explode(F.array(hours(5), hours(0), F.lit(None).cast("timestamp_ntz")))
+    return admissions(spark, sf).where("o_orderkey % 3 <> 0").select("o_custkey", "o_orderkey", times.alias("proxy_time"))
+
+
+@query("code_cohort_censored", optioned_sql(EXACT_TEST, "SELECT * FROM hard", CENSORED))
+def code_cohort_censored(spark, sf):
+    return optioned_spine(spark, sf, exact_split=True, proxies=proxies(spark, sf), proxy_source="report")
+
+
+@query("code_cohort_hard_controls", optioned_sql(EXACT_TEST, "SELECT * FROM hard WHERE NOT control OR is_hard"))
+def code_cohort_hard_controls(spark, sf):
+    return optioned_spine(spark, sf, exact_split=True, hard_controls=("kind", KINDS, "place", PLACES))
+
+
+@query("code_cohort_downsampled", optioned_sql(EXACT_TEST, DOWNSAMPLED.format(rows="hard")))
+def code_cohort_downsampled(spark, sf):
+    return optioned_spine(spark, sf, exact_split=True, control_ratio=1.5)
+
+
+@query("code_cohort_all_options", optioned_sql("false", DOWNSAMPLED.format(rows="(SELECT * FROM hard WHERE NOT control OR is_hard)"), CENSORED))
+def code_cohort_all_options(spark, sf):
+    return optioned_spine(spark, sf, one_split=True, hard_controls=("kind", KINDS, "place", PLACES), control_ratio=1.5,
+                          proxies=proxies(spark, sf), proxy_source="report")
+
+
 EXACT_SPLIT = """sides AS (SELECT {key}, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5({key} || ':42'), {key})
   <= floor(0.2 * count(*) OVER (PARTITION BY label) + 0.5) THEN 'test' ELSE 'train' END AS cohort_split FROM {rows})"""
 

@@ -48,6 +48,25 @@ def first_value_features(spark, sf):
     return w.attach(event_spine(spark, sf), features(spark, sf, ["first"]), "user_id")
 
 
+OPEN_SQL = SPINE_SQL + """,
+ends AS (SELECT user_id, index_time, CASE WHEN user_id % 3 = 0 THEN index_time + INTERVAL 6 HOUR END AS window_end FROM spine),
+j AS (SELECT s.user_id, e.ts, e.event_type, e.value FROM events e JOIN ends s ON e.user_id = s.user_id
+      AND e.ts BETWEEN s.index_time AND coalesce(s.window_end, s.index_time + INTERVAL 24 HOUR))"""
+
+
+def open_spine(spark, sf):
+    """The spine with an end of its own, six hours on, for a third of its rows, and none for the others."""
+    ends = F.when(F.col("user_id") % 3 == 0, plus_hours("index_time", 6))
+    return event_spine(spark, sf).withColumn("window_end", ends)
+
+
+@query("features_with_open_window", f"WITH {OPEN_SQL} SELECT user_id, {wide_sql('first', 'mean', 'max')} FROM j GROUP BY user_id")
+def features_with_open_window(spark, sf):
+    out = w.windowed_features(table(spark, sf, "events"), open_spine(spark, sf), item="event_type", value="value", names=EVENT_TYPES,
+                              stats=["first", "mean", "max"], **KEYS)
+    return rounded(out, *[f"{t}_mean" for t in TYPES])
+
+
 @query("stat_features", f"WITH {JOINED_SQL} SELECT user_id, {wide_sql('min', 'max', 'mean')} FROM j GROUP BY user_id")
 def stat_features(spark, sf):
     return rounded(features(spark, sf, ["min", "max", "mean"]), *[f"{t}_mean" for t in TYPES])
