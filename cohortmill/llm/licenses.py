@@ -100,10 +100,11 @@ def band_count(similarity: float, miss: float = MISS) -> int:
 
 def run_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the n words from each word on, the row's first one); only runs inside a row."""
-    total = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    count = max(0, len(words) - n + 1)
+    total = np.zeros(count, np.uint64)
     places = np.random.default_rng(1_000 + n).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for k in range(n):
-        total += words[k:len(words) - n + 1 + k] * places[k]
+        total += words[k:k + count] * places[k]
     sizes = np.maximum(0, np.diff(first) - n + 1)
     ends = np.cumsum(sizes)
     at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(first[:-1], sizes)

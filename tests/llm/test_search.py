@@ -182,3 +182,14 @@ def test_versions_and_variants_of_licenses(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@pytest.mark.parametrize("size", range(7))
+def test_texts_shorter_than_a_shingle(spark, size):
+    """Alone in a chunk, and alone in the chunk behind a text of more than a chunk."""
+    short = " ".join(f"s{i}" for i in range(size))
+    docs = spark.createDataFrame([(1, short)], "doc_id long, text string")
+    assert [list(r.matches) for r in scan_licenses(docs).collect()] == [[]]
+    both = spark.createDataFrame([(1, "filler " * 170_000 + "Released under the MIT license."), (2, short)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: [m.license for m in r.matches] for r in scan_licenses(both).collect()}
+    assert got == {1: ["MIT"], 2: []}
