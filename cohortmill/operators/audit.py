@@ -64,9 +64,9 @@ def family_availability(df: DataFrame, label: str, families: Mapping[str, Sequen
 
 
 def distributions(df: DataFrame, label: str, columns: Sequence[str], max_rows: int | None = None) -> DataFrame:
-    """n, median and interquartile range of the non-null values per label and column."""
+    """n, median and interquartile range of the values that are numbers, neither null nor NaN, per label and column."""
     long = df.select(label, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [label], list(columns), "feature", "value")
+        [label], list(columns), "feature", "value").where(~F.isnan("value"))
     out = exact_quantiles(long, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, [label, "feature"],
                           max_rows=max_rows)
     return out.select(label, "feature", "n", "median", (F.col("q75") - F.col("q25")).alias("iqr"))
@@ -212,9 +212,9 @@ def fitted_histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
 
 
 def usage_summary(df: DataFrame, columns: Sequence[str], max_rows: int | None = None) -> DataFrame:
-    """Per usage counter: n, total, quartiles of its non-null values."""
-    long = df.select(*[F.col(c).try_cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "counter", "value")
+    """Per usage counter: n, total, quartiles of its values that are numbers; text that is none, null and NaN are left out."""
+    number = {c: F.col(c).try_cast("double") for c in columns}
+    long = df.select(*[F.when(~F.isnan(n), n).alias(c) for c, n in number.items()]).unpivot([], list(columns), "counter", "value")
     sums = long.groupBy("counter").agg(F.sum("value").alias("total"))
     return sums.join(exact_quantiles(long, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, ["counter"],
                                      max_rows=max_rows), "counter")

@@ -218,9 +218,12 @@ def clipped_scale(df: DataFrame, column: str, name: str, low: float = 0.05, high
                   max_rows: int | None = None) -> DataFrame:
     """Min-max scaling between two quantiles, clipped to [0, 1].
 
-    If these coincide, the extremes are used; if those coincide too, every value becomes 0.5. Nulls stay null.
+    If these coincide, the extremes are used; if those coincide too, every value becomes 0.5. Nulls stay null, NaN becomes
+    null and counts nowhere.
     """
-    limits = exact_quantiles(df, column, {"lo": low, "hi": high, "least": 0.0, "most": 1.0}, max_rows=max_rows).first()
+    number = F.col(column).cast("double")
+    number = F.when(~F.isnan(number), number)
+    limits = exact_quantiles(df.where(number.isNotNull()), column, {"lo": low, "hi": high, "least": 0.0, "most": 1.0}, max_rows=max_rows).first()
     if limits is None or limits["n"] is None:
         return df.withColumn(name, F.lit(None).cast("double"))
     close = lambda a, b: abs(a - b) <= 1e-8 + 1e-5 * abs(b)
@@ -228,20 +231,20 @@ def clipped_scale(df: DataFrame, column: str, name: str, low: float = 0.05, high
     if close(lo, hi):
         lo, hi = limits["least"], limits["most"]
     if close(lo, hi):
-        return df.withColumn(name, F.when(F.col(column).isNotNull(), F.lit(0.5)))
-    value = F.col(column).cast("double")
-    clipped = F.when(value < lo, lo).when(value > hi, hi).otherwise(value)
-    return df.withColumn(name, F.when(value.isNotNull(), (clipped - lo) / (hi - lo)))
+        return df.withColumn(name, F.when(number.isNotNull(), F.lit(0.5)))
+    clipped = F.when(number < lo, lo).when(number > hi, hi).otherwise(number)
+    return df.withColumn(name, F.when(number.isNotNull(), (clipped - lo) / (hi - lo)))
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every column to [0, 1] over all rows; a constant column becomes 0.5."""
-    limits = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    """Every column to [0, 1] over all rows; a constant column becomes 0.5, NaN becomes null and counts nowhere."""
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+    limits = df.agg(*[f(number(c)).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
     scaled = {}
     for c in columns:
         lo, hi = limits[f"lo_{c}"], limits[f"hi_{c}"]
         scaled[c] = F.lit(None).cast("double") if lo is None else (
-            F.when(F.col(c).isNotNull(), F.lit(0.5)) if lo == hi else (F.col(c) - lo) / (hi - lo))
+            F.when(number(c).isNotNull(), F.lit(0.5)) if lo == hi else (number(c) - lo) / (hi - lo))
     return df.withColumns(scaled)
 
 

@@ -498,7 +498,9 @@ def error_counts(df: DataFrame, y: str, score: str, threshold: float, fp_categor
 
 def median_by_group(df: DataFrame, score: str, group: str, max_rows: int | None = None,
                     rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    return exact_quantiles(df, score, {"median": 0.5}, [group], max_rows=max_rows, rows_per_task=rows_per_task)
+    """Median score per group, of scores that are numbers."""
+    numbers = df.where(~F.isnan(F.col(score).cast("double")))
+    return exact_quantiles(numbers, score, {"median": 0.5}, [group], max_rows=max_rows, rows_per_task=rows_per_task)
 
 
 def model_comparison(runs: Mapping[str, tuple[DataFrame, str]], y: str, score: str, keys: Sequence[str],

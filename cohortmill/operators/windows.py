@@ -126,9 +126,10 @@ def measurement_features(measures: DataFrame, spine: DataFrame, on: Sequence[str
     """The same for a wide table with one row per measurement, plus `<prefix>count`, the in-window rows.
 
     `first` takes the earliest row as a whole: its nulls stay null. Rows at the same time are ordered by
-    their values.
+    their values. NaN in a measurement is a null.
     """
-    kept = measures.select(*on, ts, *columns)
+    floats = {c for c, kind in measures.dtypes if kind in ("double", "float")}
+    kept = measures.select(*on, ts, *[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else c for c in columns])
     windows = spine.select(*dict.fromkeys([*on, row_key, start, end]))
     joined = interval_join(kept, windows, on, ts, start, end, bin_seconds)
     if "median" in stats:

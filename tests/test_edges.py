@@ -102,3 +102,64 @@ def test_code_keys(spark):
     got = df.select(k.exact_code("c", "v", k.TARGET_CODES), k.any_group("c", "v", k.SIMILAR_CONTROL_GROUPS), k.code_prefix("c", "v", {9: []})).collect()
     assert [r[0] for r in got] == [True, False, True, False, False, False, False]
     assert [r[1] for r in got] == [False] * 5 + [True, False] and not any(r[2] for r in got)
+
+
+def test_nan_is_no_value(spark):
+    from cohortmill.operators import audit as a
+    from cohortmill.operators import matrix as x
+    from cohortmill.operators import metrics as m
+    from cohortmill.operators.windows import measurement_features
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1.0), (1, 3.0), (1, nan), (1, None), (2, nan)], "g int, v double")
+    assert [tuple(r) for r in m.median_by_group(df, "v", "g").collect()] == [(1, 2, 2.0)]
+    assert [tuple(r) for r in a.distributions(df, "g", ["v"]).collect()] == [(1, "v", 2, 2.0, 1.0)]
+    assert [tuple(r) for r in a.usage_summary(df, ["v"]).select("counter", "total", "n", "median").collect()] == [("v", 4.0, 2, 2.0)]
+    assert sorted(map(str, (r["s"] for r in x.clipped_scale(df, "v", "s", 0, 1).collect()))) == ["0.0", "1.0", "None", "None", "None"]
+    assert sorted(map(str, (r["v"] for r in x.minmax_scale(df, ["v"]).collect()))) == ["0.0", "1.0", "None", "None", "None"]
+    times = "timestamp_ntz'2024-01-01 0{}:00:00'"
+    measures = df.selectExpr("g", times.format(1) + " AS ts", "v")
+    spine = spark.range(1, 3).selectExpr("cast(id AS int) AS g", times.format(0) + " AS lo", times.format(2) + " AS hi")
+    got = measurement_features(measures, spine, ["g"], "g", "ts", "lo", "hi", ["v"], ["max", "mean", "median"]).orderBy("g").collect()
+    assert [tuple(r) for r in got] == [(1, 4, 3.0, 2.0, 2.0), (2, 1, None, None, None)]
+    open_end = spine.selectExpr("g", "lo", "cast(NULL AS timestamp_ntz) AS hi")
+    assert measurement_features(measures, open_end, ["g"], "g", "ts", "lo", "hi", ["v"], ["max"]).count() == 2
+
+
+def test_vector_of_many_values(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from cohortmill.operators.matrix import one_hot, one_hot_vector
+    rows = spark.range(100_000).selectExpr("id", "CASE WHEN id % 10 = 9 THEN 'test' ELSE 'train' END AS s", "concat('v', id) AS w", "concat('k', id % 3) AS k")
+    out, slots = one_hot_vector(rows, "s", ["w", "k"])
+    assert slots.count() == 90_000 - 1 + 2
+    size = out.agg(F.max(F.expr("0"))).first()  # the rows come through whole
+    assert size[0] == 0 and out.count() == 100_000
+    small = spark.createDataFrame([("train", "a", "p"), ("train", "b", "q"), ("train", None, "r"), ("test", "b", "z"), ("train", "c", "q")], "s string, k string, w string")
+    vector, slots = one_hot_vector(small.withColumn("id", F.monotonically_increasing_id()), "s", ["k", "w"])
+    names = [f"{r['column']}_{r['value']}" for r in slots.orderBy("slot").collect()]
+    plain = one_hot(small, "s", ["k", "w"])
+    assert names == [c for c in plain.columns if c != "s"]
+    assert sorted(tuple(map(int, r["v"])) for r in vector.select(vector_to_array("encoded").alias("v")).collect()) == sorted(tuple(r[c] for c in names) for r in plain.collect())
+    none, slots = one_hot_vector(small.select("s", F.lit("same").alias("k")), "s", ["k"])
+    assert slots.count() == 0 and {len(r["encoded"]) for r in none.collect()} == {0}
+
+
+def test_lookup_reads_the_folders_of_its_subjects(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cohortmill.sources import materialize as s
+    events = spark.range(2000).selectExpr("id % 100 AS who", "timestamp_ntz'2024-01-01' AS ts", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS item", "id AS v")
+    events.write.parquet(str(tmp_path / "source"))
+    source = spark.read.parquet(str(tmp_path / "source"))
+    held = [s.lookup_table(spark, str(tmp_path / "root"), "t", source, [str(tmp_path / "source")], "who", "item", "ts", ["a", "b"], folders=32) for _ in range(2)]
+    assert held[0].inputFiles() == held[1].inputFiles()
+    wanted = spark.createDataFrame([(3,), (3,), (8,), (None,)], "who long")
+    found = s.events_of(held[1], wanted, "who", "item", ["a"], folders=32)
+    assert found.columns == ["who", "ts", "item", "v"]
+    assert sorted((r["who"], r["v"]) for r in found.collect()) == sorted((i % 100, i) for i in range(2000) if i % 100 in (3, 8) and i % 2 == 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "subject_folder" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0] and "In(item" in plan or "EqualTo(item" in plan
+    read = held[1].where(F.col(s.FOLDER).isin([r[0] for r in wanted.dropna().select(s._folder("who", 32)).distinct().collect()]))
+    assert 0 < read.select(F.input_file_name()).distinct().count() <= 2 * 4
+    assert s.events_of(held[1], wanted.where("who < 0"), "who", "item", ["a"], folders=32).count() == 0
