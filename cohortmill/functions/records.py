@@ -95,15 +95,16 @@ def record_errors(text: str, parsed: str, schema: Mapping) -> Column:
     kind_of = lambda value: F.schema_of_variant(value)
     at = lambda path: F.try_variant_get(body, path, "variant")
     problem = lambda when, path, message: F.when(when, F.struct(F.lit(path).alias("path"), F.lit(message).alias("message")))
+    # A variant opens as a map of variants, so keys are found without parsing the text again.
+    keys_of = lambda value: F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
     is_object = kind_of(body).startswith("OBJECT")
-    checks = _key_errors(F.json_object_keys(F.col(text)), list(schema), "$")
+    checks = _key_errors(keys_of(body), list(schema), "$")
     for section, leaves in schema.items():
         path = f"$.{section}"
         present = at(path).isNotNull()
         section_object = kind_of(at(path)).startswith("OBJECT")
         checks.append(problem(present & ~section_object, path, "not an object"))
-        keys = F.when(section_object, F.json_object_keys(F.get_json_object(F.col(text), path)))
-        checks += _key_errors(keys, list(leaves), path)
+        checks += _key_errors(F.when(section_object, keys_of(at(path))), list(leaves), path)
         for name, kind in leaves.items():
             leaf = f"{path}.{name}"
             found, got = at(leaf).isNotNull(), kind_of(at(leaf))

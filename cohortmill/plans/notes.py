@@ -13,6 +13,7 @@ from ..operators.audit import joined_values
 from ..operators.joins import among
 from ..operators.ranks import ROWS_PER_TASK, ordered_sums, sequence_sums
 from ..operators.windows import interval_join
+from ..session import cut_lineage
 
 PART_CHARS = 16_000_000
 NOTES_PER_TASK = 100_000
@@ -32,7 +33,10 @@ def proxy_times(notes: DataFrame, detail: DataFrame, cases: DataFrame, keys: Seq
     name, value, wanted = field
     dated = among(notes, cases, keys).where(F.col(ts).isNotNull())
     section = t.result_section(F.col(text), headers) if headers else F.coalesce(F.col(text), F.lit(""))
-    hits = dated.where(t.positive_not_negated(section, positive, negated)).select(*keys, note_id, ts)
+    # The generator keeps the filter above the section, which is cut out once; the hits are narrow and settled, so that the
+    # texts are read and matched once for both uses below.
+    cut = dated.select(*keys, note_id, ts, F.explode(F.array(section)).alias("_section"))
+    hits = cut_lineage(cut.where(t.positive_not_negated(F.col("_section"), positive, negated)).select(*keys, note_id, ts))
     exam = F.coalesce(F.col(value).cast("string"), F.lit(""))
     flags = among(detail.where(F.col(name) == wanted), hits, [note_id]).groupBy(note_id).agg(
         F.bool_or(t.any_pattern(exam, modality)).alias("_modality"), F.bool_or(t.any_pattern(exam, anatomy)).alias("_anatomy"),

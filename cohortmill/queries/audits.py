@@ -153,6 +153,13 @@ def confirmed_not_coded(spark, sf):
     return agreement(spark, sf)["confirmed_not_coded"]
 
 
+@query("confirmed_without_code", f"""WITH {REVIEW_SQL}, {TARGET_LIST_SQL}
+SELECT o_custkey, o_orderkey, kind, confirmed, CAST(NULL AS VARCHAR) AS target_codes, false AS has_target FROM reviewed
+WHERE confirmed AND o_orderkey NOT IN (SELECT o_orderkey FROM tc)""")
+def confirmed_without_code(spark, sf):
+    return agreement(spark, sf)["confirmed_without_code"]
+
+
 @query("code_without_confirmation", f"""WITH {REVIEW_SQL}, {TARGET_LIST_SQL}
 SELECT o_custkey, o_orderkey, kind, confirmed, target_codes, true AS has_target FROM reviewed JOIN tc USING (o_orderkey)
 WHERE NOT confirmed""")

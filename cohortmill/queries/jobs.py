@@ -35,6 +35,46 @@ def raw_matrix(spark, sf):
     return rounded(out, *[f"{t}_mean" for t in TYPES])
 
 
+# The branches of the raw matrix beside the long events: a wide table of measurements and order texts, both from the events.
+ECG_FORMS = {"rr_interval": "CASE WHEN event_id % 5 = 0 THEN 0 ELSE value * 10 END", "p_onset": "value", "p_end": "value + 40", "qrs_onset": "value + event_id % 9",
+             "qrs_end": "value + 150", "t_end": "value + 400", "p_axis": "CAST(event_id % 90 AS DOUBLE)", "qrs_axis": "CAST(event_id % 70 AS DOUBLE)",
+             "t_axis": "CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 50 AS DOUBLE) END"}
+ORDER_GROUPS = {"buy": [r"\bpurchase\b", r"\br2\b"], "high": [r"\bhigh\b"]}
+_ECG_ALL = [*ECG_FORMS, "qt_interval", "qtc_bazett"]
+_DRUG_TEXT = "event_type || ' ' || CASE WHEN value > 50 THEN 'HIGH' ELSE '' END || ' r' || event_id % 3"
+_DRUG_COUNTS = ", ".join(f"count(*) FILTER (WHERE regexp_matches(worded, '{'|'.join(p)}', 'i')) AS {g}" for g, p in ORDER_GROUPS.items())
+
+
+@query("raw_matrix_all_sources", f"""WITH {JOINED_SQL}, f AS (SELECT user_id, {wide_sql('mean', 'max')} FROM j GROUP BY user_id),
+e0 AS (SELECT user_id, ts, {', '.join(f'{x} AS {c}' for c, x in ECG_FORMS.items())} FROM events WHERE event_type = 'view'),
+e1 AS (SELECT *, t_end - qrs_onset AS qt_interval, CASE WHEN rr_interval > 0 THEN (t_end - qrs_onset) / sqrt(rr_interval / 1000) END AS qtc_bazett FROM e0),
+e AS (SELECT s.user_id, count(*) AS ecg_count, {', '.join(f'round(avg({c}), 6) AS ecg_{c}_mean, max({c}) AS ecg_{c}_max' for c in _ECG_ALL)}
+      FROM e1 JOIN spine s ON e1.user_id = s.user_id AND e1.ts BETWEEN s.index_time AND s.window_end GROUP BY s.user_id),
+d0 AS (SELECT s.user_id, {_DRUG_TEXT} AS worded FROM events JOIN spine s ON events.user_id = s.user_id AND ts BETWEEN s.index_time AND s.window_end),
+d AS (SELECT user_id, {_DRUG_COUNTS} FROM d0 GROUP BY user_id)
+SELECT s.user_id, s.index_time, s.window_end, s.label, f.* EXCLUDE (user_id), e.* EXCLUDE (user_id),
+  {', '.join(f'coalesce({g}, 0) AS med_{g}_count, (coalesce({g}, 0) > 0)::INT AS med_{g}_any' for g in ORDER_GROUPS)}
+FROM spine s LEFT JOIN f ON s.user_id = f.user_id LEFT JOIN e ON s.user_id = e.user_id LEFT JOIN d ON s.user_id = d.user_id""")
+def raw_matrix_all_sources(spark, sf):
+    """Long events, a wide measurement table with its derived intervals, and order texts in drug groups, on one spine."""
+    events = table(spark, sf, "events")
+    ecg = events.where("event_type = 'view'").selectExpr("user_id", "ts AS ecg_time", *[f"{x} AS {c}" for c, x in ECG_FORMS.items()])
+    orders = events.selectExpr("user_id", "ts AS starttime", "event_type AS drug", "CASE WHEN value > 50 THEN 'HIGH' END AS formulary_drug_cd",
+                               "concat('r', event_id % 3) AS route")
+    out = pm.raw_matrix(event_spine(spark, sf), [pm.EventFeatures(events, EVENT_TYPES, "event_type", "value", "ts")], ["user_id"], "user_id", "index_time",
+                        "window_end", ["mean", "max"], ecg, orders, drug_groups=ORDER_GROUPS)
+    return rounded(out, *[f"{t}_mean" for t in TYPES], *[f"ecg_{c}_mean" for c in _ECG_ALL])
+
+
+@query("leakage_columns", """SELECT 'item_' || l_partkey || s AS column_name FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey % 97 = 0),
+  (VALUES ('_first'), ('_mean')) v(s)""")
+def leakage_columns(spark, sf):
+    """Model columns of the items that tell about test ordering."""
+    items = table(spark, sf, "lineitem").select("l_partkey").distinct().select(
+        F.concat(F.lit("item_"), F.col("l_partkey")).alias("feature_name"), (F.col("l_partkey") % 97 == 0).alias("ordering_sensitive"))
+    return spark.createDataFrame([(n,) for n in a.leakage_columns(items, ["_first", "_mean"])], "column_name string")
+
+
 NULLS = " + ".join(f"({col} IS NULL)::INT" for col in FIRSTS)
 
 

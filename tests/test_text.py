@@ -125,3 +125,10 @@ def test_record_checks_and_flattening(spark):
     assert flat["empty"]["diagnosis_context__diagnostic_modality"] == ""
     ordered = r.in_column_order(r.flatten_records(good, "body", r.LABEL_SCHEMA, ["name"]), r.result_columns())
     assert ordered.columns == r.result_columns() and ordered.first()["subject_id"] == ""
+
+
+def test_a_text_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, "{}")], "k int, body string")
+    for side in r.split_valid(df, "body", r.LABEL_SCHEMA):
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert "json_object_keys" not in plan and "get_json_object" not in plan
