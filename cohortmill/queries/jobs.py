@@ -11,6 +11,7 @@ from ..operators import audit as a
 from ..operators import cohort as c
 from ..operators import metrics as m
 from ..operators import models as ml
+from ..operators.permute import PRIME, round_keys
 from ..plans import matrices as pm
 from ..plans import training as pt
 from ..sources import materialize as s
@@ -266,7 +267,7 @@ def gbt_grid(spark, sf):
 
 @query("cross_validation")
 def cross_validation(spark, sf):
-    rows = c.cv_folds(labelled_documents(spark, sf), ["doc_id"], "label", 3)
+    rows = c.cv_folds(labelled_documents(spark, sf), ["doc_id"], "label")
     return ml.cross_validate(rows, "fold", NUMBERS, "label", FAST)
 
 
@@ -279,14 +280,14 @@ def feature_importance(spark, sf):
 @query("backward_elimination")
 def backward_elimination(spark, sf):
     train, test = sides(spark, sf)
-    return ml.backward_elimination(train, test, NUMBERS[:4], "label", {"maxIter": 20}, "linear", minimum=2, tolerance=0.05,
+    return ml.backward_elimination(train, test, NUMBERS, "label", {"maxIter": 20}, "linear", minimum=2, tolerance=0.05,
                                    protected=["n_chars"])[1]
 
 
 @query("shadow_filter")
 def shadow_filter(spark, sf):
     train, test = sides(spark, sf)
-    return ml.shadow_filter(train, test, ["doc_id"], NUMBERS, "label", FAST, repeats=2)[0]
+    return ml.shadow_filter(train, test, ["doc_id"], NUMBERS, "label", FAST)[0]
 
 
 @query("shadow_values", """SELECT 'real' AS side, sum(n_chars)::BIGINT AS total, count(*) AS n FROM documents
@@ -298,6 +299,26 @@ def shadow_values(spark, sf):
         [], ["real", "shadow"], "side", "v").groupBy("side").agg(F.sum("v").alias("total"), F.count("v").alias("n"))
 
 
+def _permuted_sql(key: str) -> str:
+    """The place that a row of place p asks for, of n, under the permutation of `key`."""
+    keys = round_keys(key)
+    shift, a_, b_, c_ = (f"([{', '.join(str(k[i]) for k in keys)}]::BIGINT[])[r]" for i in range(4))
+    partner = f"((({shift} - x) % n + n) % n)"
+    m_ = f"greatest(x, {partner})"
+    odd = f"(({m_} % {PRIME} * {a_} % {PRIME} + {m_} // {PRIME} % {PRIME} * {b_} % {PRIME} + {c_}) % {PRIME}) % 2 = 1"
+    return f"list_reduce([p] || range(1, {len(keys) + 1}), lambda x, r: CASE WHEN {odd} THEN {partner} ELSE x END)"
+
+
+@query("shadow_places", f"""WITH k AS (SELECT doc_id, n_chars, lang, row_number() OVER (ORDER BY md5(doc_id || ':42')) - 1 AS p, count(*) OVER () AS n FROM documents),
+asked AS (SELECT doc_id, {_permuted_sql('42:n_chars')} AS a, {_permuted_sql('42:copy')} AS b, {_permuted_sql('42:lang')} AS c FROM k)
+SELECT asked.doc_id, x.n_chars AS shadow__n_chars, y.n_chars AS shadow__copy, z.lang AS shadow__lang
+FROM asked JOIN k x ON x.p = a JOIN k y ON y.p = b JOIN k z ON z.p = c""")
+def shadow_places(spark, sf):
+    """Each feature's copy takes its values from rows of its own: two copies of one column differ."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.col("n_chars").alias("copy"), "lang")
+    return ml.with_shadows(docs, ["doc_id"], ["n_chars", "copy", "lang"], 42).drop("n_chars", "copy", "lang")
+
+
 @query("shadow_summary", """WITH r AS (SELECT l_linenumber AS feature, l_quantity AS x, 40.0::DOUBLE AS mx, 35.0::DOUBLE AS p FROM lineitem)
 SELECT feature::VARCHAR AS feature, round(avg(x), 6) AS mean_real_importance, median(x) AS median_real_importance,
   max(x) AS max_real_importance, 40.0::DOUBLE AS mean_shadow_max_importance, 35.0::DOUBLE AS mean_shadow_p95_importance,
@@ -322,7 +343,7 @@ def drop_set_comparison(spark, sf):
 def permutation_importance(spark, sf):
     train, test = sides(spark, sf)
     model = ml.fit(train, NUMBERS, "label", FAST)
-    return ml.permutation_importance(model, test, ["doc_id"], NUMBERS[:3], "label")
+    return ml.permutation_importance(model, test, ["doc_id"], NUMBERS, "label")
 
 
 @query("mean_absolute", " UNION ALL ".join(f"SELECT '{x}' AS feature, round(avg(abs({x} - 0.04)), 6) AS mean_abs FROM lineitem"
