@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import any_group, exact_code, loose_code
-from ..functions.times import WINDOW_HOURS, age_at, censor_windows, synthetic_key, window_end
-from ..operators.cohort import (downsample_controls, first_non_null, grouped_split, hard_controls, holdout_split, one_row, row_id,
-                                stack_cases, stratified_split)
-from ..operators.joins import among, many_to_one, not_among, stack
+from ..functions.times import (WINDOW_HOURS, age_at, censor_windows, index_time, index_time_source, lenient_timestamp, synthetic_key,
+                               window_end)
+from ..operators.cohort import (downsample_controls, first_non_null, grouped_split, hard_controls, holdout_split, normal_ids, one_row,
+                                row_id, stack_cases, stratified_split)
+from ..operators.joins import JoinCheckError, among, many_to_one, not_among, stack
 from ..operators.matrix import require_rows
 from ..session import cut_lineage
 
@@ -146,6 +147,25 @@ def list_defined_spine(cases: DataFrame, controls: DataFrame, admissions: DataFr
     return spine.withColumn("feature_window_end", window_end(start, hours))
 
 
+def list_spine_from_raw(cases: DataFrame, controls: DataFrame, admissions: DataFrame, people: DataFrame, subject: str, admission: str,
+                        main: str, early: str, label: str = "label", use_early: bool = True, **options) -> DataFrame:
+    """`list_defined_spine` from lists and admissions as they were read: ids and times may be text.
+
+    Rows of a list or of the admissions without numeric ids go; unreadable times are null. The index time is the early one
+    where it is not after the main one, and `index_time_source` says which was taken. A listed admission that is unknown,
+    known twice, or without a main time is an error. `proxy_time` and `proxy_source` are there and null.
+    """
+    cases, controls = (normal_ids(df.select(subject, admission), subject, admission) for df in (cases, controls))
+    known = normal_ids(admissions, subject, admission).withColumns({c: lenient_timestamp(c) for c in (main, early)})
+    listed = stack(cases, controls)
+    untimed = among(known.where(F.col(main).isNull()), listed, [subject, admission]).select(subject, admission).limit(5).collect()
+    if untimed:
+        raise JoinCheckError(f"listed admissions without {main}, for example {[tuple(r) for r in untimed]}")
+    timed = known.withColumns({"index_time": index_time(main, early, use_early), "index_time_source": index_time_source(main, early, use_early)})
+    spine = list_defined_spine(cases, controls, timed.drop(main, early), people, subject, admission, "index_time", label, **options)
+    return spine.withColumns({"proxy_time": F.lit(None).cast("timestamp_ntz"), "proxy_source": F.lit(None).cast("string")})
+
+
 def loose_case_index(visits: DataFrame, subject: str, ts: str, tie: str, diagnosis: str, pattern: str,
                      columns: Sequence[str]) -> DataFrame:
     """Per subject the earliest visit whose diagnosis text matches, null columns filled from later ones."""

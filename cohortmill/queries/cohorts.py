@@ -266,6 +266,34 @@ def list_cohort(spark, sf):
     return spine.withColumn("index_age", F.col("index_age").cast("long")).drop("cohort_row_id")
 
 
+# Lists and admissions as text: ids that are none, early times that are absent, before, after or unreadable.
+RAW_IDS = "CASE WHEN o_custkey % 40 = 0 THEN 'ED_' || o_custkey ELSE CAST(o_custkey AS STRING) END"
+
+
+@query("list_cohort_from_raw", f"""WITH {ADM_SQL}, {PEOPLE_SQL},
+timed AS (SELECT o_custkey, o_orderkey, kind, CASE WHEN o_orderkey % 4 = 1 THEN index_time - INTERVAL 2 HOUR ELSE index_time END AS index_time,
+  CASE o_orderkey % 4 WHEN 1 THEN 'edregtime' WHEN 2 THEN 'admittime_edregtime_after_admit' ELSE 'admittime' END AS index_time_source
+  FROM adm WHERE o_custkey % 40 <> 0),
+cohort AS (SELECT *, CAST(o_custkey % 3 = 0 AS INTEGER) AS label FROM timed WHERE kind = '1-URGENT' AND o_custkey % 3 IN (0, 1)),
+kept AS (SELECT cohort.* EXCLUDE (kind), segment, anchor_age + year(index_time) - anchor_year AS index_age FROM cohort JOIN people USING (o_custkey)
+         WHERE anchor_age + year(index_time) - anchor_year >= 18),
+subjects AS (SELECT o_custkey, max(label) AS label FROM kept GROUP BY o_custkey),
+{EXACT_SPLIT.format(key='o_custkey', rows='subjects')}
+SELECT o_custkey, o_orderkey, label, index_time, index_time_source, segment, CAST(index_age AS BIGINT) AS index_age, cohort_split,
+       index_time + INTERVAL 24 HOUR AS feature_window_end, CAST(NULL AS TIMESTAMP) AS proxy_time, CAST(NULL AS VARCHAR) AS proxy_source
+FROM kept JOIN sides USING (o_custkey)""")
+def list_cohort_from_raw(spark, sf):
+    rows = admissions(spark, sf)
+    early = F.when(F.col("o_orderkey") % 4 == 1, (F.col("index_time") - F.expr("INTERVAL 2 HOURS")).cast("string")).when(
+        F.col("o_orderkey") % 4 == 2, (F.col("index_time") + F.expr("INTERVAL 3 HOURS")).cast("string")).when(F.col("o_orderkey") % 4 == 3, "unknown")
+    raw = rows.select(F.expr(RAW_IDS).alias("o_custkey"), F.col("o_orderkey").cast("string").alias("o_orderkey"),
+                      F.col("index_time").cast("string").alias("admittime"), early.alias("edregtime"))
+    listed = lambda k: rows.where((F.col("kind") == "1-URGENT") & (F.col("o_custkey") % 3 == k)).select(
+        F.expr(RAW_IDS).alias("o_custkey"), F.col("o_orderkey").cast("string").alias("o_orderkey"))
+    spine = spines.list_spine_from_raw(listed(0), listed(1), raw, people(spark, sf), "o_custkey", "o_orderkey", "admittime", "edregtime")
+    return spine.withColumn("index_age", F.col("index_age").cast("long")).drop("cohort_row_id")
+
+
 TRANSFERS_SQL = """
 transfers AS (SELECT user_id AS o_custkey, CASE WHEN event_type <> 'signup' THEN event_id END AS o_orderkey, ts,
                      CASE WHEN value > 30 THEN 'ED' ELSE 'WARD' END AS unit FROM events)"""

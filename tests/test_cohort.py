@@ -121,3 +121,39 @@ def test_list_defined_spine_checks(spark):
         build(adm.where("adm = 10"), adm.where("adm = 11"))
     with pytest.raises(j.JoinCheckError):
         build(adm.where("subject = 1").withColumn("adm", F.col("adm") + 500), adm.where("subject = 2"))
+
+
+def test_a_listed_admission_needs_its_time(spark):
+    from cohortmill.operators.joins import JoinCheckError
+    from cohortmill.plans.spines import list_spine_from_raw
+    lists = [spark.createDataFrame(rows, "s string, h string") for rows in ([("1", "10"), ("x", "11")], [("2", "20")])]
+    people = spark.createDataFrame([(1, 40, 2020), (2, 50, 2020)], "s long, anchor_age int, anchor_year int")
+    good = [("1", "10", "2020-01-02 00:00:00", "2020-01-01 20:00:00"), ("2", "20", "2020-02-02 00:00:00", None), ("3", "30", "never", None), ("y", "1", None, None)]
+    run = lambda rows: list_spine_from_raw(*lists, spark.createDataFrame(rows, "s string, h string, main string, early string"), people, "s", "h", "main", "early")
+    got = {r["s"]: (r["index_time_source"], str(r["index_time"]), r["proxy_time"]) for r in run(good).collect()}
+    assert got == {1: ("edregtime", "2020-01-01 20:00:00", None), 2: ("admittime", "2020-02-02 00:00:00", None)}
+    for rows, what in ((good[1:], "without a match"), ([("1", "10", "soon", None), *good[1:]], "without main"), ([good[0], *good], "duplicate")):
+        with pytest.raises(JoinCheckError, match=what):
+            run(rows)
+
+
+def test_spine_guards(spark):
+    from cohortmill.plans.spines import SpineOptions, code_defined_spine
+    day = lambda d: dt.datetime(2020, 1, d)
+    adm = spark.createDataFrame([(s, h, day(d), kind, "P") for s, h, d, kind in [(1, 10, 1, "A"), (2, 20, 2, "B"), (3, 30, 3, "B")]],
+                                "s long, h long, t timestamp_ntz, kind string, place string")
+    codes = lambda rows: spark.createDataFrame(rows, "h long, code_norm string, version int")
+    people = spark.createDataFrame([(k, 40, 2020) for k in (1, 2, 3)], "s long, anchor_age int, anchor_year int")
+    run = lambda rows, similar=None, adm=adm, **o: code_defined_spine(adm, codes(rows), people, None, "s", "h", "t", {9: ["X1"]}, similar, ["kind", "place"],
+                                                                       options=SpineOptions(**o))
+    target, like, other = (10, "X1", 9), (20, "Y1", 9), (30, "Z", 9)
+    similar = {"g": {9: ["Y"]}}
+    assert {r["s"]: r["label"] for r in run([target, like, other], similar).collect()} == {1: 1, 2: 0}
+    for rows, kwargs, what in (([like], {}, "no admission has a target code"), ([target, other], {"similar": similar}, "no admission has a similar code"),
+                               ([target, like], {"similar": similar, "adm": adm.where("s = 1")}, "no admission of a subject without a case"),
+                               ([target, like], {"similar": similar, "adm": adm.where("s <> 2")}, "no control has a similar admission"),
+                               ([target, like], {"one_split": True, "hard_controls": ("kind", ["C"], "place", ["Q"])}, "removed every training control")):
+        with pytest.raises(ValueError, match=what):
+            run(rows, **kwargs)
+    kept = run([target], one_split=True, hard_controls=("kind", ["B"], "place", []), control_ratio=1)
+    assert sorted(r["label"] for r in kept.collect()) == [0, 1] and {r["cohort_split"] for r in kept.collect()} == {"train"}
