@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .fmindex import FMIndex
-from .textbytes import LOWER, WORD_BYTES, with_arrow_columns, word_chunks
+from .textbytes import LOWER, WORD_BYTES, bound_batches, give_back, with_arrow_columns, word_chunks
 
 #: Words of a window; words of a shard's index; words of a run (longer ones go on in the next, overlapping by a window
 #: less one word, so ties in the suffix order stay short); benchmark text that one pass broadcasts.
@@ -146,26 +146,62 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """`docs` with n_words, spans and items of every row.
 
     spans: merged [begin, end) of words inside any occurrence of a benchmark window; items: ids, as text and sorted, of
-    items with occurring windows, each once. Null and empty texts have no words; items with a null id are left out, ids
-    that occur twice stand for all their texts. Empty tables give no rows or no hits. Columns of `docs` named like the
+    items with occurring windows, each once. Null and empty texts have no words; items with a null id give spans but no
+    entry in items, ids that occur twice stand for all their texts. Empty tables give no rows or no hits. Columns of `docs` named like the
     new ones are replaced. A benchmark beyond `max_pass_bytes` is searched in several passes over the texts, each with
     a slice of the items that fits, so what is broadcast has a bound.
     """
-    known = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(
-        F.col(item).cast("string").alias("id"), F.col(item_text).alias("text"))
-    size = known.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    slices = -(-size // max_pass_bytes) or 1
+    known, slices = _sliced(benchmark, item, item_text, max_pass_bytes)
     fields = [("n_words", T.LongType()), ("spans", _SPAN), ("items", T.ArrayType(T.StringType()))]
     out = docs.drop(*[n for n, _ in fields if n != text])
     for k in range(slices):
-        part = known if slices == 1 else known.where(F.pmod(F.xxhash64("id", "text"), F.lit(slices)) == k)
-        phrases = docs.sparkSession.sparkContext.broadcast(build_phrases([tuple(r) for r in part.collect()]))
+        phrases = _handed(known, slices, k)
         out = with_arrow_columns(out, fields, _search(phrases, text, k > 0), drop if k == slices - 1 else ())
         if k < slices - 1:
             out = cut_lineage(out)
     return out
 
 
+def _sliced(benchmark: DataFrame, item: str, item_text: str, max_pass_bytes: int) -> tuple[DataFrame, int]:
+    """(id, text) of the items that have a text, and the passes in which they are searched."""
+    known = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text"))
+    size = known.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    return known, -(-size // max_pass_bytes) or 1
+
+
+def _handed(known: DataFrame, slices: int, k: int):
+    """The phrases of slice k, sent to the tasks."""
+    part = known if slices == 1 else known.where(F.pmod(F.xxhash64("id", "text"), F.lit(slices)) == k)
+    return known.sparkSession.sparkContext.broadcast(build_phrases([tuple(r) for r in part.collect()]))
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+                 max_pass_bytes: int = MAX_PASS_BYTES) -> DataFrame:
+    """Rows of `docs` whose text holds no benchmark window, all columns as they are; null and empty texts stay.
+
+    Only texts go to Python and one flag a row comes back. A benchmark of several slices is searched slice by slice in one
+    pass over the texts that the slices before have left.
+    """
+    bound_batches(docs)
+    known, slices = _sliced(benchmark, item, item_text, max_pass_bytes)
+    for k in range(slices):
+        docs = docs.where(~_hit_flag(_handed(known, slices, k))(F.col(text).cast("string")))
+    return docs
+
+
+def _hit_flag(phrases):
+    @F.arrow_udf(T.BooleanType())
+    def hit(column: pa.Array) -> pa.Array:
+        out = np.zeros(len(column), bool)
+        if phrases.value is not None:
+            for row, *_ in _found(phrases.value, column)[1]:
+                out[row] = True
+        give_back()
+        return pa.array(out)
+
+    return hit
+
+
 def _search(phrases, text: str, again: bool):
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         known = phrases.value
@@ -187,7 +223,8 @@ def _search(phrases, text: str, again: bool):
         items: list[set] = [set() for _ in range(len(column))]
         for owner, found in zip(item_rows, names, strict=True):
             for i, k in zip(owner.tolist(), found.tolist(), strict=True):
-                items[i].add(known.items[k])
+                if known.items[k] is not None:
+                    items[i].add(known.items[k])
         if again:
             earlier = [batch.column(batch.schema.get_field_index(n)) for n in ("spans", "items")]
             for i, (spans, before) in enumerate(zip(earlier[0].to_pylist(), earlier[1].to_pylist(), strict=True)):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .textbytes import SOLID_BYTES, bound_batches, text_bytes, with_arrow_columns, word_chunks
+from .textbytes import SOLID_BYTES, bound_batches, give_back, text_bytes, with_arrow_columns, word_chunks
 
 #: Random features, kernel width over standardised statistics, ridge penalty per row, and rows that a fit may read.
 FEATURES, WIDTH, PENALTY, MAX_LABELLED = 256, 4.0, 1e-4, 2_000_000
@@ -182,3 +182,17 @@ def scored(docs: DataFrame, model: QualityModel, statistics: str = "statistics",
         return [pa.array(handed.value.score(_matrix(batch, statistics)), pa.float64())]
 
     return with_arrow_columns(docs, [(into, T.DoubleType())], make, drop)
+
+
+def text_scores(docs: DataFrame, model: QualityModel, text: str = "text") -> Column:
+    """The calibrated score of each text as a column: only texts go to Python, and only scores come back."""
+    bound_batches(docs)
+    handed = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(column: pa.Array) -> pa.Array:
+        found = pa.array(handed.value.score(statistics(column)), pa.float64())
+        give_back()
+        return found
+
+    return score(F.col(text).cast("string"))

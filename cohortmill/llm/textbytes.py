@@ -6,6 +6,7 @@ be read off single bytes. Chunks keep the temporary arrays at a few MB, whatever
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -136,7 +137,20 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return mixed(total, 1)
 
 
-BATCH_BYTES = 16 << 20
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Hands the freed memory of Arrow and of the C library back, so that a reused worker doesn't keep a stage's peak."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+BATCH_BYTES = 8 << 20
 
 
 def bound_batches(df: DataFrame) -> None:
@@ -160,9 +174,12 @@ def with_arrow_columns(df: DataFrame, fields: list[tuple[str, T.DataType]], make
     added = [name for name, _ in fields]
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                columns = [batch.column(batch.schema.get_field_index(n)) for n in names] + make(batch)
-                yield pa.RecordBatch.from_arrays(columns, names=names + added)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    columns = [batch.column(batch.schema.get_field_index(n)) for n in names] + make(batch)
+                    yield pa.RecordBatch.from_arrays(columns, names=names + added)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)

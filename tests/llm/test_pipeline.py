@@ -81,15 +81,55 @@ def test_shards_are_whole(steps):
 def test_registered():
     names = set(__spark_entry__.queries())
     assert {"pipeline"} | set(QUERIES) <= names and set(ORACLES) <= set(__spark_entry__.oracle_sql())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     base = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "benchmark"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         base.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     found = QUERIES[name](spark, FOLDER)
     names = ", ".join(sorted(found.columns))
     want = base.sql(f"SELECT {names} FROM ({ORACLES[name]})").fetchall()
     assert sorted(map(tuple, found.select(*sorted(found.columns)).collect()), key=str) == sorted(want, key=str)
+
+
+EXTRA = ["spans", "items", "size", "target", "pass", "weight", "node", "dim", "cut", "place", "_keys", "name", "score"]
+
+
+def odd_documents(spark):
+    """Nulls, repeated ids and rows, texts without words, a long one, and extra columns named like the operators' own."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, "en", "web"), (1, b, "en", "web"), (2, a, "en", None), (3, b + " more", None, "web"), (4, None, "en", "web"), (4, None, "en", "web"),
+            (5, "", "fr", "books"), (None, a, "en", "web"), (None, "c d e f g h i", "de", "web"), (None, "c d e f g h i", "de", "web"),
+            (6, "solo words here", "en", "web"), (6, "solo words here", "en", "web"), (7, "long " * 40_000 + "end", "en", "web")]
+    frame = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return frame.select("*", *[F.lit(f"own {c}").alias(c) for c in EXTRA]).repartition(3)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_leave_other_columns_alone(spark, name):
+    docs = odd_documents(spark)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER)
+    assert [c for c in out.columns if c not in ("shard", "slot")] == docs.columns
+    for r in out.collect():
+        assert all(r[c] == f"own {c}" for c in EXTRA)
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), FOLDER).collect() == []
+
+
+def test_no_text_is_lost_to_a_shared_id(spark):
+    kept = Counter((r.doc_id, (r.text or "")[:6]) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, odd_documents(spark), FOLDER).collect())
+    assert kept == Counter([(1, "a0 a1 "), (1, "b0 b1 "), (4, ""), (4, ""), (5, ""), (None, "c d e "), (6, "solo w"), (7, "long l")])
+
+
+def test_a_benchmark_without_ids_still_counts(spark):
+    from cohortmill.llm.decontaminate import find_contamination, without_hits
+    words = " ".join(f"q{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"before {words} after"), (2, "clean text"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, words), (7, None)], "item_id long, text string")
+    found = {r.doc_id: (sum(s.end - s.begin for s in r.spans), r["items"]) for r in find_contamination(docs, bench).collect()}
+    assert found == {1: (14, []), 2: (0, []), 3: (0, [])}
+    assert sorted(r.doc_id for r in without_hits(docs, bench).collect()) == [2, 3]
+    assert sorted(r.doc_id for r in without_hits(docs, bench, max_pass_bytes=1).collect()) == [2, 3]
+    assert without_hits(docs, bench.limit(0)).count() == 3
