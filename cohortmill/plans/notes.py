@@ -104,6 +104,44 @@ def combined_notes(numbered: DataFrame, visit: str, text: str, meta: Sequence[st
                           *[joined(c, "|").alias(f"{c}s") for c in meta])
 
 
+def _digits_upto(m: Column) -> Column:
+    """Decimal digits of all numbers from 1 to m together."""
+    digits = F.length(m.cast("string"))
+    below = F.aggregate(F.sequence(F.lit(1), F.greatest(digits - 1, F.lit(1))), F.lit(0).cast("long"),
+                        lambda n, d: n + F.when(d < digits, 9 * F.pow(F.lit(10), d - 1).cast("long") * d).otherwise(0))
+    return F.when(m > 0, below + (m - F.pow(F.lit(10), digits - 1).cast("long") + 1) * digits).otherwise(0)
+
+
+def visit_text_parts(notes: DataFrame, visit: str, seq: str, ts: str, note_id: str, text: str, title: str = "DISCHARGE NOTE",
+                     part_chars: int = PART_CHARS, numeric: bool = False, rows_per_task: int = NOTES_PER_TASK) -> DataFrame:
+    """(visit, part_no, note_count, part_text): the text that `combined_notes` writes for a visit, cut every `part_chars` characters.
+
+    Parts in order, put together as they are, are the whole text; none is longer than `part_chars`, titles and blank lines
+    counted, and a note longer than a part goes on in the next. Notes are ordered and cut by their lengths alone; the texts
+    are read once, fetched by note and sent only to the parts that they are in. `note_id` names a note.
+    """
+    lengths = notes.select(visit, seq, ts, note_id, F.length(text).alias("_chars"))
+    narrow = lengths.withColumns({"_seq": F.col(seq).try_cast("double") if numeric else F.col(seq).cast("string"), "_one": F.lit(1).cast("long"),
+                                  "_size": F.col("_chars").cast("long")})
+    placed = sequence_sums(narrow, ["_seq", ts, note_id], {"note_no": "_one", "_upto": "_size"}, [visit], rows_per_task=rows_per_task)
+    number, several, last = F.col("note_no"), F.col("note_no_total") > 1, F.col("note_no") == F.col("note_no_total")
+    heads = lambda m: F.when(several, m * (len(title) + 2) + _digits_upto(m)).otherwise(0)  # the title, a blank, the number, a line end
+    begin = F.col("_upto") - F.col("_size") + heads(number - 1) + 2 * (number - 1)
+    end = F.col("_upto") + heads(number) + 2 * (number - 1) + F.when(last, 0).otherwise(2)
+    spans = placed.select(visit, note_id, number.alias("note_no"), F.col("note_no_total").alias("note_count"), begin.alias("_begin"), end.alias("_end"))
+    parts = F.explode(F.sequence(F.floor(F.col("_begin") / part_chars), F.floor(F.greatest(F.col("_begin"), F.col("_end") - 1) / part_chars)))
+    pieces = spans.withColumn("part_no", parts).hint("shuffle_hash")  # built from the narrow side, so that texts are not sorted
+    texts = notes.select(F.col(note_id).alias("_note"), F.col(text).alias("_text"))
+    met = texts.join(pieces, texts["_note"] == pieces[note_id])
+    head = F.when(F.col("note_count") > 1, F.concat(F.lit(f"{title} "), F.col("note_no").cast("string"), F.lit("\n"))).otherwise("")
+    tail = F.when(F.col("note_no") < F.col("note_count"), "\n\n").otherwise("")
+    begins = F.greatest(F.col("part_no") * part_chars - F.col("_begin"), F.lit(0))
+    size = F.least(F.col("_end"), (F.col("part_no") + 1) * part_chars) - F.greatest(F.col("_begin"), F.col("part_no") * part_chars)
+    piece = F.substring(F.concat(head, "_text", tail), (begins + 1).cast("int"), size.cast("int"))
+    grouped = met.groupBy(visit, "part_no").agg(F.max("note_count").alias("note_count"), F.sort_array(F.collect_list(F.struct("note_no", piece.alias("t")))).alias("_pieces"))
+    return grouped.select(visit, "part_no", "note_count", F.array_join(F.transform("_pieces", lambda p: p["t"]), "").alias("part_text"))
+
+
 def prompts(combined: DataFrame, prefix: str = "Discharge note text:\n") -> DataFrame:
     """The request text of a visit; only its first part carries the prefix."""
     lead = F.when(F.col("part_no") == 0, F.lit(prefix)).otherwise(F.lit(""))

@@ -222,6 +222,17 @@ def combine_notes_in_parts(spark, sf):
     return n.combined_notes(numbered(spark, sf), "conv_id", "text", part_chars=2000)
 
 
+@query("visit_texts_in_parts", f"""WITH {NOTES_SQL.format(order='note_seq')}, whole AS (SELECT conv_id, max(note_count) AS note_count,
+  string_agg(CASE WHEN note_count > 1 THEN 'DISCHARGE NOTE ' || note_no || chr(10) || text ELSE text END, chr(10) || chr(10) ORDER BY note_no) AS t
+  FROM numbered GROUP BY conv_id)
+SELECT conv_id, k AS part_no, note_count, substr(t, k * 700 + 1, 700) AS part_text
+FROM whole, LATERAL (SELECT unnest(range(0, (length(t) - 1) // 700 + 1)) AS k)""")
+def visit_texts_in_parts(spark, sf):
+    """The visits' texts cut every 700 characters, so that most notes go on in another part."""
+    return n.visit_text_parts(n.staged_notes(raw_notes(spark, sf), ["conv_id"], "text"), "conv_id", "note_seq", "charttime", "note_id", "text",
+                              part_chars=700)
+
+
 VISITS_SQL = "visits AS (SELECT o_orderkey AS conv_id, o_custkey AS subject_id, o_orderpriority AS kind FROM orders WHERE o_orderkey % 3 <> 0)"
 
 

@@ -132,3 +132,21 @@ def test_a_text_is_parsed_once(spark):
     for side in r.split_valid(df, "body", r.LABEL_SCHEMA):
         plan = side._jdf.queryExecution().optimizedPlan().toString()
         assert "json_object_keys" not in plan and "get_json_object" not in plan
+
+
+@pytest.mark.parametrize("part_chars,rows_per_task", [(7, 1_000), (50, 4), (100_000, 1_000)])
+def test_parts_of_a_visit_are_cut_by_what_is_written(spark, part_chars, rows_per_task):
+    rows = [(1, i, f"{i:03d}", "x" * (i % 9) + f"note {i}") for i in range(1, 131)] + [(2, 1, "a", "alone"), (3, 1, "b", "one"), (3, 2, "c", "t\u00e4\u4e2dwo")]
+    df = spark.createDataFrame([(v, s, None, f"{v}-{k}", t) for v, s, k, t in rows], "v long, s int, ts timestamp_ntz, k string, t string").repartition(3)
+    out = n.visit_text_parts(df, "v", "s", "ts", "k", "t", "NOTE", part_chars, numeric=True, rows_per_task=rows_per_task)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # The one sort orders lengths, below the join that fetches the texts; no text is in it.
+    assert "ShuffledHashJoin" in plan and plan.count("Sort [") == 1 and "_text" not in plan.split("Sort [")[1]
+    got = out.collect()
+    assert max(len(r["part_text"]) for r in got) <= part_chars
+    for v in (1, 2, 3):
+        own = [t for x, _, _, t in sorted(rows) if x == v]
+        want = "\n\n".join(f"NOTE {i}\n{t}" if len(own) > 1 else t for i, t in enumerate(own, 1))
+        parts = sorted((r["part_no"], r["part_text"]) for r in got if r["v"] == v)
+        assert "".join(t for _, t in parts) == want and [k for k, _ in parts] == list(range(-(-len(want) // part_chars)))
+        assert {r["note_count"] for r in got if r["v"] == v} == {len(own)}
