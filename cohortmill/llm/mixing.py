@@ -85,13 +85,12 @@ def mixed_rows(docs: DataFrame, weights: list[float], text: str = "text", source
                seed: int = 17, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(rows, pieces): every row of `docs` with its place in its source's stream of words, and what the mix takes of it.
 
-    rows: the columns of `docs` and size, source_size, source_no, target, place. pieces: (source_no, place, shard, slot,
-    pass, from_word, words), words counted from 0 inside the row's text. Null, empty and blank texts have size 0 and no
-    pieces; null sources are a source of their own; equal rows are taken as separate rows; an empty table gives none.
-    Columns of `docs` named like a new one are replaced. (source_no, place) names a row of size over 0.
+    rows: `_row`, a struct of the columns of `docs`, and size, source_size, source_no, target, place. pieces: (source_no,
+    place, shard, slot, pass, from_word, words), words counted from 0 inside the row's text. Null, empty and blank texts have
+    size 0 and no pieces; null sources are a source of their own; equal rows are taken as separate rows; an empty table gives
+    none. Columns of `docs` come along in the struct, whatever their names. (source_no, place) names a row of size over 0.
     """
-    taken = ["size", "source_size", "source_no", "target", "place", "weight"]
-    base = docs.drop(*[c for c in taken if c not in (text, source, key)])
+    base = docs
     fields = [F.col(source).alias("_source"), F.col(key).cast("string").alias("_id"), F.xxhash64(text).alias("_text")]
     narrow = cut_lineage(base.select(*fields, word_count(text).alias("size")))
     sizes = narrow.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
@@ -104,7 +103,8 @@ def mixed_rows(docs: DataFrame, weights: list[float], text: str = "text", source
         totals = narrow.join(numbered, F.col("_source").eqNullSafe(F.col("_named"))).select("source_no", "size", "_id", "_text")
         return placed(joined, totals, "source_no", F.col("size"), ["_id", "_text"], bits, "place")
 
-    rows = with_places(base.select("*", *fields, word_count(text).alias("size"))).drop("_source", "_id", "_text")
+    packed = base.select(F.struct(*docs.columns).alias("_row"), *fields, word_count(text).alias("size"))
+    rows = with_places(packed).drop("_source", "_id", "_text")
     spread = (with_places(narrow).where("size > 0").select("source_no", "place", "size")
               .withColumn("block", F.explode(F.sequence(F.floor(F.col("place") / block),
                                                         F.floor((F.col("place") + F.col("size") - 1) / block)))))
@@ -117,27 +117,31 @@ def mixed_rows(docs: DataFrame, weights: list[float], text: str = "text", source
 
 
 def taken_words(docs: DataFrame, weights: list[float], **options) -> DataFrame:
-    """`docs` with size, source_size, target and `taken`, the words that the mix takes of each row, repeats counted."""
+    """`docs` with size, source_size, target and `taken`, the words that the mix takes of each row, repeats counted.
+
+    Columns of `docs` with one of these names are replaced.
+    """
+    new = ["size", "source_size", "target", "taken"]
     rows, pieces = mixed_rows(docs, weights, **options)
     sums = (pieces.groupBy(F.col("source_no").alias("_no"), F.col("place").alias("_place")).agg(F.sum("words").alias("taken")))
     there = (F.col("source_no") == F.col("_no")) & (F.col("place") == F.col("_place")) & (F.col("size") > 0)
     return (rows.join(sums, there, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-            .drop("_no", "_place", "source_no", "place"))
+            .select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in new], *new))
 
 
 def mixed_documents(docs: DataFrame, weights: list[float], text: str = "text", **options) -> DataFrame:
     """The mix as documents: for each pass that takes words of a row, the row with the words taken.
 
     A pass that takes all words keeps the text as it is, another one joins the taken words by blanks, in the text's
-    order. Only documents with words can be taken. Returns the columns of `docs`.
+    order. Only documents with words can be taken. Returns the columns of `docs`, all but the text as they are.
     """
     rows, pieces = mixed_rows(docs, weights, text=text, **options)
     per_pass = (pieces.groupBy(F.col("source_no").alias("_no"), F.col("place").alias("_place"), "pass")
                 .agg(F.sum("words").alias("_taken"), F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("_spans")))
     there = (F.col("source_no") == F.col("_no")) & (F.col("place") == F.col("_place")) & (F.col("size") > 0)
-    words = F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col(f"_row.`{text}`"), F.lit(_WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, s["from_word"].cast("int") + 1,
                                                                          s["words"].cast("int")))), " ")
     whole = F.col("_taken") == F.col("size")
-    return (rows.join(per_pass, there).withColumn(text, F.when(whole, F.col(text)).otherwise(cut))
-            .select(*docs.columns))
+    kept = F.when(whole, F.col(f"_row.`{text}`")).otherwise(cut)
+    return rows.join(per_pass, there).select(*[(kept if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -81,13 +81,17 @@ def kd_shards(df: DataFrame, dims: list[str], weight: Column, target_bytes: int
     A node that stands for several shards is cut at the weighted quantile that parts them, along the dimension whose
     values in the node spread over the largest share of their range (the first one of equals). `shards` is given or
     the total weight divided by `target_bytes`. Nulls in a dimension count as its smallest value, null weights as 0; ties
-    are divided by hashes (`alike`, then `row`). Empty tables give no rows; a column named like `into` is replaced.
-    Only key arrays, weights and one row per node are moved or collected; the rows themselves stay.
+    are divided by hashes (`alike`, then `row`). Empty tables give no rows; a column named like `into` is replaced, all
+    others come along unread, whatever their names. Only key arrays, weights and one row per node are moved or collected;
+    the rows themselves stay.
     """
     base = df.drop(into)
     alike = F.xxhash64(*dims) if alike is None else alike
     row = F.xxhash64(*base.columns) if row is None else row
-    keyed = _positions(base.withColumn("_weight", F.coalesce(weight, F.lit(0)).cast("double")), dims, alike, row)
+    own = [f"_d{i}" for i in range(len(dims))]
+    packed = base.select(F.struct(*base.columns).alias("_row"), *[F.col(d).alias(n) for d, n in zip(dims, own)],
+                         F.coalesce(weight, F.lit(0)).cast("double").alias("_weight"), alike.alias("_alike"), row.alias("_which"))
+    keyed = _positions(packed, own, F.col("_alike"), F.col("_which")).select("_row", "_keys", "_weight")
     rows = cut_lineage(keyed.select("_keys", F.col("_weight").alias("weight"), F.lit(0).alias("node")))
     total = rows.agg(F.sum("weight")).first()[0] or 0.0
     count = shards if shards is not None else max(1, round(total / max(1, target_bytes or 1)))
@@ -112,7 +116,7 @@ def kd_shards(df: DataFrame, dims: list[str], weight: Column, target_bytes: int
     for table in cut_tables:
         out = _descended(out, table)
     leaves = _small(df.sparkSession, {"node": pa.int32(), into: pa.int32()}, [{"node": n, into: s} for n, s in final.items()])
-    return out.join(F.broadcast(leaves), "node", "left").drop("node", "_keys", "_weight")
+    return out.join(F.broadcast(leaves), "node", "left").select("_row.*", into)
 
 
 def _descended(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -126,6 +130,12 @@ def _descended(rows: DataFrame, table: DataFrame) -> DataFrame:
 def with_slots(df: DataFrame, totals_of: DataFrame, order: list[str], shard: str = "shard", into: str = "slot") -> DataFrame:
     """`df` with each row's place in its shard, without gaps from 0, in the order of a hash of `order`.
 
-    `totals_of` has the same rows; it is counted first. Rows alike in `order` take neighbouring places.
+    `totals_of` has the same rows; it is counted first. Rows alike in `order` take neighbouring places. A column named like
+    `into` is replaced, all others come along unread.
     """
-    return placed(df.drop(into), totals_of, shard, F.lit(1).cast("long"), order, bucket_bits(totals_of.count()), into)
+    own = [f"_o{i}" for i in range(len(order))]
+    needed = lambda rows: [F.col(shard).alias("_shard"), *[F.col(c).alias(n) for c, n in zip(order, own)]]
+    packed = df.drop(into)
+    packed = packed.select(F.struct(*packed.columns).alias("_row"), *needed(packed))
+    out = placed(packed, totals_of.select(*needed(totals_of)), "_shard", F.lit(1).cast("long"), own, bucket_bits(totals_of.count()), "_place")
+    return out.select("_row.*", F.col("_place").alias(into))

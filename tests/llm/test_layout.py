@@ -115,3 +115,21 @@ def test_shards_of_nothing(spark):
     assert with_slots(out, out, ["doc_id"]).collect() == []
     one = kd_shards(spark.createDataFrame([(1, None, None)], docs.schema), ["lang", "size"], F.col("size"), shards=8).collect()
     assert len(one) == 1 and 0 <= one[0].shard < 8
+
+
+CLASHING = ["node", "_keys", "dim", "cut", "_weight", "weight", "pass", "_key", "place", "size", "target", "_row", "_bucket", "block", "slot", "_source"]
+
+
+def test_columns_named_like_the_operators_own_come_along(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 7), "ab"[i % 2], i) for i in range(40)], "doc_id long, text string, source string, n long")
+    docs = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    shards = kd_shards(docs, ["n", "source"], F.col("n"), shards=4, row=F.xxhash64("doc_id"))
+    assert shards.columns == [*docs.columns, "shard"]
+    slots = with_slots(shards, shards, ["doc_id"])
+    assert slots.columns == [*[c for c in docs.columns if c != "slot"], "shard", "slot"]
+    mixed, taken = mixed_documents(docs, [2.0, 1.0]), taken_words(docs, [2.0, 1.0])
+    assert mixed.columns == docs.columns
+    assert taken.columns == [*[c for c in docs.columns if c not in ("size", "target")], "size", "source_size", "target", "taken"]
+    for out, replaced in ((shards, ()), (slots, ("slot",)), (mixed, ()), (taken, ("size", "target"))):
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHING if c not in replaced)
