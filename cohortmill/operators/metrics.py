@@ -387,6 +387,26 @@ def poisson_draws(count: Column, parts: Sequence[Column]) -> Column:
     return (total + F.when(whole > 0, rest).otherwise(0)).cast("long")
 
 
+def _over_score_buckets(cells: DataFrame, first: DataFrame, drawn, names: Sequence[str], unit: Sequence[str], inside) -> DataFrame:
+    """Rows of (names, replicate, p_all, n_all, p, tp, n) for groups of several buckets: sums first, then the draws again."""
+    sums = first.groupBy(*unit, "replicate").agg(F.sum("p").alias("p"), F.sum(F.col("p") + F.col("q")).alias("n"))
+    above = Window.partitionBy(*names, "replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*names, "replicate")
+    offsets = sums.select(*unit, F.struct(
+        "replicate", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("p", "n")],
+        F.sum("p").over(whole).alias("p_all"), F.sum("n").over(whole).alias("n_all")).alias("at"))
+    lists = offsets.groupBy(*unit).agg(F.collect_list("at").alias("resamples"))  # TASK_RESAMPLES entries
+    same = F.lit(True)
+    for c in unit:
+        same = same & F.col(f"cells.{c}").eqNullSafe(F.col(f"lists.{c}"))
+    second = cells.alias("cells").join(lists.alias("lists"), same).select(
+        *[F.col(f"cells.{c}").alias(c) for c in unit], "positives", "flagged", "seen", "place", F.explode("resamples").alias("at"))
+    again = drawn(second.withColumn("replicate", F.col("at.replicate")))
+    tp = F.col("at.p_above") + F.sum("p").over(inside)
+    n = F.col("at.n_above") + F.sum(F.col("p") + F.col("q")).over(inside)
+    return again.select(*names, "replicate", "at.p_all", "at.n_all", "p", tp.alias("tp"), n.alias("n"))
+
+
 def bootstrap_replicates(df: DataFrame, y: str, score: str, groups: Sequence[str] = (), reps: int = 400, seed: int = 42,
                          max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK,
                          bucket_scores: int = BUCKET_SCORES) -> DataFrame:
@@ -394,8 +414,8 @@ def bootstrap_replicates(df: DataFrame, y: str, score: str, groups: Sequence[str
 
     Scores are numbered downward and cut into buckets of `bucket_scores`. Only the counts are shuffled, by bucket and a few
     resamples each, which are drawn inside their task. A first pass sums each (bucket, resample), running sums over the
-    buckets give what lies above each, and a second pass draws the same numbers again and adds the areas. So no task holds
-    more than a bucket's scores at a time, however many scores a group has. The cell's own key is its number of rows at or
+    buckets give what lies above each, and a second pass draws the same numbers again and adds the areas; where no group has
+    a second bucket one pass does. So no task holds more than a bucket's scores at a time, however many scores a group has. The cell's own key is its number of rows at or
     above it, which differs between any two scores.
     """
     groups = list(groups)
@@ -406,6 +426,7 @@ def bootstrap_replicates(df: DataFrame, y: str, score: str, groups: Sequence[str
     cells = cut_lineage(placed.select(*[F.col(g).alias(n) for g, n in zip(groups, names)], "positives", "flagged", "seen", "place",
                                       F.floor((F.col("place") - 1) / bucket_scores).alias("bucket")))
     unit = [*names, "bucket", "chunk"]
+    several = not cells.where("bucket > 0").isEmpty()
     cells = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // TASK_RESAMPLES)))).repartition(*unit)
     own = F.sequence(F.col("chunk") * TASK_RESAMPLES + 1, F.least(F.lit(reps), (F.col("chunk") + 1) * TASK_RESAMPLES))
 
@@ -415,23 +436,14 @@ def bootstrap_replicates(df: DataFrame, y: str, score: str, groups: Sequence[str
         return rows.withColumns({"p": poisson_draws(F.col("positives"), [*parts, F.lit("p")]), "q": poisson_draws(negatives, [*parts, F.lit("n")])})
 
     first = drawn(cells.withColumn("replicate", F.explode(own)))
-    sums = first.groupBy(*unit, "replicate").agg(F.sum("p").alias("p"), F.sum(F.col("p") + F.col("q")).alias("n"))
-    above = Window.partitionBy(*names, "replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*names, "replicate")
-    offsets = sums.select(*unit, F.struct(
-        "replicate", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("p", "n")],
-        F.sum("p").over(whole).alias("p_all"), F.sum("n").over(whole).alias("n_all")).alias("at"))
-    lists = offsets.groupBy(*unit).agg(F.collect_list("at").alias("resamples"))  # TASK_RESAMPLES entries
-    same = F.lit(True)
-    for c in unit:
-        same = same & F.col(f"cells.{c}").eqNullSafe(F.col(f"lists.{c}"))
-    second = cells.alias("cells").join(lists.alias("lists"), same).select(
-        *[F.col(f"cells.{c}").alias(c) for c in unit], "positives", "flagged", "seen", "place", F.explode("resamples").alias("at"))
-    again = drawn(second.withColumn("replicate", F.col("at.replicate")))
     inside = Window.partitionBy(*unit, "replicate").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tp = F.col("at.p_above") + F.sum("p").over(inside)
-    n = F.col("at.n_above") + F.sum(F.col("p") + F.col("q")).over(inside)
-    areas = again.select(*names, "replicate", "at.p_all", "at.n_all", "p", tp.alias("tp"), n.alias("n"))
+    if several:
+        areas = _over_score_buckets(cells, first, drawn, names, unit, inside)
+    else:  # a group's resample is whole in its task, so its sums need no pass of their own
+        here = Window.partitionBy(*unit, "replicate")
+        drawn_rows = F.col("p") + F.col("q")
+        areas = first.select(*names, "replicate", F.sum("p").over(here).alias("p_all"), F.sum(drawn_rows).over(here).alias("n_all"), "p",
+                             F.sum("p").over(inside).alias("tp"), F.sum(drawn_rows).over(inside).alias("n"))
     both = (F.max("p_all") > 0) & (F.max("n_all") > F.max("p_all"))
     found = areas.groupBy(*names, "replicate").agg(F.when(both, F.sum(
         F.try_divide(F.col("p"), F.col("p_all")) * F.try_divide(F.col("tp"), F.col("n")))).alias("average_precision"))
