@@ -224,6 +224,24 @@ def source_fingerprint(spark, sf):
     return files.agg(F.count(F.lit(1)).cast("int").alias("files"), (F.sum("size") > 0).alias("has_size"))
 
 
+@query("fingerprint_of_written", """SELECT event_type AS folder, count(*) AS rows, true AS has_files, true AS digest_follows_files FROM events GROUP BY event_type""")
+def fingerprint_of_written(spark, sf):
+    """A folder per event type is written, fingerprinted and read back: every row lies in a file of the fingerprint, whose digest
+    changes with a further file and not with the order in which files are listed."""
+    path = f"{workspace(spark)}/events"
+    held = table(spark, sf, "events").select("event_type", "event_id")
+    held.withColumn("folder", F.col("event_type")).write.partitionBy("folder").parquet(path)
+    files = s.fingerprint(spark, path)
+    before, again = s.source_digest(files), s.source_digest(files.orderBy(F.rand(1)))
+    held.where("event_type = 'click'").limit(1).write.parquet(f"{path}_more")
+    follows = before == again and before != s.source_digest(s.fingerprint(spark, path, f"{path}_more"))
+    named = files.select(F.regexp_extract("path", "/([^/]+/[^/]+)$", 1).alias("file"), F.col("size").alias("file_size"))
+    rows = spark.read.parquet(path).select("folder", F.regexp_extract("_metadata.file_path", "/([^/]+/[^/]+)$", 1).alias("file"))
+    counted = rows.groupBy("folder", "file").agg(F.count(F.lit(1)).alias("n")).join(named, "file")
+    return counted.groupBy("folder").agg(F.sum("n").alias("rows"), F.bool_and(F.col("file_size") > 0).alias("has_files")).withColumn(
+        "digest_follows_files", F.lit(follows))
+
+
 # Models: text statistics of the labelled documents against their quality label.
 NUMBERS = ["n_chars", "n_words", "n_lines", "n_digits", "share_upper", "n_distinct"]
 FAST = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.3}
