@@ -45,7 +45,7 @@ def leaks(docs, items, window=10):
         own = words(text)
         size = min(window, len(own))
         for k in range(len(own) - size + 1 if size else 0):
-            cut.setdefault(tuple(own[k:k + size]), set()).add(str(item))
+            cut.setdefault(tuple(own[k:k + size]), set()).update([] if item is None else [str(item)])
     out = []
     for key, text in docs:
         own, hit, found = words(text), set(), set()
@@ -77,7 +77,8 @@ def test_leaks_against_brute_force(spark, monkeypatch, bound):
     monkeypatch.setattr(dc, "RUN_WORDS", 40)
     docs, items = leak_case()
     frame = spark.createDataFrame([(k, t, "x") for k, t in docs], "doc_id long, text string, items string")
-    bench = spark.createDataFrame([*items, (None, "w1 w2 w3")], "item_id long, text string")
+    items = [*items, (None, "w1 w2 w3")]  # an item without an id gives hits, but no entry in items
+    bench = spark.createDataFrame(items, "item_id long, text string")
     found = find_contamination(frame, bench, max_pass_bytes=bound)
     assert found.columns == ["doc_id", "text", "n_words", "spans", "items"]
     got = [(r.doc_id, r.n_words, r.n, r["items"]) for r in found.withColumn("n", hit_words()).collect()]
