@@ -213,7 +213,9 @@ def shadow_filter(train: DataFrame, validation: DataFrame, keys: Sequence[str],
         for repeat in range(1, repeats + 1):
             at = seed + 1009 * repeat
             names = [*features, *[f"shadow__{f}" for f in features]]
-            model = fit(with_shadows(train, keys, features, at), names, label, params, learner, at)
+            # A fit reads its rows several times; the copies are made once.
+            with held(with_shadows(train, keys, features, at)) as (shadowed,):
+                model = fit(shadowed, names, label, params, learner, at)
             found = model.importance()
             shadows = sorted(found[f"shadow__{f}"] for f in features)
             place = 0.95 * (len(shadows) - 1)

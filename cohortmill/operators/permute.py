@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +42,36 @@ def _key_array(keys: Sequence[tuple[int, ...]]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(("shift", "a", "b", "c"), k)]) for k in keys])
 
 
+def lending_places(place: Column, size: Column, keys: Sequence[Sequence[tuple[int, ...]]]) -> Column:
+    """Per list of round keys the number x for which `permuted(x, size, keys)` is `place`, as an array.
+
+    A round undoes itself, so the rounds run backwards. Numpy takes a batch of rows a round.
+    """
+    prime = PRIME
+
+    @F.pandas_udf("array<long>")
+    def run(place: pd.Series, size: pd.Series) -> pd.Series:
+        at, n = place.to_numpy(np.int64), size.to_numpy(np.int64)
+        found = np.empty((len(at), len(keys)), np.int64)
+        for i, rounds in enumerate(keys):
+            x = at
+            for shift, a, b, c in reversed(rounds):
+                partner = (shift - x) % n
+                m = np.maximum(x, partner)
+                odd = (m % prime * a % prime + m // prime % prime * b % prime + c) % prime % 2 == 1
+                x = np.where(odd, partner, x)
+            found[:, i] = x
+        return pd.Series(list(found))
+
+    return run(place, size)
+
+
 def independent_copies(df: DataFrame, keys: Sequence[str], columns: Sequence[str], seed: int | str, prefix: str = "shadow__") -> DataFrame:
     """Adds `<prefix><column>` per column: its values on other rows, by a permutation of the rows of its own.
 
-    Rows are numbered once, by the hash order of `keys`. Each column's values stand at their row's number, each row asks for
-    the number that the column's permutation gives it, and both meet on (column, number), so all columns take one join.
+    Rows are numbered once, by the hash order of `keys`. Each row asks for the number that the column's permutation gives it;
+    the permutation backwards tells a value at its row's number which row asks for it, so values go there without a join of
+    asked and lent numbers: one shuffle of narrow rows gathers the copies of a row, and one join brings them to it.
     Every copy keeps its column's values, nulls included, and copies of equal columns differ. `keys` identify a row.
     """
     columns = list(columns)
@@ -57,11 +84,11 @@ def independent_copies(df: DataFrame, keys: Sequence[str], columns: Sequence[str
     field = {k: f"v{i}" for i, k in enumerate(kinds)}
     of = {c: rows.schema[c].dataType.simpleString() for c in columns}
     value = lambda c: F.struct(*[(F.col(c) if of[c] == k else F.lit(None).cast(k)).alias(field[k]) for k in kinds])
-    lent = rows.select(F.explode(F.array(*[F.struct(F.lit(number[c]).alias("c"), F.col("_place").alias("at"), value(c).alias("v"))
-                                           for c in columns])).alias("x")).select("x.c", "x.at", "x.v")
-    table = F.create_map(*[x for c in columns for x in (F.lit(number[c]), _key_array(round_keys(f"{seed}:{c}")))])
-    asked = (rows.select("_place", "_place_total", F.explode(F.array(*[F.lit(i) for i in range(len(columns))])).alias("c"))
-             .select("c", "_place", permuted(F.col("_place"), F.col("_place_total"), table[F.col("c")]).alias("at")))
-    met = asked.join(lent, ["c", "at"]).groupBy("_place").agg(
+    goes = lending_places(F.col("_place"), F.col("_place_total"), [round_keys(f"{seed}:{c}") for c in columns])
+    lent = (rows.withColumn("_goes", goes)
+            .select(F.explode(F.array(*[F.struct(F.lit(number[c]).alias("c"), F.col("_goes")[number[c]].alias("_place"), value(c).alias("v"))
+                                        for c in columns])).alias("x")).select("x.c", "x._place", "x.v"))
+    # Dealt out as they are: partial aggregates would be as many and wider.
+    met = lent.repartition("_place").groupBy("_place").agg(
         *[F.first(F.when(F.col("c") == number[c], F.col("v")[field[of[c]]]), ignorenulls=True).alias(f"{prefix}{c}") for c in columns])
     return rows.join(met, "_place").select(*df.columns, *[f"{prefix}{c}" for c in columns])

@@ -16,7 +16,7 @@ from ..plans import matrices as pm
 from ..plans import training as pt
 from ..sources import materialize as s
 from ..sources import readers
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .audits import FIRSTS, MATRIX_SQL, matrix
 from .common import EVENT_TYPES, event_spine, query, rounded, table
 from .features import JOINED_SQL, TYPES, features, wide_sql
@@ -248,15 +248,16 @@ FAST = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.3}
 
 
 def labelled_documents(spark, sf):
+    """Text statistics, label and split of the labelled documents. Texts are read once: both sides and every fit start from the counts."""
     words = F.split(F.col("text"), r"\s+")
     docs = table(spark, sf, "documents").select(
         "doc_id", "lang", "n_chars", F.size(words).alias("n_words"),
-        F.length(F.regexp_replace("text", r"[^\n]", "")).alias("n_lines"),
-        F.length(F.regexp_replace("text", r"[^0-9]", "")).alias("n_digits"),
-        (F.length(F.regexp_replace("text", r"[^A-Z]", "")) / F.length("text")).alias("share_upper"),
+        F.regexp_count("text", F.lit(r"\n")).alias("n_lines"),
+        F.regexp_count("text", F.lit("[0-9]")).alias("n_digits"),
+        (F.regexp_count("text", F.lit("[A-Z]")) / F.length("text")).alias("share_upper"),
         F.size(F.array_distinct(words)).alias("n_distinct"))
     rows = docs.join(table(spark, sf, "labels"), "doc_id").withColumn("label", 1 - F.col("quality"))
-    return c.stratified_split(rows.drop("quality", "toxic"), ["doc_id"], "label", 0.3)
+    return c.stratified_split(cut_lineage(rows.drop("quality", "toxic")), ["doc_id"], "label", 0.3)
 
 
 def sides(spark, sf):

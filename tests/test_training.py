@@ -3,9 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cohortmill.operators.permute import _key_array, independent_copies, permuted, round_keys
+from cohortmill.operators import models as ml
+from cohortmill.operators.permute import _key_array, independent_copies, lending_places, permuted, round_keys
 from cohortmill.operators.ranks import hash_rank
 from cohortmill.plans.training import TrainingRules, train_and_evaluate, with_roles
+from cohortmill.queries.jobs import labelled_documents, sides
 
 
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1000])
@@ -21,6 +23,37 @@ def test_large_numbers_are_permuted_one_to_one(spark):
     assert len(set(found)) == 2000 and all(0 <= x < size for x in found)
 
 
+@pytest.mark.parametrize("start, size", [(0, 1), (0, 2), (0, 501), (5_000_000_000_000, 7_000_000_000_001)])
+def test_lending_places_run_a_permutation_backwards(spark, start, size):
+    keys = [round_keys(k) for k in "ab"]
+    found = spark.range(start, min(size, start + 501)).select("id", lending_places(F.col("id"), F.lit(size), keys).alias("x"))
+    back = found.select("id", *[permuted(F.col("x")[i], F.lit(size), _key_array(k)).alias(f"p{i}") for i, k in enumerate(keys)])
+    assert all(r["p0"] == r["id"] == r["p1"] for r in back.collect())
+
+
+def test_copies_of_a_repeat_are_made_once(spark, monkeypatch):
+    """A fit reads its rows several times and gets them held."""
+    seen, fit = [], ml.fit
+    monkeypatch.setattr(ml, "fit", lambda df, *a: seen.append(df.is_cached) or fit(df, *a))
+    rows = matrix(spark)
+    report, repeats = ml.shadow_filter(rows.where("cohort_split = 'train'"), rows.where("cohort_split = 'test'"), ["k"], ["x", "noise"], "y",
+                                       {"maxIter": 2, "maxDepth": 2}, repeats=2)
+    assert seen == [True, True] and repeats.count() == 2 and {r["feature"] for r in report.collect()} == {"x", "noise"}
+
+
+def test_texts_are_read_once_for_both_sides(spark, tmp_path):
+    texts = ["", "a", "One two\n\n TWO 12 \u0663 é𝔸 ", None, "x\ry 7\n"] + [f"Doc {i}" for i in range(15)]
+    docs = [(i, t, "en", None if t is None else len(t)) for i, t in enumerate(texts) if t != ""]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d[0], d[0] % 2, 0) for d in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    train, test = sides(spark, str(tmp_path))
+    assert train.count() + test.count() == len(docs) and train.inputFiles() == test.inputFiles() == []
+    got = {r["doc_id"]: r for r in labelled_documents(spark, str(tmp_path)).collect()}
+    for i, t, _, _ in docs:
+        want = (None, None, None) if t is None else (t.count("\n"), sum(x in "0123456789" for x in t), sum("A" <= x <= "Z" for x in t) / len(t))
+        assert (got[i]["n_lines"], got[i]["n_digits"], got[i]["share_upper"]) == want
+
+
 def test_copies_are_independent_and_keep_their_values(spark):
     rows = [(i, float(i), float(i), None if i % 5 == 0 else f"w{i % 7}", i) for i in range(200)]
     df = spark.createDataFrame(rows, "k long, a double, b double, w string, i int").repartition(5)
