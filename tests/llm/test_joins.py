@@ -1,12 +1,15 @@
+import os
 import random
 import re
 
 import numpy as np
 import pytest
 
+from cohortmill.llm import jaccard
 from cohortmill.llm.components import components
 from cohortmill.llm.jaccard import TokenOrder, prefix_length, similar_sets
 from cohortmill.llm.shared_tokens import packed, shared_counts, unpacked
+from cohortmill.session import ensure_checkpoint_dir
 
 
 def shingle_set(text):
@@ -64,6 +67,34 @@ def test_join_against_brute_force(spark, seed):
     assert sorted(map(tuple, found.collect()), key=str) == brute(docs)
 
 
+def test_join_in_passes(spark, monkeypatch):
+    """A corpus of near copies: every step goes in passes, and none leaves more on disk than a part of the texts."""
+    draw = random.Random(8)
+    docs = []
+    for _ in range(12):
+        base = draw.choices([f"word{i}" for i in range(900)], k=400)
+        for _ in range(8):
+            copy = list(base)
+            for at in range(draw.randrange(60), 400, 60):
+                copy[at] = f"new{draw.randrange(10**6)}"
+            docs.append((len(docs), " ".join(copy)))
+    for name, value in (("PREFIX_SHARE", 0.15), ("TEXT_SHARE", 0.6), ("BLOCK_SHARE", 0.4), ("LEAST_PASS", 1), ("PIVOT_MEMBERS", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    counted, cut = [], jaccard.cut_lineage
+
+    def measured(df):
+        before = set(os.listdir(top))
+        out = cut(df)
+        counted.append(sum(os.path.getsize(f"{d}/{f}") for new in set(os.listdir(top)) - before for d, _, names in os.walk(f"{top}/{new}") for f in names))
+        return out
+
+    monkeypatch.setattr(jaccard, "cut_lineage", measured)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, similar_sets(frame).collect()), key=str) == brute(docs)
+    assert counted and max(counted) < 0.6 * sum(len(t) for _, t in docs)
+
+
 def test_join_of_nothing(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert similar_sets(frame).collect() == []
